@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import decontam, exact_dedup, langid, packing, url_filter, warc
+from helixlake.llm import decontam, exact_dedup, langid, near_dedup, packing, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language, op6_url_filter, op7_exact_dedup, op8_warc, op9_packing)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language, op6_url_filter, op7_exact_dedup, op8_warc, op9_packing, op10_jaccard_join)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

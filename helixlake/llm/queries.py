@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import decontam, exact_dedup, langid, near_dedup, packing, pii, url_filter, warc
+from helixlake.llm import decontam, exact_dedup, langid, near_dedup, packing, pii, secrets, token_counts, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.rolled_up(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_of(table(spark, sf_dir, "documents"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "kind", "score", "secret")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.spans(table(spark, sf_dir, "documents"))
     counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE_KINDS]
@@ -51,7 +59,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_language, op5_pii, op6_url_filter, op7_exact_dedup, op8_warc, op9_packing, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_language, op4_secrets, op5_pii, op6_url_filter, op7_exact_dedup, op8_warc, op9_packing, op10_jaccard_join)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 

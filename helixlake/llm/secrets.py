@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.durable import durable
-from helixlake.llm.words import words
+from helixlake.llm.words import lowered, raw_words
 
 #: Bounds of the fit: words of the dictionary (the most frequent of the whole corpus) and labelled findings.
 DICTIONARY, SAMPLE, LEAST = 20_000, 5_000, 20
@@ -119,7 +119,7 @@ def describe(text: str, start: int, end: int, kind: str, path: str, language: La
 
 def word_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
     """Counts of the DICTIONARY most frequent words of letters, counted over all texts."""
-    spread = docs.select(F.explode(words(text)).alias("w")).where(F.length("w").between(2, 20) & ~F.col("w").rlike("[0-9]"))
+    spread = docs.select(F.explode_outer(raw_words(text)).alias("w")).select(lowered("w").alias("w")).where(F.length("w").between(2, 20) & ~F.col("w").rlike("[0-9]"))
     top = spread.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "w").limit(DICTIONARY)
     return {r["w"]: r["n"] for r in top.collect()}
 

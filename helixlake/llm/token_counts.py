@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from helixlake.durable import durable, fresh_path
 from helixlake.llm.packing import encoder, tokenizer_path
-from helixlake.llm.words import WORD, lowered
+from helixlake.llm.words import raw_words
 
 GROUP = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, source string, lang string, tokenizer string, tokens long, docs long"
 ROLLUP = "source string, lang string, tokenizer string, docs long, tokens long"
 #: Tokenizer versions by name: a Column builder, or the file of a public tokenizer.
 TOKENIZERS: dict[str, Callable[[Column], Column] | str] = {
-    "words_v1": lambda text: F.regexp_count(lowered(text), F.lit(WORD)).cast("long"),
+    "words_v1": lambda text: F.size(raw_words(text)).cast("long"),
     "bytes_v1": lambda text: F.octet_length(F.coalesce(text, F.lit(""))).cast("long"),
 }
 BPE = {"byte_bpe_50k_v1": "byte_bpe_50k.json"}

@@ -83,7 +83,7 @@ def build_index(docs: DataFrame, pairs: DataFrame, reach: int = WINDOW - 1) -> D
     spread = docs.select(*KEY, "doc_words", F.posexplode_outer("doc_words").alias("pos", "w")).withColumn("term_key", case_key("w"))
     found = join_checked(spread, terms, "term_key", "inner").where(lowered("w") == F.col("term"))
     before = F.least(F.col("pos"), F.lit(reach))
-    around = F.transform(F.slice("doc_words", F.col("pos") - before + 1, before + 1 + reach), lowered)
+    around = F.slice("doc_words", F.col("pos") - before + 1, before + 1 + reach)  # lower-cased later: a lambda here would write out doc_words for every posting
     return durable(found.select("term", *KEY, "pos", F.when(F.col("rarest"), before).alias("before"), F.when(F.col("rarest"), around).alias("around")), "postings")
 
 
@@ -109,7 +109,7 @@ def phrase_hits(met: DataFrame, items: DataFrame) -> DataFrame:
     """KEY, item_id and hit: the document positions of exact window occurrences on an alignment."""
     rows = join_checked(met, items.select("item_key", "item_id", "item_words", "need"), "item_key", "inner")
     first = lambda x: x["first"] - x["before"]  # noqa: E731  item position of the first word around
-    agree = lambda x: F.transform(x["around"], lambda word, k: F.when(F.get("item_words", first(x) + k) == word, first(x) + k))
+    agree = lambda x: F.transform(x["around"], lambda word, k: F.when(F.get("item_words", first(x) + k) == lowered(word), first(x) + k))
     near = F.transform("found", lambda x: F.filter(agree(x), lambda p: p.isNotNull()))
     exact = rows.select(*KEY, "item_id", "shift", "need", F.size("item_words").alias("n"), F.array_distinct(F.flatten(near)).alias("same"))
     starts = F.filter(F.sequence(F.lit(0), F.col("n") - F.col("need")), lambda s: F.size(F.array_intersect(F.sequence(s, s + F.col("need") - 1), F.col("same"))) == F.col("need"))

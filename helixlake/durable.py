@@ -50,3 +50,13 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str, max_rows: int =
     if small.limit(max_rows + 1).count() <= max_rows:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def apart(aggregated: DataFrame, *keys: str) -> DataFrame:
+    """An aggregate dealt out by another hash of its keys, ahead of a join on them.
+
+    Adaptive execution splits skewed partitions only of joins whose sides are plain exchanges. A side
+    that ends in an aggregate on the join's keys is none; this gives it an exchange of its own, which
+    carries only the aggregate's rows, so that the other side's hot key can be split.
+    """
+    return aggregated.repartition(F.xxhash64(*keys, F.lit(1)))

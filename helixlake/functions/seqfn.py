@@ -73,12 +73,16 @@ def hex_to_nt(hexed: Column | str) -> Column:
     return F.upper(out)
 
 
+def pieces(text: Column | str, size: int) -> Column:
+    """The string in pieces of a fixed size, the last one shorter; empty for an empty string. One pass, whereas
+    substr by position walks a string from its start each time."""
+    return F.regexp_extract_all(col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def nt_to_hex(seq: Column | str) -> Column:
     """Inverse of hex_to_nt, two bases to a digit."""
-    s = F.lower(col(seq))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(s), F.lit(2)), lambda p: F.substr(s, p, F.lit(2)))
-    table = F.create_map(*[F.lit(x) for k, d in enumerate(HEX) for x in ((NT[k // 4] + NT[k % 4]).lower(), d)])
-    return F.when(F.length(s) > 0, F.array_join(F.transform(pairs, lambda p: table[p]), "")).otherwise("")
+    table = F.create_map(*[F.lit(x) for k, d in enumerate(HEX) for x in (NT[k // 4] + NT[k % 4], d)])
+    return F.array_join(F.transform(pieces(seq, 2), lambda p: table[p]), "")
 
 
 def hex_to_bits(hexed: Column | str) -> Column:
@@ -93,9 +97,7 @@ def hex_to_bits(hexed: Column | str) -> Column:
 
 def bits_to_hex(bits: Column | str) -> Column:
     """Inverse of hex_to_bits; the length must divide by four."""
-    b = col(bits)
-    quads = F.transform(F.sequence(F.lit(1), F.length(b), F.lit(4)), lambda p: F.conv(F.substr(b, p, F.lit(4)), 2, 16))
-    return F.when(F.length(b) > 0, F.array_join(quads, "")).otherwise("")
+    return F.array_join(F.transform(pieces(bits, 32), lambda b: F.lpad(F.conv(b, 2, 16), (F.length(b) / 4).cast("int"), F.lit("0"))), "")
 
 
 def melting_temp(seq: Column | str, na_mm: float = 50.0, strand_nm: float = 25.0) -> Column:

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.durable import durable, join_checked
-from helixlake.llm.components import connected
+from helixlake.durable import apart, durable, join_checked
+from helixlake.operators.components import connected
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BLOCK_NODES, BLOCK_GRAMS = 512, 400_000
@@ -136,7 +136,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     """Star edges (u, v): each node of a shared bucket to the bucket's smallest node."""
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
     stars = spread.groupBy("bucket").agg(F.count("*").alias("c"), F.min("node").alias("hub")).where("c > 1").drop("c")
-    return spread.join(stars, "bucket").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    return spread.join(apart(stars, "bucket"), "bucket").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
 
 
 def overlaps(grams: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -231,7 +231,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     part = nodes.drop("bands").join(near, "node")
     sizes = part.groupBy("root").agg(F.count("*").alias("k"), F.sum(F.col("n_grams").cast("long")).alias("g"))
     blocks = F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
-    members = part.join(sizes, "root").select(
+    members = part.join(apart(sizes, "root"), "root").select(
         "node", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"), F.col("root").alias("component"), "n_docs", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks")
     )
     judged = durable(verify(docs, durable(members, "members"), id_col, text, threshold), "judged")
@@ -240,7 +240,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     info = nodes.select("node", "n_docs", "rep").join(links, "node", "left").join(classes, "node", "left")
     info = info.where("n_docs > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
     of_class = info.groupBy("root").agg(F.min("rep.id").alias("class_id"), F.min("rep").alias("best"), F.sum("n_docs").alias("class_size"))
-    info = info.join(of_class, "root").select("node", "class_id", "best", "class_size", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    info = info.join(apart(of_class, "root"), "root").select("node", "class_id", "best", "class_size", (F.col("n_docs") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     joined = rows_of.select("doc_id", "text_key", "n_grams", "node").join(info, "node", "left")
     lone = (F.col("n_grams") == 0) | F.col("links").isNull()
     return joined.select(

@@ -72,11 +72,11 @@ def tree_merge(rows: DataFrame, id_col: str = "doc_id", keep: str = "largest", f
     """
     spark = rows.sparkSession
     slots = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(0, math.ceil(math.log2(max(1, slots))))
+    bits = max(1, math.ceil(math.log2(max(1, slots))))  # one round at least: there may be more partitions than slots
     step = max(1, int(math.log2(fan_in)))
     largest = keep == "largest"
     none = NO_ID if largest else 2**63 - 1
-    prefix = F.shiftright(F.conv(F.substring("digest", 1, 6), 16, 10).cast("int"), 24 - bits) if bits else F.lit(0)
+    prefix = F.shiftright(F.conv(F.substring("digest", 1, 6), 16, 10).cast("int"), 24 - bits)
 
     def level(df: DataFrame) -> DataFrame:
         return df.sortWithinPartitions(*KEY).mapInArrow(lambda batches: merge_sorted(batches, largest), RUN)

@@ -18,13 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def strands_of(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """file_id, pos, seq: strands of each row's text. A table in fewer splits than cores is dealt out first."""
+    spread = dealt_out(rows.select(key, text), key).select(F.col(key).alias("file_id"), F.posexplode(seqfn.pieces(F.hex(F.encode(text, "UTF-8")), 50)).alias("pos", "part"))
+    return spread.select("file_id", F.col("pos").cast("long").alias("pos"), seqfn.hex_to_nt(F.rpad("part", 50, "0")).alias("seq"))
+
+
+def dealt_out(rows: DataFrame, key: str) -> DataFrame:
+    """rows, dealt out by key if they come in fewer splits than there are cores."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    rows = rows.select(key, text)
-    if rows.rdd.getNumPartitions() < cores:
-        rows = rows.repartition(cores, key)
-    spread = rows.select(F.col(key).alias("file_id"), F.hex(F.encode(text, "UTF-8")).alias("h"))
-    cut = spread.select("file_id", F.posexplode(F.expr("transform(sequence(0, greatest(0, (length(h) + 49) div 50 - 1)), k -> substr(h, k * 50 + 1, 50))")).alias("pos", "part")).where("part <> ''")
-    return cut.select("file_id", F.col("pos").cast("long").alias("pos"), seqfn.hex_to_nt(F.rpad("part", 50, "0")).alias("seq"))
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def strands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.operators import preprocess
-from helixlake.plans.fixtures import ITEMS, READS, STRANDS, items, reads, strands, table
+from helixlake.plans.fixtures import ITEMS, READS, STRANDS, dealt_out, items, reads, strands, table
 from helixlake.plans.registry import query
 from helixlake.sources import readers, writers
 
@@ -55,7 +55,7 @@ def src3_strand_bytes(spark, sf_dir):
 @query(f"""WITH b AS (SELECT doc_id AS file_id, {BITS.format('encode(text)')} AS b FROM documents)
 SELECT file_id, k AS seg_no, rpad(substr(b, k * 120 + 1, 120), 120, '0') AS bits FROM (SELECT file_id, b, unnest(range((length(b) + 119) // 120)) AS k FROM b)""")
 def src4_bit_segments(spark, sf_dir):
-    return readers.bit_segments(table(spark, sf_dir, "documents"), "doc_id", F.encode("text", "UTF-8"))
+    return readers.bit_segments(dealt_out(table(spark, sf_dir, "documents"), "doc_id"), "doc_id", F.encode("text", "UTF-8"))
 
 
 @query(f"""WITH b AS (SELECT p_partkey AS file_id, {BITS.format('encode(p_name)')} AS b FROM part)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helixlake.functions import seqfn
 from helixlake.operators import cluster, codec, consensus, jobs
-from helixlake.plans.fixtures import ITEMS, READS, STRANDS, items, reads, strands, table
+from helixlake.plans.fixtures import ITEMS, READS, STRANDS, dealt_out, items, reads, strands, table
 from helixlake.plans.q_sources import BITS
 from helixlake.plans.registry import query
 from helixlake.sources import readers
@@ -72,7 +72,7 @@ def cod6_reed_solomon(spark, sf_dir):
 
 @query(f"WITH {STRANDS} SELECT file_id, pos, seq FROM strands")
 def cod7_base(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("data"))
+    rows = dealt_out(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("data")), "file_id")
     cut = readers.bit_segments(rows, "file_id", F.col("data"), 200)
     return cut.select("file_id", F.col("seg_no").alias("pos"), seqfn.hex_to_nt(seqfn.bits_to_hex("bits")).alias("seq"))
 
@@ -127,7 +127,7 @@ def cod14_info(spark, sf_dir):
 
 @query("SELECT doc_id AS file_id, text FROM documents")
 def cod15_reassembled(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("data"))
+    rows = dealt_out(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("data")), "file_id")
     back = codec.reassembled(readers.bit_segments(rows, "file_id", F.col("data")), rows.select("file_id", readers.bit_size(F.col("data")).alias("bit_size")))
     return back.select("file_id", F.decode("data", "UTF-8").alias("text"))
 

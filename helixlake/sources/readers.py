@@ -38,10 +38,13 @@ def strand_lines(lines: DataFrame, keep_blank: bool = False) -> DataFrame:
 
 def bit_segments(rows: DataFrame, key: str, data: Column, segment_length: int = 120) -> DataFrame:
     """file_id, seg_no, bits: 8 bits a byte, most significant first, the last segment padded with 0."""
-    bits = rows.select(F.col(key).alias("file_id"), seqfn.hex_to_bits(F.hex(data)).alias("b"))
-    n = F.ceil(F.length("b") / segment_length).cast("int")
-    cut = bits.where("b <> ''").select("file_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.rpad(F.substr("b", k * segment_length + 1, F.lit(segment_length)), segment_length, "0"))).alias("seg_no", "bits"))
-    return cut.withColumn("seg_no", F.col("seg_no").cast("long"))
+    hexed = F.hex(data)
+    if segment_length % 4 == 0:
+        parts, full = seqfn.pieces(hexed, segment_length // 4), lambda p: seqfn.hex_to_bits(F.rpad(p, segment_length // 4, "0"))
+    else:
+        parts, full = seqfn.pieces(seqfn.hex_to_bits(hexed), segment_length), lambda p: F.rpad(p, segment_length, "0")
+    cut = rows.select(F.col(key).alias("file_id"), F.posexplode(parts).alias("seg_no", "part"))
+    return cut.select("file_id", F.col("seg_no").cast("long").alias("seg_no"), full(F.col("part")).alias("bits"))
 
 
 def bit_size(data: Column) -> Column:

@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Bounds of the fit: texts sampled per language, characters taken of each, characters per dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_CHARS = 400, 500, 128_000
+from helixlake.llm.arrow import map_batches
+
+#: Bounds of the fit: texts sampled per language, characters taken of each, characters per dictionary, languages.
+SAMPLE_DOCS, SAMPLE_CHARS, DICT_CHARS, MAX_LANGUAGES = 400, 500, 128_000, 200
 CHUNK = 4096
 LEVEL = 6
 #: A margin (1 - smallest / second smallest size) below this is a rejection.
@@ -42,12 +44,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     frequent language first.
 
     The fit is bounded: about SAMPLE_DOCS texts per language, picked by a hash of the id, give at
-    most SAMPLE_CHARS characters each and DICT_CHARS in all. Languages without a letter in their
+    most SAMPLE_CHARS characters each and DICT_CHARS in all, for the MAX_LANGUAGES most frequent
+    labels. Languages without a letter in their
     sample are left out; no labelled rows give no languages.
     """
     rows = docs.where(~held_out(id_col) & F.col(text).isNotNull() & F.col(lang).isNotNull())
     rows = rows.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1_000_000)).alias("h"))
-    share = rows.groupBy("l").agg(F.count("*").alias("n"))
+    share = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES)
     drawn = rows.join(F.broadcast(share.select("l", (F.lit(2_000_000 * SAMPLE_DOCS) / F.col("n")).alias("below"))), "l").where("h < below")
     drawn = drawn.select("l", "h", F.substring("t", 1, SAMPLE_CHARS).alias("t"))
     found: dict[str, list[tuple]] = {}
@@ -109,7 +112,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             new = [pa.array([f[k] for f in found], type=t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.names)
 
-    return docs.select(*kept, F.col(text).alias("__hl_text")).mapInArrow(run, schema)
+    return map_batches(docs.select(*kept, F.col(text).alias("__hl_text")), run, schema)
 
 
 def language_of(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:

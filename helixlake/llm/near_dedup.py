@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.durable import apart, durable, join_checked
+from helixlake.llm.arrow import hand_back, map_batches
 from helixlake.operators.components import connected
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -129,7 +130,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, bands: int, rows: int, c
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows_in = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
-    return rows_in.mapInArrow(run, f"doc_id {kind}, text_key long, node binary, n_grams int, bands array<long>")
+    return map_batches(rows_in, run, f"doc_id {kind}, text_key long, node binary, n_grams int, bands array<long>")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
@@ -192,7 +193,7 @@ def verify(docs: DataFrame, members: DataFrame, id_col: str, text: str, threshol
             blobs = [np.unique(gram_hashes(word_hashes(x.as_py(), known))).tobytes() for x in batch.column(5)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(blobs, pa.binary())], names=["node", "component", "n_docs", "block", "blocks", "grams"])
 
-    found = texts.mapInArrow(sets, "node binary, component binary, n_docs long, block int, blocks int, grams binary")
+    found = map_batches(texts, sets, "node binary, component binary, n_docs long, block int, blocks int, grams binary")
     pairs = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n_docs", "grams")
 
@@ -203,6 +204,8 @@ def verify(docs: DataFrame, members: DataFrame, id_col: str, text: str, threshol
         grams = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("grams")]
         side = None if i == j else table.column("block").to_numpy()
         hit = links_within(grams, side, threshold)
+        if len(grams) > 64:
+            hand_back()
         names = table.column("node").to_pylist()
         return pa.table({
             "node": pa.array(names, pa.binary()),

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from helixlake.durable import durable
+from helixlake.llm.arrow import map_batches
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -42,19 +43,23 @@ def encoder(path: str):
 
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
+    @lru_cache(maxsize=1)
+    def exact() -> Tokenizer:
+        return Tokenizer.from_file(path)
+
     ranks = Path(path).with_suffix(".tiktoken")
     if not ranks.exists():
-        return lambda text: exact.encode(text, add_special_tokens=False).ids
+        return lambda text: exact().encode(text, add_special_tokens=False).ids
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
     pairs = (line.split() for line in ranks.read_bytes().splitlines())
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
-    return lambda text: exact.encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text)
+    special = [t["content"] for t in json.loads(Path(path).read_text()).get("added_tokens", [])]
+    return lambda text: exact().encode(text, add_special_tokens=False).ids if any(s in text for s in special) else fast.encode_ordinary(text)
 
 
 def cut(length: int, capacity: int) -> list[int]:
@@ -92,7 +97,7 @@ def tokenise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path:
             if out:
                 yield _batch(out, names, kind)
 
-    return docs.select(F.col(id_col), F.col(text).alias("__hl_text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(id_col), F.col(text).alias("__hl_text")), run, schema)
 
 
 def _batch(rows: list[tuple], names: list[str], kind: pa.DataType) -> pa.RecordBatch:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.durable import durable, fresh_path
+from helixlake.llm.arrow import map_batches
 from helixlake.llm.packing import encoder, tokenizer_path
 from helixlake.llm.words import raw_words
 
@@ -50,7 +51,7 @@ def counted(docs: DataFrame, tokenizers: dict | None = None, text: str = "text")
                 kind = pa.list_(pa.struct([("tokenizer", pa.string()), ("tokens", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(more, type=kind)], names=["doc_id", "source", "lang", "counts"])
 
-        rows = rows.mapInArrow(run, "doc_id long, source string, lang string, counts array<struct<tokenizer: string, tokens: bigint>>")
+        rows = map_batches(rows, run, "doc_id long, source string, lang string, counts array<struct<tokenizer: string, tokens: bigint>>")
     spread = rows.select("doc_id", "source", "lang", F.explode("counts").alias("c"))
     return spread.select("doc_id", "source", "lang", "c.tokenizer", "c.tokens", F.lit(1).cast("long").alias("docs"))
 

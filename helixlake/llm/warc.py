@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.durable import durable, fresh_path
+from helixlake.durable import apart, durable, fresh_path
+from helixlake.llm.arrow import map_batches
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 256 << 20, 3
 #: Fixed values of the zstd seekable format.
@@ -161,7 +162,7 @@ def roles(pages: DataFrame, id_col: str = "page_id", payload: str = "html", min_
     keys = [F.sha1(F.encode(body, "UTF-8")).alias("k"), F.octet_length(body).alias("n")]
     groups = pages.select(F.col(id_col).alias("page_id"), *keys).where(F.col("n") >= min_bytes).groupBy("k", "n").agg(F.max("page_id").alias("best"), F.count("*").alias("c"))
     groups = groups.where("c > 1").drop("c")
-    marked = rows.withColumns({"k": F.sha1(F.encode("payload", "UTF-8")), "n": F.octet_length("payload")}).join(groups, ["k", "n"], "left")
+    marked = rows.withColumns({"k": F.sha1(F.encode("payload", "UTF-8")), "n": F.octet_length("payload")}).join(apart(groups, "k", "n"), ["k", "n"], "left")
     again = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     return marked.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("best")).alias("refers_to"))
 
@@ -199,7 +200,7 @@ def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
             yield from rows_of(writer.close())
             writer.sink.close()
 
-    return durable(rows.mapInArrow(run, INDEX), "warc-index")
+    return durable(map_batches(rows, run, INDEX), "warc-index")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
@@ -239,7 +240,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return index.repartition("bundle").sortWithinPartitions("bundle", "frame", "record_offset").mapInArrow(run, schema)
+    return map_batches(index.repartition("bundle").sortWithinPartitions("bundle", "frame", "record_offset"), run, schema)
 
 
 def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", payload: str = "html", min_bytes: int = 0) -> tuple[DataFrame, str]:

@@ -17,6 +17,11 @@ def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
     return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
+def _mark(edges: DataFrame):
+    """Count and hash sum: equal for equal edge sets."""
+    return edges.agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20)).alias("h")).first()
+
+
 def connected(edges: DataFrame, limit: int = 60) -> DataFrame:
     """node and root (smallest node of its component) of every node that has an edge (u, v).
 
@@ -25,15 +30,16 @@ def connected(edges: DataFrame, limit: int = 60) -> DataFrame:
     reaches the driver. Raises if `limit` rounds don't suffice (they are logarithmic in practice).
     """
     now = durable(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
-    mark = None
+    mark = _mark(now)
     for _ in range(limit):
+        if not mark["n"]:
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both, True).where("u <> v").distinct()
         now = durable(_stars(large, False).where("u <> v").distinct(), "edges")
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20)).alias("h")).first()
-        if seen == mark or not seen["n"]:
+        before, mark = mark, _mark(now)
+        if mark == before:
             break
-        mark = seen
     else:
         raise RuntimeError(f"components didn't settle in {limit} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())

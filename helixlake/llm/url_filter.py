@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.durable import apart
 from helixlake.llm.words import lowered
 
 #: Suffixes of two labels under which names are registered.
@@ -86,7 +87,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     k_suffix, k_domain, k_host = (_strength(x, mean) for x in (suffixes, domains, hosts))
     post = lambda k, prior: (F.col("bad") + k * prior) / (F.col("n") + k)
     suffixes = suffixes.select("suffix", post(k_suffix, F.lit(mean)).alias("suffix_rate"))
-    domains = domains.join(suffixes, "suffix").select("domain", post(k_domain, F.col("suffix_rate")).alias("domain_rate"))
+    domains = domains.join(apart(suffixes, "suffix"), "suffix").select("domain", post(k_domain, F.col("suffix_rate")).alias("domain_rate"))
     rated = hosts.join(domains, "domain").select("host", post(k_host, F.col("domain_rate")).alias("bad_rate"), (F.col("n") + k_host).alias("size"))
     return rated.select("host", "bad_rate", (F.col("bad_rate") - Z * F.sqrt(F.col("bad_rate") * (1 - F.col("bad_rate")) / (F.col("size") + 1))).alias("bad_low"))
 
@@ -112,4 +113,4 @@ def numbered_outcomes(pages: DataFrame, labels: DataFrame, url: str = "url") ->
     number = F.regexp_extract(path_of(url), r"/([0-9]{1,18})(?:\.html|/)?$", 1)
     rows = pages.select(host_of(url).alias("host"), F.when(number != "", number.cast("long")).alias("doc_id"))
     bad = labels.groupBy("doc_id").agg(F.max(((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")).alias("bad"))
-    return rows.join(bad, "doc_id", "left").select("host", "bad")
+    return rows.join(apart(bad, "doc_id"), "doc_id", "left").select("host", "bad")

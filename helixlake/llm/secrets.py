@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.durable import durable
+from helixlake.llm.arrow import map_batches
 from helixlake.llm.words import lowered, raw_words
 
 #: Bounds of the fit: words of the dictionary (the most frequent of the whole corpus) and labelled findings.
@@ -37,6 +38,9 @@ PROVIDERS = {
 NAMES = "password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|private_?key"
 _ASSIGNED = re.compile(rf"(?i)(?:{NAMES})['\"]?\s{{0,3}}(?:=|:|:=|=>)\s{{0,3}}['\"]?([^\s'\",;]{{8,200}})")
 _LONG = re.compile(r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,199}[0-9])[A-Za-z0-9_+/=-]{12,200}(?![A-Za-z0-9_+/=-])")
+_DIGIT = re.compile("[0-9]")
+#: A text without any of these holds no such secret.
+MARKS = {"aws": ("AKIA", "ASIA"), "github": ("gh",), "slack": ("xox",), "google": ("AIza",), "jwt": ("eyJ",), "pem": ("-----BEGIN",)}
 _PROVIDERS = [(k, re.compile(p)) for k, p in PROVIDERS.items()]
 _GOOD = re.compile(rf"(?i)\b(?:{NAMES}|bearer|key)\b")
 _BAD = re.compile(r"(?i)\b(?:sha\d*|md5|commit|checksum|digest|hash|uuid|guid|example|sample|placeholder|test|isbn|version|license)\b")
@@ -49,11 +53,13 @@ SCHEMA = "start int, end int, kind string, label double, feats array<double>"
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of findings, the most specific kind for overlapping ones, by start."""
     found: list[tuple[int, int, str]] = []
-
     for kind, pattern in _PROVIDERS:
-        found += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
+        if any(mark in text for mark in MARKS[kind]):
+            found += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
     taken = sorted(found)
-    for kind, spans in (("assigned", (m.span(1) for m in _ASSIGNED.finditer(text))), ("long", (m.span() for m in _LONG.finditer(text)))):
+    assigned = _ASSIGNED.finditer(text) if "=" in text or ":" in text else ()
+    long = _LONG.finditer(text) if _DIGIT.search(text) else ()
+    for kind, spans in (("assigned", (m.span(1) for m in assigned)), ("long", (m.span() for m in long))):
         new, k = [], 0
         for a, b in spans:
             while k < len(taken) and taken[k][1] <= a:
@@ -119,8 +125,9 @@ def describe(text: str, start: int, end: int, kind: str, path: str, language: La
 
 def word_counts(docs: DataFrame, text: str = "text") -> dict[str, int]:
     """Counts of the DICTIONARY most frequent words of letters, counted over all texts."""
-    spread = docs.select(F.explode_outer(raw_words(text)).alias("w")).select(lowered("w").alias("w")).where(F.length("w").between(2, 20) & ~F.col("w").rlike("[0-9]"))
-    top = spread.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "w").limit(DICTIONARY)
+    spellings = docs.select(F.explode_outer(raw_words(text)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))  # each spelling is lower-cased once
+    counts = spellings.where(F.length("w").between(2, 20) & ~F.col("w").rlike("[0-9]")).groupBy(lowered("w").alias("w")).agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "w").limit(DICTIONARY)
     return {r["w"]: r["n"] for r in top.collect()}
 
 
@@ -141,7 +148,7 @@ def findings(docs: DataFrame, language: Language, id_col: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", *[x.split()[0] for x in SCHEMA.split(", ")]])
 
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), where.alias("path")).mapInArrow(run, f"doc_id {kind_of_id}, {SCHEMA}")
+    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), where.alias("path")), run, f"doc_id {kind_of_id}, {SCHEMA}")
 
 
 def scored(found: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.durable import apart
+from helixlake.durable import apart, durable
 from helixlake.functions import seqfn
 from helixlake.operators.components import connected
 
@@ -182,7 +182,7 @@ def star_edges(signed: DataFrame, seed: int = 0, functions: int = FUNCTIONS) ->
     """band, centre, read: each bucket's reads with its smallest one. The bucket's minimum is joined back, so a
     bucket is never gathered and no pairs are formed within."""
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.concat_ws("|", *[F.get("sig", F.lit(f)).cast("string") for f in fs]).alias("key")) for b, fs in enumerate(band_rows(seed, functions))])
-    spread = signed.select("read_id", F.explode(keys).alias("x")).select("read_id", "x.band", "x.key")
+    spread = durable(signed.select("read_id", F.explode(keys).alias("x")).select("read_id", "x.band", "x.key"), "bands")  # read twice
     centres = spread.groupBy("band", "key").agg(F.min("read_id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     return spread.join(apart(centres, "band", "key"), ["band", "key"]).where("read_id <> centre").select("band", "centre", F.col("read_id").alias("read")).distinct()
 
@@ -334,8 +334,6 @@ def refinement(assigned: DataFrame, sizes: DataFrame, reps: DataFrame, sketched:
 
 def hash_sketch_clusters(reads: DataFrame, size: int = 5, drift: int = 2, k: int = 14, least: int = 5) -> DataFrame:
     """read_id, centre after clustering, merging of good clusters and refinement; thresholds are 3 / size."""
-    from helixlake.durable import durable
-
     sketched = durable(sketches(reads, k=k, drift=drift, size=size), "sketches")
     assigned = durable(sketch_clusters(reads, sketched, drift), "sketch-clusters")
     reps = durable(representatives(assigned, sketched), "representatives")

@@ -9,7 +9,7 @@ from helixlake.operators import cluster, codec, consensus, jobs
 from helixlake.plans.fixtures import ITEMS, READS, STRANDS, dealt_out, items, reads, strands, table
 from helixlake.plans.q_sources import BITS
 from helixlake.plans.registry import query
-from helixlake.sources import readers
+from helixlake.sources import readers, writers
 
 SEGMENT = 120
 SEGS = f"""bits AS (SELECT item_id AS file_id, {BITS.format('encode(text)')} AS b FROM benchmark), segs AS (SELECT file_id, k AS seg_no, rpad(substr(b, k * 120 + 1, 120), 120, '0') AS bits
@@ -279,6 +279,22 @@ def clu26_refined(spark, sf_dir):
     return cluster.refined(cluster.star_clusters(star_edges(spark, sf_dir)), rows)
 
 
+@query()
+def clu27_labelled_output(spark, sf_dir):
+    """Refined clusters as labelled FASTA; both output forms hold the refined ones."""
+    rows = reads(spark, sf_dir)
+    found = cluster.refined(cluster.star_clusters(star_edges(spark, sf_dir)), rows).groupBy("read").agg(F.min("centre").alias("centre"))
+    known = found.withColumnRenamed("read", "read_id").join(rows, "read_id")
+    return writers.labelled_fasta(known.select("file_id", (F.col("pos") * 5 + F.col("copy")).alias("seq_label"), F.split_part("centre", F.lit("-"), F.lit(2)).cast("long").alias("cluster_id"), "seq"))
+
+
+@query()
+def msa2_all_clusters(spark, sf_dir):
+    """Alignments of all clusters of whatever size: rows and columns of each."""
+    done = msa1_aligned(spark, sf_dir)
+    return done.groupBy("cluster").agg(F.count("*").alias("rows"), F.max(F.length("aligned")).alias("columns"), F.count_distinct(F.length("aligned")).alias("widths"))
+
+
 _SLOTS = " UNION ALL ".join(f"SELECT read_id, {s} AS slot, {d} AS drift, substr(seq, {1 + s * 20 + d}, 14) AS w FROM reads" for s in range(5) for d in range(5))
 SKETCH = f"{READS}, w AS ({_SLOTS}), sk AS (SELECT read_id, slot, drift, list_sum(list_transform(range(14), lambda j: (instr('ACGT', substr(w, j + 1, 1)) - 1) * (4 ** j)::BIGINT))::BIGINT AS code FROM w WHERE length(w) = 14)"
 

@@ -25,7 +25,7 @@ from helixlake.llm.arrow import hand_back, map_batches
 from helixlake.operators.components import connected
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
-BLOCK_NODES, BLOCK_GRAMS = 512, 400_000
+BLOCK_NODES, BLOCK_GRAMS, FINE_NODES, FINE_BLOCKS = 512, 400_000, 128, 32
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -233,7 +233,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     near = connected(candidates(nodes))
     part = nodes.drop("bands").join(near, "node")
     sizes = part.groupBy("root").agg(F.count("*").alias("k"), F.sum(F.col("n_grams").cast("long")).alias("g"))
-    blocks = F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
+    # Many small blocks spread a hot group over tasks, few large ones copy it less: fine up to FINE_BLOCKS of them.
+    fine = F.least(F.ceil(F.col("k") / FINE_NODES), F.lit(FINE_BLOCKS))
+    blocks = F.greatest(fine, F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
     members = part.join(apart(sizes, "root"), "root").select(
         "node", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"), F.col("root").alias("component"), "n_docs", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks")
     )

@@ -163,10 +163,13 @@ def affine(seed: int, functions: int = FUNCTIONS) -> list[tuple[int, int]]:
 
 
 def signatures(indexed: DataFrame, seed: int = 0, functions: int = FUNCTIONS) -> DataFrame:
-    """indexed with sig: the least hash of its codes by function."""
-    table = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in affine(seed, functions)])
-    least = F.transform(table, lambda f: F.array_min(F.transform("codes", lambda c: F.pmod(f["a"] * c + f["b"], F.lit(PRIME)))))
-    return indexed.where(F.size("codes") > 0).withColumn("sig", least)
+    """read_id, sig: the least hash of a read's codes by function; reads without codes are left out.
+
+    Minima over exploded codes run in generated code; a read's codes lie in one partition, so the partial
+    aggregate leaves a row per read to shuffle."""
+    codes = indexed.select("read_id", F.explode(F.array_distinct("codes")).alias("c"))
+    least = [F.min(F.pmod(F.lit(a).cast("long") * F.col("c") + F.lit(b).cast("long"), F.lit(PRIME).cast("long"))).alias(f"h{k}") for k, (a, b) in enumerate(affine(seed, functions))]
+    return codes.groupBy("read_id").agg(*least).select("read_id", F.array(*[F.col(f"h{k}") for k in range(functions)]).alias("sig"))
 
 
 def band_rows(seed: int, functions: int = FUNCTIONS, rows: int = ROWS, similarity: float = SIMILARITY) -> list[list[int]]:

@@ -18,8 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def strands_of(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """file_id, pos, seq: strands of each row's text. A table in fewer splits than cores is dealt out first."""
-    spread = dealt_out(rows.select(key, text), key).select(F.col(key).alias("file_id"), F.posexplode(seqfn.pieces(F.hex(F.encode(text, "UTF-8")), 50)).alias("pos", "part"))
-    return spread.select("file_id", F.col("pos").cast("long").alias("pos"), seqfn.hex_to_nt(F.rpad("part", 50, "0")).alias("seq"))
+    parts = seqfn.pieces(F.hex(F.encode(text, "UTF-8")), 50)
+    seqs = F.transform(parts, lambda p: seqfn.hex_to_nt(F.rpad(p, 50, "0")))  # before the explode: a filter on seq can't repeat it then
+    spread = dealt_out(rows.select(key, text), key).select(F.col(key).alias("file_id"), F.posexplode_outer(seqs).alias("pos", "seq"))
+    return spread.where("seq IS NOT NULL").select("file_id", F.col("pos").cast("long").alias("pos"), "seq")
 
 
 def dealt_out(rows: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import brute
@@ -187,6 +188,24 @@ def test_secrets_of_odd_rows(spark, docs, empty):
     assert want <= got
 
 
+@pytest.mark.parametrize("n", [200, 201, 356, 5_000])
+def test_secrets_are_found_whole_at_any_length(n):
+    value = "".join(random.Random(n).choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(n - 1)) + "7"
+    assert secrets.find(f"see {value} here") == [(4, 4 + n, "long")]
+    assert secrets.find("see " + "x" * (n - 1) + "7 here") == [(4, 4 + n, "long")]
+    assert secrets.find(f"AWS_SESSION_TOKEN={value} here") == [(18, 18 + n, "assigned")]
+    assert secrets.find(f"see xoxb-{value} here") == [(4, 9 + n, "slack")]
+
+
+def test_secret_search_is_linear():
+    took = []
+    for n in (100_000, 800_000):
+        began = time.process_time()
+        assert secrets.find("token=" + "x" * n + " " + "y" * n + " " + "z-" * n + "1") == [(0 + 6, 6 + n, "assigned"), (8 + 2 * n, 9 + 4 * n, "long")]
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.01)
+
+
 # op5
 
 

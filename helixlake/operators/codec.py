@@ -7,6 +7,9 @@ Reed-Solomon and the fountain's peeling are Arrow-batched Python.
 
 from __future__ import annotations
 
+import bisect
+import functools
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.durable import apart, durable
 from helixlake.functions import rng, seqfn
 from helixlake.functions.seqfn import NT
 from helixlake.sources.readers import bit_segments
@@ -453,6 +457,11 @@ def yin_yang_segments(strands: DataFrame) -> DataFrame:
     return rows.select("file_id", (2 * F.col("pos") + F.col("k")).alias("seg_no"), "bits")
 
 
+@functools.lru_cache(maxsize=64)
+def _soliton(k: int) -> list[float]:
+    return soliton(k)
+
+
 def soliton(k: int, c: float = 0.1, delta: float = 0.05) -> list[float]:
     """Cumulative robust soliton distribution of degrees 1..k."""
     s = c * math.log(k / delta) * math.sqrt(k) if k > 1 else 1.0
@@ -467,29 +476,90 @@ def soliton(k: int, c: float = 0.1, delta: float = 0.05) -> list[float]:
     return out
 
 
-def droplets(segments: DataFrame, totals: DataFrame, redundancy: float = 0.5, seed: int = 0, longest_run: int = 4, gc: tuple[float, float] = (0.35, 0.65), tries: int = 4, levels: int = 64) -> DataFrame:
+def members_of(seed: int, file_id: object, droplet: int, total: int) -> list[int]:
+    """Segments of a droplet: as many as the robust soliton of `total` gives, distinct (Floyd's sampling), sorted."""
+    draw = lambda *c: int(hashlib.md5("|".join(map(str, (seed, *c))).encode()).hexdigest()[:8], 16)
+    degree = min(total, bisect.bisect_right(_soliton(total), draw("deg", file_id, droplet) / rng.SPAN) + 1)
+    chosen: set[int] = set()
+    for k in range(total - degree, total):
+        at = draw("pick", file_id, droplet, k) % (k + 1)
+        chosen.add(k if at in chosen else at)
+    return sorted(chosen)
+
+
+def droplets(segments: DataFrame, totals: DataFrame, redundancy: float = 0.5, seed: int = 0, longest_run: int = 4, gc: tuple[float, float] = (0.35, 0.65), tries: int = 4, rounds: int = 10) -> DataFrame:
     """file_id, droplet, members, hex, seq: XORs of hash-chosen segments (file_id, seg_no, hex) that pass the GC
-    and run screens; (1 + redundancy) times as many as segments are kept, of `tries` times as many made.
+    and run screens, by droplet number: the first (1 + redundancy) times as many as segments, and more where
+    those don't peel back to every segment.
 
-    totals has file_id and total. Degrees follow the ideal soliton by inversion, d = ceil(1/u), capped at
-    `levels` and the file's total, with every fourth droplet of degree 1."""
+    totals has file_id and total. Degrees follow the robust soliton of the file's total. The first round makes
+    `tries` times the wanted number, each further one twice as many as the one before, for the files that still
+    lack droplets; raises if `rounds` of them don't suffice."""
     want = F.ceil(F.col("total") * (1 + redundancy)).cast("int")
-    made = totals.withColumn("droplet", F.explode(F.sequence(F.lit(0), want * tries - 1))).withColumn("want", want)
-    u = rng.uniform(rng.digest(seed, F.lit("deg"), "file_id", "droplet"))
-    degree = F.when(F.col("droplet") % 4 == 0, 1).otherwise(F.least(F.lit(levels), F.ceil(1 / F.greatest(u, F.lit(1e-9))), F.col("total"))).cast("int")
-    picks = F.array_distinct(F.transform(F.sequence(F.lit(1), degree), lambda k: F.pmod(rng.draw(rng.digest(seed, F.lit("pick"), "file_id", "droplet", k)), F.col("total"))))
-    chosen = made.select("file_id", "droplet", "want", F.explode(picks).alias("seg_no"))
+    pending = durable(totals.select("file_id", F.col("total").cast("long").alias("total"), want.alias("want")), "fountain-files")
     words = segments.select("file_id", "seg_no", F.posexplode(F.transform(seqfn.pieces(F.col("hex"), 8), lambda h: F.conv(h, 16, 10).cast("long"))).alias("w", "x"), F.length("hex").alias("n"))
-    xored = chosen.join(words, ["file_id", "seg_no"]).groupBy("file_id", "droplet", "want", "w", "n").agg(F.bit_xor("x").alias("x"), F.array_sort(F.collect_set("seg_no")).alias("members"))
+
+    @F.pandas_udf("array<long>")
+    def picked(file_id: pd.Series, droplet: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([members_of(seed, *x) for x in zip(file_id, droplet, total, strict=True)])
+
+    passed, lasts, begun = None, None, 0
+    for k in range(rounds):
+        end = begun + tries * 2**k
+        numbers = F.sequence(F.col("want").cast("long") * begun, F.col("want").cast("long") * end - 1)
+        made = pending.withColumn("droplet", F.explode(numbers)).withColumn("members", picked("file_id", "droplet", "total"))
+        good = durable(_screened(made, words, longest_run, gc), "droplets")
+        passed = good if passed is None else passed.unionByName(good)
+        found = durable(_enough(passed.select("file_id", "droplet", "members").join(pending, "file_id")), "fountain-last")
+        lasts = found if lasts is None else lasts.unionByName(found)
+        pending, begun = durable(pending.join(found, "file_id", "left_anti"), "fountain-files"), end
+        if pending.isEmpty():
+            return passed.join(apart(lasts, "file_id"), "file_id").where("droplet <= last").select("file_id", "droplet", "members", "hex", "seq")
+    raise ValueError(f"{pending.count()} files lack droplets that pass the screens and peel, among them {pending.first()['file_id']}")
+
+
+def _screened(made: DataFrame, words: DataFrame, longest_run: int, gc: tuple[float, float]) -> DataFrame:
+    """file_id, droplet, members, hex, seq of the droplets (file_id, droplet, members) that pass the screens."""
+    chosen = made.select("file_id", "droplet", "members", F.explode("members").alias("seg_no"))
+    xored = chosen.join(words, ["file_id", "seg_no"]).groupBy("file_id", "droplet", "members", "w", "n").agg(F.bit_xor("x").alias("x"))
     size = F.least(F.lit(8), F.col("n") - F.col("w") * 8)
     parts = xored.withColumn("h", F.lpad(F.hex("x"), 8, "0")).withColumn("h", F.when(size < 8, F.substr("h", 9 - size, size)).otherwise(F.col("h")))
-    whole = parts.groupBy("file_id", "droplet", "want", "members").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "h"))), lambda s: s["h"]), "").alias("hex"))
+    whole = parts.groupBy("file_id", "droplet", "members").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w", "h"))), lambda s: s["h"]), "").alias("hex"))
     strands = whole.withColumn("seq", seqfn.hex_to_nt("hex"))
-    good = strands.where(~seqfn.has_run("seq", longest_run + 1) & seqfn.gc_fraction("seq").between(*gc))
-    from pyspark.sql import Window
+    return strands.where(~seqfn.has_run("seq", longest_run + 1) & seqfn.gc_fraction("seq").between(*gc))
+
 
-    rank = F.row_number().over(Window.partitionBy("file_id").orderBy("droplet"))
-    return good.withColumn("rank", rank).where("rank <= want").select("file_id", "droplet", "members", "hex", "seq")
+def _enough(passed: DataFrame) -> DataFrame:
+    """file_id, last: the droplet by which a file (file_id, droplet, members, total, want) has `want` of them and they
+    peel back to all its segments. Files that have no such droplet yet are left out."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("droplet")
+        total, want = rows.column("total")[0].as_py(), rows.column("want")[0].as_py()
+        known: set[int] = set()
+        holders: dict[int, list[set]] = {}
+        out = []
+        for n, (droplet, members) in enumerate(zip(rows.column("droplet").to_pylist(), rows.column("members").to_pylist(), strict=True), 1):
+            left = set(members) - known
+            for m in left:
+                holders.setdefault(m, []).append(left)
+            ready = [left] if len(left) == 1 else []
+            while ready:
+                one = ready.pop()
+                if not one:
+                    continue
+                seg = next(iter(one))
+                known.add(seg)
+                for other in holders.pop(seg, []):
+                    other.discard(seg)
+                    if len(other) == 1:
+                        ready.append(other)
+            if n >= want and len(known) == total:
+                out.append(droplet)
+                break
+        return pa.table({"file_id": pa.array([rows.column("file_id")[0].as_py()] * len(out), pa.int64()), "last": pa.array(out, pa.int64())})
+
+    return passed.groupBy("file_id").applyInArrow(run, "file_id long, last long")
 
 
 def peeled(found: DataFrame) -> DataFrame:

@@ -270,15 +270,49 @@ def neighbours(k: int) -> list[int]:
 
 def sketch_edges(sketched: DataFrame, drift: int = 2, least: int = 2) -> DataFrame:
     """u, v: reads linked to the smallest read that shares `least` slots with them by an exact code, one side being at
-    no drift. Buckets point at their smallest read, which is counted by slot."""
+    no drift. Buckets point at their smallest read, which is counted by slot, so reads that share slots with each other
+    but not with one smallest read have no edge here; clusters are built from sketch_links, which has no such gap."""
     mid = sketched.where(F.col("drift") == drift).groupBy("slot", "code").agg(F.min("read_id").alias("v"))
     met = sketched.join(apart(mid, "slot", "code"), ["slot", "code"]).where("read_id <> v")
     return met.select(F.col("read_id").alias("u"), "v", "slot").distinct().groupBy("u", "v").agg(F.count("*").alias("slots")).where(F.col("slots") >= least)
 
 
-def sketch_clusters(reads: DataFrame, sketched: DataFrame, drift: int = 2, least: int = 2) -> DataFrame:
-    """read_id, centre: components of sketch links; unlinked reads are centres of their own."""
-    comps = connected(sketch_edges(sketched, drift, least).select("u", "v"))
+def near_codes(sketched: DataFrame, drift: int = 2, k: int = 14) -> DataFrame:
+    """slot, code, near: the codes of any drift with each code of no drift in their slot that equals them or differs in
+    one base. Only codes that occur are met, so reads don't matter to its size."""
+    every = sketched.select("slot", "code").distinct()
+    mid = sketched.where(F.col("drift") == drift).select("slot", F.col("code").alias("near")).distinct()
+    met = every.withColumn("near", F.explode(F.array(*[F.col("code") + F.lit(d).cast("long") for d in neighbours(k)]))).join(mid, ["slot", "near"])
+    apart_bits = F.col("code").bitwiseXOR(F.col("near"))
+    digits = apart_bits.bitwiseOR(F.shiftright(apart_bits, 1)).bitwiseAND(F.lit(sum(4**p for p in range(k))).cast("long"))
+    return met.where(F.bit_count(digits) <= 1).select("slot", "code", "near")  # a difference that carries changes more bases
+
+
+def sketch_links(sketched: DataFrame, drift: int = 2, least: int = 2, k: int = 14) -> DataFrame:
+    """u, v: links whose components are those of all pairs of reads that share `least` slots, u by codes of any drift
+    and v by its codes of no drift, equal or one base apart.
+
+    A bucket is a choice of `least` slots with their codes of no drift, so whoever is in it shares all its slots with
+    those that have these codes: linking to the smallest of them loses no pair."""
+    near = sketched.select("read_id", "slot", "code").distinct().join(near_codes(sketched, drift, k), ["slot", "code"])
+    mine = sketched.where(F.col("drift") == drift).select("read_id", "slot", F.col("code").alias("near"))
+    v = _slot_keys(mine, least).groupBy("key").agg(F.min("read_id").alias("v"))
+    u = _slot_keys(near.select("read_id", "slot", "near").distinct(), least)
+    return u.join(apart(v, "key"), "key").where("read_id <> v").select(F.col("read_id").alias("u"), "v").distinct()
+
+
+def _slot_keys(rows: DataFrame, least: int) -> DataFrame:
+    """read_id, key: every choice of `least` slots of a read (read_id, slot, near) with a code for each."""
+    spots = rows.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("slot", "near"))).alias("spots"))
+    keys = F.transform("spots", lambda x: F.struct(x["slot"].alias("slot"), F.concat_ws(":", x["slot"].cast("string"), x["near"].cast("string")).alias("key")))
+    for _ in range(least - 1):
+        keys = F.flatten(F.transform(keys, lambda a: F.transform(F.filter("spots", lambda x: x["slot"] > a["slot"]), lambda x: F.struct(x["slot"].alias("slot"), F.concat_ws(":", a["key"], x["slot"].cast("string"), x["near"].cast("string")).alias("key")))))
+    return spots.select("read_id", F.explode(keys).alias("x")).select("read_id", "x.key")
+
+
+def sketch_clusters(reads: DataFrame, sketched: DataFrame, drift: int = 2, least: int = 2, k: int = 14) -> DataFrame:
+    """read_id, centre: components of reads that share `least` slots (sketch_links); unlinked reads are centres of their own."""
+    comps = connected(sketch_links(sketched, drift, least, k))
     every = reads.select("read_id").join(comps.withColumnRenamed("node", "read_id"), "read_id", "left")
     return every.select("read_id", F.coalesce("root", "read_id").alias("centre"))
 
@@ -338,7 +372,7 @@ def refinement(assigned: DataFrame, sizes: DataFrame, reps: DataFrame, sketched:
 def hash_sketch_clusters(reads: DataFrame, size: int = 5, drift: int = 2, k: int = 14, least: int = 5) -> DataFrame:
     """read_id, centre after clustering, merging of good clusters and refinement; thresholds are 3 / size."""
     sketched = durable(sketches(reads, k=k, drift=drift, size=size), "sketches")
-    assigned = durable(sketch_clusters(reads, sketched, drift), "sketch-clusters")
+    assigned = durable(sketch_clusters(reads, sketched, drift, k=k), "sketch-clusters")
     reps = durable(representatives(assigned, sketched), "representatives")
     good = good_and_bad(assigned, least).where("good").select("centre")
     joined = durable(merged(assigned, reps.join(good, "centre", "left_semi"), sketched, 3 / size / 2), "merged")

@@ -154,7 +154,7 @@ def sim4_replicated(spark, sf_dir):
 
 @query()
 def sim5_error_loop(spark, sf_dir):
-    rows = simulate.replicated(items(spark, sf_dir).withColumn("copies", F.lit(3)))
+    rows = simulate.replicated(strands(spark, sf_dir).withColumn("copies", F.lit(3)))
     return simulate.with_errors(rows, TOTAL, RATES, 11)
 
 
@@ -182,8 +182,8 @@ FROM (SELECT *, {u(0)} AS u1, {u(2)} AS u3 FROM (SELECT *, substr(seq, j + 1, 1)
 SELECT file_id, pos, o AS read FROM f WHERE j = length(seq)"""
 
 
-def _single(spark, sf_dir, kind):
-    rows = items(spark, sf_dir).withColumn("copy", F.lit(0))
+def _single(spark, sf_dir, kind, of=items):
+    rows = of(spark, sf_dir).withColumn("copy", F.lit(0))
     return simulate.with_errors(rows, *_only(kind), 11).select("file_id", "pos", "read")
 
 
@@ -194,7 +194,7 @@ def sim7a_deletions(spark, sf_dir):
 
 @query()
 def sim7b_long_deletions(spark, sf_dir):
-    return _single(spark, sf_dir, "ld")
+    return _single(spark, sf_dir, "ld", strands)
 
 
 @query(_folded("pi"))
@@ -209,13 +209,13 @@ def sim7d_substitutions(spark, sf_dir):
 
 @query()
 def sim8_stutter(spark, sf_dir):
-    rows = items(spark, sf_dir).withColumn("copy", F.lit(0))
+    rows = strands(spark, sf_dir).withColumn("copy", F.lit(0))
     return simulate.with_stutter(rows, {b: {"i": 0.3, "s": 0.01} for b in "ACGT"}, 11).select("file_id", "pos", "read")
 
 
 @query()
 def sim9_copies_from_density(spark, sf_dir):
-    return simulate.copies_from_density(items(spark, sf_dir), "exp(-(x - 10) * (x - 10) / 18)", 0, 20, 3).select("file_id", "pos", "copies")
+    return simulate.copies_from_density(strands(spark, sf_dir), "exp(-(x - 10) * (x - 10) / 18)", 0, 20, 3).select("file_id", "pos", "copies")
 
 
 @query(f"""WITH {STRANDS} SELECT file_id, pos, (row_number() OVER (PARTITION BY file_id ORDER BY md5(concat_ws('|', '7', {FP}, '0')), pos) - 1)::BIGINT AS rank FROM strands""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.durable import apart, durable
+from helixlake.durable import apart, durable, forget
 
 
 def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -36,7 +36,8 @@ def connected(edges: DataFrame, limit: int = 60) -> DataFrame:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both, True).where("u <> v").distinct()
-        now = durable(_stars(large, False).where("u <> v").distinct(), "edges")
+        last, now = now, durable(_stars(large, False).where("u <> v").distinct(), "edges")
+        forget(last)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,16 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_LIMIT, str(BATCH_BYTES))
 
 
+@lru_cache(maxsize=1)
+def steady() -> None:
+    """Once a process: blocks of a megabyte or more come from the system and go back to it when they are freed.
+    By default that limit rises with the blocks freed, and large arrays then break up a heap that never shrinks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        ctypes.CDLL("libc.so.6").mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def hand_back() -> None:
     """Give freed memory back to the system, where the platform lets us."""
     gc.collect()
@@ -40,6 +51,7 @@ def map_batches(df: DataFrame, run: Callable[[Batches], Batches], schema) -> Dat
     bound_batches(df.sparkSession)
 
     def tidy(batches: Batches) -> Batches:
+        steady()
         try:
             yield from run(batches)
         finally:

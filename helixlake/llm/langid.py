@@ -1,9 +1,11 @@
 """Language identification by compression.
 
-Each language has a raw-content zstandard dictionary: letters of a bounded sample of its labelled
-texts. A text is cut into chunks, every chunk is compressed against each dictionary, and the
-language with the smallest total wins. Chunks are as long as a few dictionaries' worth of context
-allows, so that a long text's own history doesn't drown what the dictionary tells.
+Each language has a raw-content zstandard dictionary: the letters of a bounded sample of its labelled
+texts, each taken whole. A text is cut into chunks, every chunk is compressed against each
+dictionary, and the language with the smallest total wins. Chunks are short, so that a long text's own
+history doesn't drown what the dictionary tells.
+
+A letter is a character of Unicode category L. Numbers of any kind (`½`, `Ⅷ`, `①`, `²`) aren't letters.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ from pyspark.sql.types import StructType
 
 from helixlake.llm.arrow import map_batches
 
-#: Bounds of the fit: texts sampled per language, characters taken of each, characters per dictionary, languages.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_CHARS, MAX_LANGUAGES = 400, 500, 128_000, 200
+#: Bounds of the fit: rows sampled per language, and how long a row's text may be to be drawn. Texts that are drawn
+#: are used whole; a language without a text so short is learned from its shortest one.
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 2_000
 CHUNK = 4096
 LEVEL = 6
 #: A margin (1 - smallest / second smallest size) below this is a rejection.
 MARGIN = 0.005
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers that aren't decimal digits: word characters to `re`, but not letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 SCHEMA = "lang_pred string, score double, rejected boolean"
 
 
@@ -41,31 +46,30 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
     """Dictionary of each language from rows that aren't held out and have text and label, the most
-    frequent language first.
+    frequent language first, by name among equals.
 
-    The fit is bounded: about SAMPLE_DOCS texts per language, picked by a hash of the id, give at
-    most SAMPLE_CHARS characters each and DICT_CHARS in all, for the MAX_LANGUAGES most frequent
-    labels. Languages without a letter in their
-    sample are left out; no labelled rows give no languages.
+    The fit is bounded by SAMPLE_DOCS rows per language, picked by a hash of id and text among those of at
+    most SAMPLE_CHARS characters, so the driver holds about a megabyte a language; there is no limit to
+    languages. Languages without a letter in their sample are left out; no labelled rows give no languages.
     """
     rows = docs.where(~held_out(id_col) & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    rows = rows.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1_000_000)).alias("h"))
-    share = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES)
-    drawn = rows.join(F.broadcast(share.select("l", (F.lit(2_000_000 * SAMPLE_DOCS) / F.col("n")).alias("below"))), "l").where("h < below")
-    drawn = drawn.select("l", "h", F.substring("t", 1, SAMPLE_CHARS).alias("t"))
+    rows = rows.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.length(text).alias("c"), F.pmod(F.xxhash64(F.col(id_col), F.col(text), F.lit(3)), F.lit(1_000_000)).alias("h"))
+    share = rows.groupBy("l").agg(F.count("*").alias("n"), F.sum((F.col("c") <= SAMPLE_CHARS).cast("long")).alias("short"), F.min("c").alias("least")).collect()
+    if not share:
+        return {}
+    bounds = docs.sparkSession.createDataFrame([(r["l"], 1_300_000 * SAMPLE_DOCS / r["short"] if r["short"] else 1e6, max(SAMPLE_CHARS, r["least"])) for r in share], "l string, below double, most int")
     found: dict[str, list[tuple]] = {}
-    for r in drawn.collect():
-        found.setdefault(r["l"], []).append((r["h"], r["t"]))
+    for r in rows.join(F.broadcast(bounds), "l").where("h < below AND c <= most").select("l", "h", "t").toLocalIterator():
+        texts = found.setdefault(r["l"], [])
+        texts.append((r["h"], r["t"]))
+        if len(texts) > 2 * SAMPLE_DOCS:  # many texts may share a hash
+            texts[:] = sorted(texts)[:SAMPLE_DOCS]
+    weight = {r["l"]: r["n"] for r in share}
     out = {}
-    weight = {r["l"]: r["n"] for r in share.collect()}
     for name, texts in sorted(found.items(), key=lambda x: (-weight[x[0]], x[0])):
-        body = ""
-        for _, t in sorted(texts)[:SAMPLE_DOCS]:
-            if len(body) >= DICT_CHARS:
-                break
-            body += letters(t) + " "
-        if body.strip():
-            out[name] = body[:DICT_CHARS].encode()
+        body = " ".join(filter(None, (letters(t) for _, t in sorted(texts)[:SAMPLE_DOCS])))
+        if body:
+            out[name] = body.encode("utf-8", "surrogatepass")
     return out
 
 
@@ -100,7 +104,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
     lang_pred is a learned language even where the margin is narrow, and `und` where the text is
     null or has no letter (or nothing was learned); those are rejected with score 0. Ties go to the
-    language with more labelled rows and are rejected.
+    language with more labelled rows (the first by name, if equal) and are rejected. Texts are judged
+    whole, however long; repeated rows are judged each; an empty table gives an empty one.
     """
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
     schema = StructType([docs.schema[c] for c in kept] + StructType.fromDDL(SCHEMA).fields)
@@ -123,7 +128,8 @@ def language_of(docs: DataFrame, text: str = "text", lang: str = "lang", id_col:
 
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that are rejected; columns as they were."""
+    """docs without the rows that are rejected; columns as they were, whatever their names. Null and empty
+    texts and those without a letter are rejected; rows that repeat are judged each."""
     model = train(docs, text, lang, id_col)
     packed = docs.select(F.struct(*docs.columns).alias("__hl_row"), F.col(text).alias("__hl_whole"))
     return classify(packed, model, "__hl_whole").where("NOT rejected").select("__hl_row.*")

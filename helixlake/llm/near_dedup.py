@@ -291,7 +291,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     rep = F.struct(F.col("doc_id").isNull().alias("lacks"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
     nodes = durable(full.groupBy("node").agg(F.count("*").alias("n_docs"), F.min(rep).alias("rep"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands")), "nodes")
     dealt = durable(units(nodes), "dealt")
-    members = nodes.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"), "n_docs", "bands").join(dealt, "node")
+    bands_met = F.when(F.exists("places", lambda p: p["band"] >= 0), F.col("bands"))  # few nodes are in another unit than their home
+    members = nodes.select("node", F.col("rep.id").alias("rep_id"), F.col("rep.key").alias("rep_key"), "n_docs", "bands").join(dealt, "node").withColumn("bands", bands_met)
     judged = durable(verify(docs, durable(members, "members"), id_col, text, threshold), "judged")
     links = judged.groupBy("node").agg(F.sum("links").alias("links"))
     classes = connected(judged.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")))

@@ -27,7 +27,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "kind", "score", "secret")
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "kind", "label", "held_out", "score", "secret")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,29 +103,82 @@ def test_rollups_keep_up_with_changes(spark):
     assert totals() == {("s1", "en"): (2, 4), ("s2", "en"): (1, 5)}
     state.apply("3", None, spark.createDataFrame([(2,)], "doc_id long"))
     assert totals() == {("s2", "en"): (1, 5)}
-    state.compact("4")
-    assert totals() == {("s2", "en"): (1, 5)} and state.committed() == ["4"]
+    state.compact()
+    assert totals() == {("s2", "en"): (1, 5)} and state.committed() == ["1", "2", "3"] and len(state.manifest()["parts"]) == 1
+    assert not state.apply("1", token_counts.counted(df, one)) and totals() == {("s2", "en"): (1, 5)}
+    assert state.vacuum() == 3 and totals() == {("s2", "en"): (1, 5)} and state.ledger().count() == 1
 
 
-def test_an_uncommitted_batch_counts_for_nothing(spark):
-    df = spark.createDataFrame([(1, "a b", "s", "en")], "doc_id long, text string, source string, lang string")
+class Died(Exception):
+    pass
+
+
+@pytest.mark.parametrize("where", ["_write", "write after", "_commit"])
+def test_a_batch_or_compaction_that_dies_changes_nothing(spark, monkeypatch, where):
+    df = spark.createDataFrame([(1, "a b", "s", "en"), (2, "c", "s", "en")], "doc_id long, text string, source string, lang string")
+    rows = token_counts.counted(df, {"words_v1": token_counts.TOKENIZERS["words_v1"]})
     state = token_counts.Rollup(spark)
-    rows = token_counts.counted(df, {"bytes_v1": token_counts.TOKENIZERS["bytes_v1"]})
-    rows.write.parquet(f"{state.folder}/ledger/1")  # a writer that died before its marker
-    assert state.totals().count() == 0
     state.apply("1", rows)
-    assert [tuple(r) for r in state.totals().collect()] == [("s", "en", "bytes_v1", 1, 3)]
+    state.apply("2", None, df.where("doc_id = 2").select("doc_id"))
+    totals = lambda: [tuple(r) for r in state.totals().collect()]
+    write = token_counts.Rollup._write
+
+    def die(*args):
+        if where == "write after":
+            write(*args)
+        raise Died
+
+    monkeypatch.setattr(token_counts.Rollup, "_commit" if where == "_commit" else "_write", die)
+    for work in (state.compact, lambda: state.apply("3", rows)):
+        with pytest.raises(Died):
+            work()
+        assert totals() == [("s", "en", "words_v1", 1, 2)] and state.committed() == ["1", "2"]
+    monkeypatch.undo()
+    state.compact()
+    assert not state.apply("1", rows) and not state.apply("2", rows) and totals() == [("s", "en", "words_v1", 1, 2)]
+    assert state.apply("3", rows) and totals() == [("s", "en", "words_v1", 2, 3)]
+
+
+def test_of_two_writers_one_fails(spark):
+    rows = token_counts.counted(spark.createDataFrame([(1, "a b", "s", "en")], "doc_id long, text string, source string, lang string"), {"words_v1": token_counts.TOKENIZERS["words_v1"]})
+    state, other = token_counts.Rollup(spark), None
+    state.apply("1", rows)
+    other = token_counts.Rollup(spark, state.folder)
+    seen = other.manifest()
+    state.apply("2", rows)
+    with pytest.raises(FileExistsError):
+        other._commit(seen, seen["parts"], [*seen["done"], "3"])
+    assert state.committed() == ["1", "2"]
+
+
+def test_rollups_of_odd_rows(spark, docs, empty):
+    labels = spark.createDataFrame([(0, 0, 0), (1, 1, 1), (9, 0, 0), (5, 0, 1), (77, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    plain = {k: token_counts.TOKENIZERS[k] for k in ("words_v1", "bytes_v1")}
+    odd = docs.withColumns({"tokens": F.lit("clash"), "bucket": F.lit("clash"), "counts": F.lit(1), "source": F.when(F.col("doc_id") != 9, F.col("source"))})
+    got = {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in token_counts.rolled_up(odd, labels, plain).collect()}
+    want = {}
+    for d, t in TEXTS:
+        if d in (1, 5):
+            continue
+        source = ("s" if d is not None and d != 9 else None)
+        source = (source or "") + "/low" if d in (0, 9) else source
+        for name, n in (("words_v1", len(brute.words(t))), ("bytes_v1", len((t or "").encode()))):
+            a, b = want.get((source, "en", name), (0, 0))
+            want[(source, "en", name)] = (a + 1, b + n)
+    assert got == want and ("/low", "en", "words_v1") in got
+    assert token_counts.rolled_up(empty, labels, plain).count() == 0 and token_counts.rolled_up(docs, labels.limit(0), plain).count() == 2
 
 
 def test_token_counts_query_against_brute_force(spark):
     encode = packing.encoder(packing.tokenizer_path())
-    bad = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    bad, low = ({r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where(x).collect()} for x in ("toxic = 1", "quality = 0"))
     want = {}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        source = r["source"] + "/low" if r["doc_id"] in low else r["source"]
         if r["doc_id"] not in bad:
             for t, n in (("words_v1", len(brute.words(r["text"]))), ("bytes_v1", len(r["text"].encode())), ("byte_bpe_50k_v1", len(encode(r["text"])))):
-                d, k = want.get((r["source"], r["lang"], t), (0, 0))
-                want[(r["source"], r["lang"], t)] = (d + 1, k + n)
+                d, k = want.get((source, r["lang"], t), (0, 0))
+                want[(source, r["lang"], t)] = (d + 1, k + n)
     got = {(r["source"], r["lang"], r["tokenizer"]): (r["docs"], r["tokens"]) for r in QUERIES["op2_token_counts"](spark, SF).collect()}
     assert got == want
 

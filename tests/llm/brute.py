@@ -91,3 +91,22 @@ def jaccard_classes(docs, threshold=0.8):
 
 def sha256(text):
     return hashlib.sha256((text or "").encode()).hexdigest()
+
+
+LETTERS36 = set("abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def ascii_lower(text):
+    return text.translate(LOWER)
+
+
+def secrets(text):
+    """(start, end, kind) of assigned values and long tokens with a digit, the assigned ones first; provider formats aren't in the data."""
+    text, out = text or "", []
+    for m in re.finditer(r"(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth|credential|private_?key)['\"]?\s{0,3}(?:=>|:=|=|:)\s{0,3}['\"]?([^\s'\",;]{8,})", text):
+        out.append((*m.span(1), "assigned"))
+    taken = list(out)
+    for m in re.finditer(r"[A-Za-z0-9_+/=-]+", text):
+        if len(m.group()) >= 12 and re.search("[0-9]", m.group()) and not any(a < m.end() and m.start() < b for a, b, _ in taken):
+            out.append((*m.span(), "long"))
+    return out

@@ -1,8 +1,10 @@
 """Operators for training data: contracts against brute force, odd rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import time
+import unicodedata
 import zlib
 
 import brute
@@ -208,6 +210,50 @@ def test_language_of_odd_rows(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.language_of(unlabelled).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("text", ["½", "Ⅷ", "①", "² ³", "12 + 7 = 19", "_ __", "٣٤", "\U0001F600", "\u0301"])
+def test_texts_without_a_letter_have_no_language(text):
+    assert langid.letters(text) == "" and langid.Classifier({"en": b"the and of", "de": b"der und von"}).predict(text) == ("und", 0.0, True)
+
+
+def test_letters_are_those_of_the_unicode_category():
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x30000)]))
+    want = "".join(c if unicodedata.category(c).startswith("L") else " " for c in text.lower())
+    assert langid.letters(text).split() == want.split()
+
+
+def plain_language(rows, docs):
+    """Predictions by the definition: the language whose dictionary gives the least total size over chunks."""
+    import zstandard as z
+
+    model = langid.train(docs)
+    coders = [z.ZstdCompressor(level=langid.LEVEL, dict_data=z.ZstdCompressionDict(body, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for body in model.values()]
+    out = []
+    for d, t in rows:
+        plain = " ".join("".join(c if unicodedata.category(c).startswith("L") else " " for c in (t or "").lower()).split())
+        sizes = sorted((sum(len(c.compress(plain[a : a + 4096].encode())) for a in range(0, len(plain), 4096)), k) for k, c in enumerate(coders)) if plain else []
+        out.append((d, "und", 0.0) if not sizes else (d, list(model)[sizes[0][1]], 1 - sizes[0][0] / sizes[1][0]))
+    return out
+
+
+def test_language_query_against_plain_compression(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in QUERIES["op3_language"](spark, SF).collect()}
+    want = plain_language([(r["doc_id"], r["text"]) for r in df.collect()], df)
+    assert len(want) == len(got)
+    assert sum(got[d][0] == lang and abs(got[d][1] - score) < 0.01 for d, lang, score in want) >= 0.99 * len(want)  # a prepared dictionary may cost a byte more or less
+
+
+def test_every_language_is_learned_and_ties_go_to_the_commoner(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} " * 5, f"l{k:03d}") for k in range(400)]
+    assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(400))
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1][:7]
+    same = spark.createDataFrame([(k, "same words here", "b" if n < 4 else "a") for n, k in enumerate(ids)], "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit(1), "score": F.lit("clash"), "rejected": F.lit(2)})
+    assert {(r["lang_pred"], r["score"], r["rejected"]) for r in langid.language_of(same).collect()} == {("b", 0.0, True)}
+    assert langid.keep_identified(same).columns == same.columns
+    long = spark.createDataFrame([(ids[0], "uno dos " * 900, "es"), (ids[1], "one two three four", "en")], "doc_id long, text string, lang string")
+    assert set(langid.train(long)) == {"es", "en"}
+
+
 def test_labels_of_held_out_rows_dont_matter(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     spoilt = df.withColumn("lang", F.when(langid.held_out(), "zz").otherwise(F.col("lang")))
@@ -241,6 +287,58 @@ def test_secrets_of_odd_rows(spark, docs, empty):
     assert want <= got
 
 
+def test_secrets_query_against_plain_search(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = sorted((r["doc_id"], a, b, k) for r in rows for a, b, k in brute.secrets(r["text"]))
+    got = QUERIES["op4_secrets"](spark, SF).collect()
+    assert sorted((r["doc_id"], r["start"], r["end"], r["kind"]) for r in got) == want and want
+    assert all(r["secret"] == (r["kind"] == "assigned") for r in got)
+
+
+def test_secret_features_against_plain_ones(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r["text"] for r in df.collect()]
+    pairs, words = {}, {}
+    for t in texts:
+        low = brute.ascii_lower(t)
+        for a, b in zip(low, low[1:], strict=False):
+            if a in brute.LETTERS36 and b in brute.LETTERS36:
+                pairs[a + b] = pairs.get(a + b, 0) + 1
+        for w in brute.words(t):
+            words[w] = words.get(w, 0) + 1
+    total = sum(pairs.values())
+    for r in secrets.described(df).collect():
+        low = brute.ascii_lower(r["value"])
+        odds = [math.log((pairs.get(a + b, 0) + 0.5) / (total + 648)) for a, b in zip(low, low[1:], strict=False)]
+        assert abs(r["feats"][1] - sum(odds) / len(odds)) < 1e-9 and r["feats"][0] == len(r["value"])
+        known = {x for x in secrets.substrings(r["value"]) if words.get(x, 0) >= 2}
+        assert abs(r["feats"][3] - secrets.coverage(r["value"], known)) < 1e-9
+
+
+def test_the_forest_decides_beyond_its_labels(spark):
+    rng = random.Random(9)
+    token = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(32))
+    common = ["window", "orange", "planet", "market", "silver"]
+    name = lambda: "_".join(rng.choice(common) for _ in range(4)) + str(rng.randrange(10))
+    filler = " ".join(common * 3)
+    rows = [(k, f"{filler} api_key = {token()} {filler}") for k in range(80)]
+    rows += [(100 + k, f"{filler} build {name()} {filler}") for k in range(80)]
+    rows += [(200 + k, f"{filler} then {token()} {filler}") for k in range(20)]  # nothing says what these are
+    rows += [(300 + k, f"{filler} then {name()} {filler}") for k in range(20)]
+    rows += [(400 + k, f"{filler} password={name()} {filler}") for k in range(3)]  # a name, whatever it is assigned to
+    rows += [(500 + k, f"{k} of {rng.random()} value 4f2a9c81d0e7b365aa10 and {rng.random()}") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"source": F.lit("x.py"), "value": F.lit(1), "label": F.lit("clash"), "word": F.lit("clash")})
+    out = secrets.scan(df).persist()
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert all(got[200 + k]["secret"] and got[200 + k]["label"] is None for k in range(20))
+    assert not any(got[300 + k]["secret"] for k in range(20)) and all(got[300 + k]["label"] is None for k in range(20))
+    assert not any(got[400 + k]["secret"] for k in range(3))
+    assert all(got[500 + k]["label"] == 0 for k in range(5))
+    assert min(secrets.quality(out)) > 0.9
+    twice = secrets.scan(df.unionByName(df))
+    assert twice.count() == 2 * out.count()
+
+
 @pytest.mark.parametrize("n", [200, 201, 356, 5_000])
 def test_secrets_are_found_whole_at_any_length(n):
     value = "".join(random.Random(n).choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(n - 1)) + "7"

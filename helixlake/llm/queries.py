@@ -39,7 +39,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     outcomes = url_filter.numbered_outcomes(pages, table(spark, sf_dir, "labels"))
-    return url_filter.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict", F.round("bad_rate", 6).alias("bad_rate"), F.round("bad_low", 6).alias("bad_low"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,33 +81,36 @@ WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 bad AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
-      FROM (SELECT host, try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})(\.html|/)?$', 1), '') AS BIGINT) AS doc_id FROM p) LEFT JOIN bad USING (doc_id) GROUP BY host),
-parts AS (SELECT *, string_split(host, '.') AS l, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS two FROM h),
-hs AS (SELECT host, n, bad,
-  CASE WHEN two IN ('co.uk','org.uk','ac.uk','gov.uk','com.au','net.au','org.au','co.jp','ne.jp','or.jp','com.br','com.cn','co.in','co.kr','co.nz','co.za')
-       THEN two ELSE l[-1] END AS suffix,
-  CASE WHEN two IN ('co.uk','org.uk','ac.uk','gov.uk','com.au','net.au','org.au','co.jp','ne.jp','or.jp','com.br','com.cn','co.in','co.kr','co.nz','co.za')
-       THEN array_to_string(list_slice(l, -3, -1), '.') ELSE two END AS domain FROM parts),
+h AS (SELECT unit, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
+      FROM (SELECT regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$|\.$|\.?:[0-9]*$', '') AS unit, try_cast(nullif(regexp_extract(path, '/([0-9]{1,18})(\.html|/)?$', 1), '') AS BIGINT) AS doc_id FROM p)
+      LEFT JOIN bad USING (doc_id) GROUP BY unit),
+parts AS (SELECT *, string_split(unit, '.') AS l, regexp_matches(unit, '^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$') AS address,
+  CASE WHEN array_to_string(list_slice(string_split(unit, '.'), -2, -1), '.') IN ('co.uk','org.uk','ac.uk','gov.uk','com.au','net.au','org.au','co.jp','ne.jp','or.jp','com.br','com.cn','co.in','co.kr','co.nz','co.za') THEN 2 ELSE 1 END AS k FROM h),
+hs AS (SELECT unit, n, bad, CASE WHEN address THEN '(addresses)' ELSE array_to_string(list_slice(l, -k, -1), '.') END AS suffix,
+  CASE WHEN address THEN unit ELSE array_to_string(list_slice(l, -k - 1, -1), '.') END AS domain FROM parts),
 ds AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hs GROUP BY domain, suffix),
-ss AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM ds GROUP BY suffix),
-m AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS m FROM ss),
-mom AS (SELECT lv, m, count(*) AS k, avg((bad / n - m) * (bad / n - m)) AS v, avg(1 / n) AS inv
-        FROM (SELECT 's' AS lv, n, bad FROM ss UNION ALL SELECT 'd', n, bad FROM ds UNION ALL SELECT 'h', n, bad FROM hs), m WHERE n > 1 GROUP BY lv, m),
-st AS (SELECT lv, CASE WHEN v - m * (1 - m) * inv <= 0 THEN 10000.0::DOUBLE ELSE least(10000.0::DOUBLE, greatest(1.0::DOUBLE, (m * (1 - m) - v) / (v - m * (1 - m) * inv))) END AS k FROM mom),
-kk AS (SELECT coalesce((SELECT k FROM st WHERE lv = 's'), 10000.0) AS ks, coalesce((SELECT k FROM st WHERE lv = 'd'), 10000.0) AS kd, coalesce((SELECT k FROM st WHERE lv = 'h'), 10000.0) AS kh),
-sr AS (SELECT suffix, (bad + ks * m) / (n + ks) AS r FROM ss, kk, m),
-dr AS (SELECT domain, (bad + kd * r) / (n + kd) AS r FROM ds JOIN sr USING (suffix), kk),
-hr AS (SELECT host, (bad + kh * r) / (n + kh) AS r, n + kh AS size FROM hs JOIN dr USING (domain), kk),
+a AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean, greatest(1.0::DOUBLE, coalesce(sum(n), 0)) AS most FROM hs),
+s1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS mean, any_value(most) AS most FROM hs, a GROUP BY suffix),
+sk AS (SELECT sum(n * (bad / n - mean) * (bad / n - mean) - mean * (1 - mean)) AS x, sum(mean * (1 - mean) * (n - 1)) AS w FROM s1 WHERE n > 1),
+sr AS (SELECT suffix, most, (bad + k * mean) / (n + k) AS mean FROM s1, (SELECT CASE WHEN w > 0 AND x > 0 THEN least(a.most, greatest(1.0::DOUBLE, w / x - 1)) ELSE a.most END AS k FROM sk, a)),
+d1 AS (SELECT domain, n, bad, mean, most FROM ds JOIN sr USING (suffix)),
+dk AS (SELECT sum(n * (bad / n - mean) * (bad / n - mean) - mean * (1 - mean)) AS x, sum(mean * (1 - mean) * (n - 1)) AS w FROM d1 WHERE n > 1),
+dr AS (SELECT domain, (bad + k * mean) / (n + k) AS mean FROM d1, (SELECT CASE WHEN w > 0 AND x > 0 THEN least(a.most, greatest(1.0::DOUBLE, w / x - 1)) ELSE a.most END AS k FROM dk, a)),
+h1 AS (SELECT unit, n, bad, mean FROM hs JOIN dr USING (domain)),
+hk AS (SELECT sum(n * (bad / n - mean) * (bad / n - mean) - mean * (1 - mean)) AS x, sum(mean * (1 - mean) * (n - 1)) AS w FROM h1 WHERE n > 1),
+hp AS (SELECT unit, bad + k * mean AS a, n - bad + k * (1 - mean) AS b FROM h1, (SELECT CASE WHEN w > 0 AND x > 0 THEN least(a.most, greatest(1.0::DOUBLE, w / x - 1)) ELSE a.most END AS k FROM hk, a)),
+hq AS (SELECT *, a / (a + b) AS r, (1 - 1 / (9 * b)) * (1 - 1 / (9 * b)) - 3.8416 / (9 * b) AS p, (1 - 1 / (9 * a)) * (1 - 1 / (9 * b)) AS q, (1 - 1 / (9 * a)) * (1 - 1 / (9 * a)) - 3.8416 / (9 * a) AS t FROM hp),
+hr AS (SELECT unit, r, CASE WHEN p > 0 AND q * q - p * t >= 0 THEN a * f / (a * f + b) ELSE greatest(0.0::DOUBLE, r - 1.96 * sqrt(r * (1 - r) / (a + b + 1))) END AS low
+       FROM (SELECT *, pow(greatest(0.0::DOUBLE, (q - sqrt(greatest(q * q - p * t, 0.0::DOUBLE))) / CASE WHEN p > 0 THEN p END), 3) AS f FROM hq)),
 f AS (SELECT page_id, host, path,
   CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
        WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
        WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
 SELECT page_id, f.host, path, rule,
-  CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block'
-       ELSE CASE WHEN r - 1.96 * sqrt(r * (1 - r) / (size + 1)) > 0.3 THEN 'block' ELSE 'allow' END END AS verdict
-FROM f LEFT JOIN hr ON f.host = hr.host""",
+  CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block' WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block' ELSE CASE WHEN low > 0.3 THEN 'block' ELSE 'allow' END END AS verdict,
+  round(r, 6) AS bad_rate, round(low, 6) AS bad_low
+FROM f LEFT JOIN hr ON regexp_replace(regexp_replace(f.host, '^.*@', ''), ':[0-9]*$|\.$|\.?:[0-9]*$', '') = hr.unit""",
     "op7_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",

@@ -8,6 +8,8 @@ import unicodedata
 import zlib
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from support import SF, same_rows
 from pyspark.sql import functions as F
@@ -415,13 +417,48 @@ def test_url_rules_and_parts(spark):
 
 def test_reputation_needs_evidence(spark):
     rows = [("bad.x.com", 1)] * 60 + [("good.y.com", 0)] * 200 + [("new.x.com", 1)] + [("few.y.com", 1)] + [("none.z.com", None)]
-    known = {r["host"]: r for r in url_filter.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    known = {r["unit"]: r for r in url_filter.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
     assert known["bad.x.com"]["bad_low"] > 0.3 > known["good.y.com"]["bad_rate"]
     assert known["few.y.com"]["bad_low"] < 0.3 and known["new.x.com"]["bad_rate"] > known["few.y.com"]["bad_rate"]
     assert set(known) == {h for h, _ in rows}
     assert url_filter.reputation(spark.createDataFrame([], "host string, bad int")).count() == 0
 
 
+def test_a_bad_host_is_blocked_and_a_rule_goes_first(spark):
+    hosts = [("spam.bad.example", 1)] * 40 + [("u:p@spam.bad.example:8080", 1)] * 40 + [("good.example", 0)] * 150 + [("10.0.0.1", 0)] * 30 + [("10.0.0.2", 1)] * 60
+    outcomes = spark.createDataFrame(hosts, "host string, bad int")
+    urls = ["http://spam.bad.example/1", "http://spam.bad.example.:99/1", "http://good.example/1", "http://10.0.0.1/", "http://10.0.0.2:80/", "http://unknown.example/", "http://x.org/fr/" + "a" * 200_000]
+    pages = spark.createDataFrame([(k, u, 1, 2, 3) for k, u in enumerate([*urls, urls[0]])], "page_id long, url string, host int, unit int, bad_low int")
+    got = {r["page_id"]: r for r in url_filter.judge(pages, outcomes).collect()}
+    assert [got[k]["verdict"] for k in range(8)] == ["block", "block", "allow", "allow", "block", "allow", "allow", "block"]
+    assert got[0]["host"] == "spam.bad.example" and got[1]["host"] == "spam.bad.example.:99" and got[5]["bad_low"] is None
+    freed = url_filter.judge(pages, outcomes, rules=(("allow", "bad.example", "/"),))
+    assert {r["page_id"]: r["verdict"] for r in freed.collect()}[0] == "allow"
+    assert url_filter.judge(pages.limit(0), outcomes).count() == 0
+
+
+def test_units_domains_and_suffixes(spark):
+    hosts = ["a.b.co.uk", "co.uk", "b.co.uk", "x.y.com", "com", "", "1.2.3.4", "[::1]:80", "u@h.org:80", "h.org.", "a.b.kyoto.jp"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string").withColumn("unit", url_filter.unit_of(F.col("host")))
+    table = [*url_filter.LONG_SUFFIXES, "kyoto.jp"]
+    got = [tuple(r) for r in df.select("unit", url_filter.domain_of(F.col("unit"), table), url_filter.suffix_of(F.col("unit"), table)).collect()]
+    assert got == [
+        ("a.b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("b.co.uk", "b.co.uk", "co.uk"), ("x.y.com", "y.com", "com"), ("com", "com", "com"), ("", "", ""), ("1.2.3.4", "1.2.3.4", "(addresses)"),
+        ("[::1]", "[::1]", "(addresses)"), ("h.org", "h.org", "org"), ("h.org", "h.org", "org"), ("a.b.kyoto.jp", "b.kyoto.jp", "kyoto.jp"),
+    ]
+
+
+def test_beta_quantile_is_close(spark):
+    cases = [(0.3, 1.0), (0.5, 2.0), (1.0, 1.0), (1.0, 4.0), (2.0, 8.0), (3.0, 3.0), (5.0, 20.0), (50.0, 20.0), (200.0, 800.0), (30.0, 1.0)]
+    got = [r[0] for r in spark.createDataFrame(cases, "a double, b double").select(url_filter.beta_quantile(F.col("a"), F.col("b"))).collect()]
+    x = np.linspace(-60, 60, 400_001)  # log odds
+    for (a, b), low in zip(cases, got, strict=True):
+        weight = -a * np.log1p(np.exp(-x)) - b * np.log1p(np.exp(x))
+        total = np.cumsum(np.exp(weight - weight.max()))
+        assert abs(low - 1 / (1 + math.exp(-x[np.searchsorted(total / total[-1], 0.025)]))) < 0.011
+    assert spark.range(1).select(url_filter.beta_quantile(F.lit(30.0), F.lit(0.1))).first()[0] > 0.9
+
+
 # op7
 
 
@@ -445,12 +482,32 @@ def test_tree_merge_over_many_slots_and_fan_ins(spark):
     rows = [(k, f"t{k % 37}") for k in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(13)
     for slots, fan in ((1, 2), (7, 2), (16, 4), (50, 8)):
-        found = exact_dedup.tree_merge(df.select("doc_id", *exact_dedup.identity()), slots=slots, fan_in=fan).collect()
+        found = exact_dedup.tree_merge(df.select("doc_id", exact_dedup.identity()), slots=slots, fan_in=fan).collect()
         assert len(found) == 37 and sorted(r["keep_id"] for r in found) == list(range(1963, 2000)) and sum(r["group_size"] for r in found) == 2000
-    low = exact_dedup.tree_merge(df.select("doc_id", *exact_dedup.identity()), keep="smallest").collect()
+    low = exact_dedup.tree_merge(df.select("doc_id", exact_dedup.identity()), keep="smallest").collect()
     assert sorted(r["keep_id"] for r in low) == list(range(37))
 
 
+def test_multiway_merge_of_runs_is_sorted_whole_and_bounded(monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BATCH_ROWS", 7)
+    monkeypatch.setattr(exact_dedup, "SPOOL_BYTES", 100)
+    monkeypatch.setattr(exact_dedup, "MOST_RUNS", 5)
+    rng = random.Random(5)
+    runs = [sorted(rng.randrange(400).to_bytes(48) for _ in range(rng.randrange(1, 90))) for _ in range(23)]
+    flat = [k for run in runs for k in run]
+    ids = [rng.randrange(1000) for _ in flat]
+    n = len(flat)
+    whole = pa.RecordBatch.from_arrays([pa.array(flat, pa.binary()), pa.array([0] * n, pa.int32()), pa.array(ids), pa.array([1] * n), pa.array([1] * n)], names=exact_dedup.NAMES)
+    for largest, best in ((True, max), (False, min)):
+        out = pa.Table.from_batches(exact_dedup.merge(iter([whole.slice(k, 13) for k in range(0, n, 13)]), largest)).to_pylist()
+        want = {}
+        for k, i in zip(flat, ids, strict=True):
+            want.setdefault(k, []).append(i)
+        assert [r["key"] for r in out] == sorted(want)
+        assert [(r["keep_id"], r["group_size"], r["n_keep"]) for r in out] == [(best(v), len(v), v.count(best(v))) for _, v in sorted(want.items())]
+    assert len(exact_dedup.runs_of(exact_dedup._fixed(iter([whole])))) <= 23 and list(exact_dedup.merge(iter([]))) == []
+
+
 # op8
 
 
@@ -478,7 +535,6 @@ def test_warc_round_trip(spark, tmp_path):
 def test_bundles_are_plain_zstandard_with_a_seek_table(tmp_path):
     import io
 
-    import pyarrow as pa
     import zstandard
 
     sink = io.BytesIO()

@@ -21,8 +21,8 @@ from pyspark.sql.types import StructType
 from helixlake.llm.arrow import map_batches
 
 #: Bounds of the fit: rows sampled per language, and how long a row's text may be to be drawn. Texts that are drawn
-#: are used whole; a language without a text so short is learned from its shortest one. Dictionaries beyond 256 KB are several times slower.
-SAMPLE_DOCS, SAMPLE_CHARS = 120, 2_000
+#: are used whole; a language without a text so short is learned from its shortest one. Dictionaries beyond 128 KB are several times slower.
+SAMPLE_DOCS, SAMPLE_CHARS = 80, 1_500
 CHUNK = 4096
 LEVEL = 6
 #: A margin (1 - smallest / second smallest size) below this is a rejection.
@@ -49,7 +49,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     frequent language first, by name among equals.
 
     The fit is bounded by SAMPLE_DOCS rows per language, picked by a hash of id and text among those of at
-    most SAMPLE_CHARS characters, so the driver holds about half a megabyte a language; there is no limit to
+    most SAMPLE_CHARS characters, so the driver holds about a quarter of a megabyte a language; there is no limit to
     languages. Languages without a letter in their sample are left out; no labelled rows give no languages.
     """
     rows = docs.where(~held_out(id_col) & F.col(text).isNotNull() & F.col(lang).isNotNull())

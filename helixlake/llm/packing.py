@@ -162,7 +162,7 @@ def places(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.ndarra
 
 
 def ranked(pieces: DataFrame, id_col: str, per_bucket: int = 20_000) -> DataFrame:
-    """pieces with rank: 0, 1, ... within each length. A length's pieces are ranked in hash buckets,
+    """pieces with __hl_at: 0, 1, ... within each length. A length's pieces are ranked in hash buckets,
     whose offsets come from the counts by (length, bucket); no length is ever in one task."""
     spark = pieces.sparkSession
     buckets = max(8, pieces.count() // per_bucket, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -172,15 +172,17 @@ def ranked(pieces: DataFrame, id_col: str, per_bucket: int = 20_000) -> DataFram
     offsets = counts.select("length", "__hl_bucket", F.coalesce(F.sum("__hl_n").over(before), F.lit(0)).alias("__hl_before"))
     own = Window.partitionBy("length", "__hl_bucket").orderBy(id_col, "piece")
     local = marked.withColumn("__hl_rank", F.row_number().over(own) - 1)
-    return local.join(offsets, ["length", "__hl_bucket"]).withColumn("rank", F.col("__hl_rank") + F.col("__hl_before")).drop("__hl_bucket", "__hl_rank", "__hl_before")
+    return local.join(offsets, ["length", "__hl_bucket"]).withColumn("__hl_at", F.col("__hl_rank") + F.col("__hl_before")).drop("__hl_bucket", "__hl_rank", "__hl_before")
 
 
 def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """pieces (id_col, piece, length and any others) with sequence_id and offset.
 
     Read more than once: pieces should be durable. Sequences are numbered from 0 and filled
-    without gaps from offset 0. An empty table gives an empty one.
+    without gaps from offset 0. Other columns stay as they are, but for any named sequence_id or offset, which are
+    replaced. Rows that repeat have places of their own. An empty table gives an empty one.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     where = places(best_two_fit(counts, capacity))
     key = where["length"] << 44 | where["first"]
@@ -192,7 +194,7 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) ->
         bin_, slot = np.divmod(k, where["n"][at])
         return pd.DataFrame({"sequence_id": where["base"][at] + bin_, "offset": where["offset"][at] + slot * length.to_numpy(np.int64)})
 
-    placed = ranked(pieces, id_col).withColumn("__hl_place", place("length", "rank"))
+    placed = ranked(pieces, id_col).withColumn("__hl_place", place("length", "__hl_at"))
     return placed.select(*pieces.columns, F.col("__hl_place.sequence_id").alias("sequence_id"), F.col("__hl_place.offset").alias("offset"))
 
 

@@ -61,7 +61,7 @@ _TEST_PATH = re.compile(r"(?i)test|example|sample|fixture|mock|doc")
 _CONFIG_PATH = re.compile(r"(?i)\.(?:env|ini|cfg|conf|ya?ml|toml|json|properties)$|config|secret|deploy")
 _LETTERS, _RUN = re.compile(r"[^\W\d_]+"), re.compile(r"[A-Za-z]{3,}")
 FEATURES = ("length", "transition", "worst", "coverage", "digits", "upper", "entropy", "test_path", "config_path", *(f"near{k}" for k in range(NEAR)))
-SCHEMA = "start int, end int, kind string, value string, path string, near array<string>, evidence double, around long, pairs array<long>"
+SCHEMA = "start int, end int, kind string, value string, vkey binary, path string, near array<string>, evidence double, around long, pairs array<long>"
 #: Codes of bytes in letter pairs: a-z in either case, then digits; 36 is anything else.
 _CODE = np.full(256, 36, dtype=np.int64)
 for _k, _c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789"):
@@ -165,7 +165,8 @@ def features(value: str, path: str | None, near: list[str], words: set[str], tra
 
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """doc_id and SCHEMA of every finding in whole texts, and for each task a row with its pair_counts alone."""
+    """doc_id and SCHEMA of every finding in whole texts (vkey is a 128-bit hash of the value), and for each task a row
+    with its pair_counts alone."""
     kind_of_id = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", *[x.split()[0] for x in SCHEMA.split(", ")]]
 
@@ -173,7 +174,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path:
         import xxhash
 
         pairs, kind_of = np.zeros(1297, dtype=np.int64), None
-        types = [None, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.int64(), pa.list_(pa.int64())]
+        types = [None, pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.int64(), pa.list_(pa.int64())]
         rows = lambda out: pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), [kind_of, *types[1:]], strict=True)], names=names)
         for batch in batches:
             out, kind_of = [], batch.schema.field(0).type
@@ -183,31 +184,33 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path:
                 for a, b, kind in find(whole):
                     near, evidence = context(whole, a, b, kind)
                     around = xxhash.xxh64_intdigest(f"{whole[max(0, a - 20) : a]}|{whole[b : b + 20]}".encode("utf-8", "surrogatepass")) >> 1
-                    out.append((doc, a, b, kind, whole[a:b], where, near, evidence, around, None))
+                    out.append((doc, a, b, kind, whole[a:b], xxhash.xxh3_128_digest(whole[a:b].encode("utf-8", "surrogatepass")), where, near, evidence, around, None))
             if out:
                 yield rows(out)
         if kind_of is not None:
-            yield rows([(None,) * 9 + (pairs.tolist(),)])
+            yield rows([(None,) * 10 + (pairs.tolist(),)])
 
     where = F.col(path).cast("string") if path else F.lit(None).cast("string")
     return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), where.alias("path")), run, f"doc_id {kind_of_id}, {SCHEMA}")
 
 
 def dictionary_hits(docs: DataFrame, found: DataFrame, n_words: int, text: str = "text") -> DataFrame:
-    """value and words: the dictionary words that each distinct value holds. Only words that some value could hold
-    are counted in the corpus, so the rest is never shuffled."""
+    """vkey and words: the dictionary words that each distinct value holds. Words of the corpus are counted before they
+    meet those that some value could hold, so no row is made for each occurrence of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0).to_pylist():
+            for vkey, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if subs := sorted(substrings(value)):
-                    yield pa.RecordBatch.from_arrays([pa.array([value] * len(subs)), pa.array(subs)], names=["value", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array([vkey] * len(subs), pa.binary()), pa.array(subs)], names=["vkey", "word"])
 
-    spread = durable(map_batches(found.select("value").distinct(), run, "value string, word string"), "substrings")
+    distinct = found.groupBy("vkey").agg(F.first("value").alias("value"))
+    spread = durable(map_batches(distinct, run, "vkey binary, word string"), "substrings")
     wanted = durable(spread.select("word").distinct(), "wanted-words")
-    every = docs.select(F.explode_outer(raw_words(text)).alias("w")).where(F.length("w").between(3, 12)).select(lowered("w").alias("word"))
-    counts = join_checked(every, wanted, "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, WORD_SHARE * n_words))
-    return join_checked(spread, durable(counts.select("word"), "dictionary"), "word", "left_semi").groupBy("value").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    every = docs.select(F.explode_outer(raw_words(text)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))  # each spelling is lower-cased once
+    counts = every.where(F.col("w").rlike("^[A-Za-z]{3,12}$")).groupBy(lowered("w").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, WORD_SHARE * n_words))
+    known = durable(counts.select("word").join(wanted, "word"), "dictionary")  # an inner join: a semi-join would be moved below the counting
+    return join_checked(spread, known, "word", "left_semi").groupBy("vkey").agg(F.array_sort(F.collect_set("word")).alias("words"))
 
 
 def described(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
@@ -219,10 +222,10 @@ def described(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path:
     for r in sums.collect():  # 1297 rows at most
         counts[r["k"]] = r["n"]
     transitions = Transitions(counts[:1296])
-    surroundings = found.groupBy("value").agg(F.count_distinct("around").alias("seen")).where(F.col("seen") >= PUBLIC)
+    surroundings = found.groupBy("vkey").agg(F.count_distinct("around").alias("seen")).where(F.col("seen") >= PUBLIC)
     hits = dictionary_hits(docs, found, int(counts[1296]), text)
-    known = durable(hits.join(surroundings, "value", "full"), "values")
-    joined = found.join(apart(known, "value"), "value", "left")
+    known = durable(hits.join(surroundings, "vkey", "full"), "values")
+    joined = found.join(apart(known, "vkey"), "vkey", "left")
     label = F.when(F.col("seen").isNotNull() & (F.col("kind") == "long"), F.lit(0.0)).otherwise(F.col("evidence"))
     kept = ["doc_id", "start", "end", "kind", "value", "label"]
     joined = joined.select(*[label.alias("label") if c == "label" else F.col(c) for c in kept], "path", "near", "words")

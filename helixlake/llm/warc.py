@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import time
 import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -23,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.durable import apart, durable, fresh_path
+from helixlake.durable import durable, fresh_path, join_checked
 from helixlake.llm.arrow import map_batches
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 256 << 20, 3
 #: Fixed values of the zstd seekable format.
 SKIPPABLE, SEEKABLE, HAS_CHECKSUM = 0x184D2A5E, 0x8F92EAB1, 0x80
+READ_BYTES = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, bundle string, frame int, frame_offset long, frame_bytes long, record_offset long, record_bytes long"
@@ -154,21 +156,26 @@ def roles(pages: DataFrame, id_col: str = "page_id", payload: str = "html", min_
     """pages (page_id, url, payload) with record_type and refers_to.
 
     Of payloads equal by SHA-1 and length that have min_bytes or more, the row with the largest id
-    is the response; null payloads are empty ones. A null id never wins over another. Digests are
-    pre-aggregated, so a payload in a third of all rows is a single winner's row in the join.
+    is the response; null payloads are empty ones. A null id never wins over another. Columns beyond id, url and
+    payload are ignored, whatever their names; rows that repeat are records each; an empty table gives an empty one.
+
+    Only digests are shuffled: repeated ones are counted and written, and broadcast to the payloads as far as
+    they are few (durable.join_checked).
     """
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col("url"), body.alias("payload"))
-    keys = [F.sha1(F.encode(body, "UTF-8")).alias("k"), F.octet_length(body).alias("n")]
-    groups = pages.select(F.col(id_col).alias("page_id"), *keys).where(F.col("n") >= min_bytes).groupBy("k", "n").agg(F.max("page_id").alias("best"), F.count("*").alias("c"))
-    groups = groups.where("c > 1").drop("c")
-    marked = rows.withColumns({"k": F.sha1(F.encode("payload", "UTF-8")), "n": F.octet_length("payload")}).join(apart(groups, "k", "n"), ["k", "n"], "left")
+    key = [F.sha1(F.encode(body, "UTF-8")).alias("k"), F.octet_length(body).cast("long").alias("n")]
+    digests = pages.select(F.col(id_col).alias("page_id"), *key).where(F.col("n") >= min_bytes)
+    groups = digests.groupBy("k", "n").agg(F.max("page_id").alias("best"), F.count("*").alias("c")).where("c > 1").drop("c")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col("url"), body.alias("payload"), *key)
+    marked = join_checked(rows, durable(groups, "repeated-payloads"), ["k", "n"], "left")
     again = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
     return marked.select("page_id", "url", "payload", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("best")).alias("refers_to"))
 
 
-def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL, date: str = DATE) -> DataFrame:
-    """Write rows of `roles` as bundles in folder (a URI that executors share); return their index."""
+def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL, date: str | None = None) -> DataFrame:
+    """Write rows of `roles` as bundles in folder (a URI that executors share); return their index. date is that of
+    capture, by default the time of the call."""
+    date = date or time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow.fs import FileSystem
@@ -205,7 +212,10 @@ def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """The records that index rows point at: page_id, url, payload (null for revisits), payload_bytes,
-    payload_digest, record_type, refers_to. A frame is decompressed once for its neighbouring rows."""
+    payload_digest, record_type, refers_to. A frame is decompressed once for its neighbouring rows.
+
+    Rows are dealt out by frames, READ_BYTES of records a task, and to all cores at least: adaptive execution would go by
+    the bytes of the index, which is small."""
     schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[x.split()[1]] for x in schema.split(", ")]
@@ -240,13 +250,16 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return map_batches(index.repartition("bundle").sortWithinPartitions("bundle", "frame", "record_offset"), run, schema)
+    held = index.agg(F.sum("record_bytes")).first()[0] or 0
+    tasks = max(held // READ_BYTES + 1, min(held // FRAME_BYTES + 1, index.sparkSession.sparkContext.defaultParallelism))
+    dealt = index.repartition(int(tasks), "bundle", "frame").sortWithinPartitions("bundle", "frame", "record_offset")
+    return map_batches(dealt, run, schema)
 
 
-def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", payload: str = "html", min_bytes: int = 0) -> tuple[DataFrame, str]:
+def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", payload: str = "html", min_bytes: int = 0, date: str | None = None) -> tuple[DataFrame, str]:
     """Write pages as bundles; return the index and the folder. An empty table gives an empty index."""
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    return write_bundles(roles(pages, id_col, payload, min_bytes), folder), folder
+    return write_bundles(roles(pages, id_col, payload, min_bytes), folder, date=date), folder
 
 
 def sweep(spark: SparkSession, index: DataFrame, folder: str) -> int:

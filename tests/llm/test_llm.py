@@ -388,6 +388,57 @@ def test_pii_adds_spans_and_keeps_base_ones(spark, empty):
     assert first == "words and mail [email] today, call [phone] now"
 
 
+def test_pii_query_against_plain_regexes(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in QUERIES["op5_pii"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        base = brute.base_spans(r["text"])
+        plain = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        mine = got[r["doc_id"]]
+        assert mine["base_sha256"] == hashlib.sha256(plain.encode()).hexdigest() and set(filter(None, plain.split(","))) <= set(mine["spans"].split(","))
+        assert [mine[f"n_{k}"] for k in brute.KINDS] == [sum(x[0] == k for x in base) for k in brute.KINDS]
+
+
+def test_pii_of_every_further_kind(spark, docs):
+    good = [
+        "please write to Anna Schmidt at the desk", "she lives at 12 Baker Street now", "wohnt in Lindenstraße 14 seit", "habite 7, rue de la Paix ici", "vive en Calle de Alcalá 20 ahora",
+        "IBAN DE89 3704 0044 0532 0130 00 is the account", "my ssn 219-09-9998 here", "call (212) 555-2368 now", "mail joe (at) site (dot) com today",
+    ]
+    bad = ["order 9000 4263 0996 6109 of part", "IBAN-like DE89 3704 0044 0532 0130 01 fails", "version 300.400.500.600 of build", "ssn 000-12-3456 never", "invoice +0 000 0000 of"]
+    rows = [(100 * k + n, t) for n, t in enumerate(good) for k in range(12)] + [(10_000 + 100 * k + n, t) for n, t in enumerate(bad) for k in range(12)]
+    out = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[n] for n in range(len(good))] == [["name"], ["address"], ["address"], ["address"], ["address"], ["iban"], ["ssn"], ["phone"], ["email"]]
+    assert [out[10_000 + n] for n in range(len(bad))] == [[]] * len(bad)
+    clash = docs.withColumns({"found": F.lit(1), "base": F.lit("x"), "email": F.lit(2), "spans": F.lit(3)})
+    assert sorted(map(key, pii.spans(clash).collect())) == sorted(map(key, pii.spans(docs).collect()))
+    assert pii.redacted(clash).count() == len(TEXTS)
+
+
+def test_redaction_cuts_by_place(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    texts = ["4.4.4.4 to 14.4.4.44", "a@b.cc", "", None, "é a@b.cc, +49 30 1234567 8 1.2.3.4 and x@y.zz é", "1.2.3.4a@1.2.3.4 " * 9]
+    got = {r["doc_id"]: r["text"] for r in pii.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        want, at = "", 0
+        for kind, a, b in brute.base_spans(t):
+            if a >= at:
+                want += (t or "")[at:a] + f"[{kind}]"
+            at = max(at, b)
+        assert got[k] == want + (t or "")[at:]
+    assert got[0] == "[ip] to [ip]"
+
+
+def test_pii_time_grows_with_matches_not_their_square(spark):
+    took = []
+    for n in (1_000, 8_000):
+        df = spark.createDataFrame([(1, " ".join(f"a{k}@x.yy 212-555-{1000 + k}" for k in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert len(pii.spans(df).first()["base"]) == n
+        took.append(time.time() - began)
+    assert took[1] < 20 * max(took[0], 0.5)
+
+
 def test_expectation_maximisation_tells_good_labelers_from_bad():
     rng = random.Random(3)
     counts = {}
@@ -528,6 +579,8 @@ def test_warc_round_trip(spark, tmp_path):
     (tmp_path / "w" / "stray.warc.zst").write_bytes(b"x")
     assert warc.sweep(spark, index, folder) == 1
     assert warc.read_records(warc.archive(pages.limit(0))[0], folder).count() == 0
+    odd = pages.withColumns({"n": F.lit("x"), "payload": F.lit(b"q"), "record_type": F.lit(1), "c": F.lit(2)})
+    assert sorted(key((r["page_id"], r["record_type"], r["refers_to"])) for r in warc.roles(odd).collect()) == sorted(key((r["page_id"], r["record_type"], r["refers_to"])) for r in back)
     small = {str(r["page_id"]): r["record_type"] for r in warc.roles(pages, min_bytes=6).collect()}
     assert small["3"] == small["4"] == small["6"] == "response" and small["1"] == "revisit"
 
@@ -599,6 +652,15 @@ def test_packing_odd_rows(spark, docs, empty):
     assert len(rows) > len(TEXTS) and packing.packed(empty).count() == 0
 
 
+def test_packing_keeps_other_columns(spark, docs):
+    pieces = packing.tokenise(docs).drop("ids").withColumns({"rank": F.lit("mine"), "offset": F.lit("gone"), "place": F.lit(3)}).persist()
+    out = packing.pack(pieces)
+    assert out.columns == ["doc_id", "piece", "start", "length", "rank", "place", "sequence_id", "offset"]
+    rows = out.collect()
+    assert {(r["rank"], r["place"]) for r in rows} == {("mine", 3)}
+    check_packing(rows, [r["length"] for r in rows])
+
+
 def test_best_two_fit_plans():
     rng = random.Random(4)
     for cap in (10, 100, 2048):

@@ -9,6 +9,7 @@
    occurrence meet at the same (document, item, shift). The rarest terms' lists are intersected with
    the second rarest's there, and a pair survives if it anchors one window.
 5. The words stored around the rarest term settle which windows match exactly.
+6. Where both anchors of a window occur a few words nearer or farther than in the item, it is a proximity match.
 
 Only DataFrame functions run here. Common words never enter the index unless a window has nothing
 rarer. Nothing is collected; test-side tables are broadcast only within a counted bound.
@@ -19,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.durable import durable, join_checked
+from helixlake.durable import durable, fits, join_checked
 from helixlake.llm.words import case_key, lowered, raw_words, words
 
-WINDOW = 10
+WINDOW, SLACK = 10, 5
 KEY = ["doc_id", "text_key"]
 AT = [*KEY, "item_key", "shift"]
 
@@ -76,15 +77,25 @@ def anchor_pairs(items: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, pairs: DataFrame, reach: int = WINDOW - 1) -> DataFrame:
     """Stored postings of anchor terms: term, KEY, pos, before (how many of the words around precede it) and
-    around, both null where the term is no window's rarest."""
+    around, both null where the term is no window's rarest.
+
+    Terms too many to broadcast meet the words by shuffle, which then carries positions alone; the words around
+    are cut afterwards, from each document's one row."""
     rarest = pairs.select(F.col("first_term").alias("term"), F.lit(True).alias("rarest"))
     others = pairs.where("second_term IS NOT NULL").select(F.col("second_term").alias("term"), F.lit(False).alias("rarest"))
     terms = durable(rarest.union(others).groupBy("term").agg(F.max("rarest").alias("rarest")).withColumn("term_key", case_key("term")), "anchor-terms")
-    spread = docs.select(*KEY, "doc_words", F.posexplode_outer("doc_words").alias("pos", "w")).withColumn("term_key", case_key("w"))
-    found = join_checked(spread, terms, "term_key", "inner").where(lowered("w") == F.col("term"))
     before = F.least(F.col("pos"), F.lit(reach))
     around = F.slice("doc_words", F.col("pos") - before + 1, before + 1 + reach)  # lower-cased later: a lambda here would write out doc_words for every posting
-    return durable(found.select("term", *KEY, "pos", F.when(F.col("rarest"), before).alias("before"), F.when(F.col("rarest"), around).alias("around")), "postings")
+    posting = ["term", *KEY, "pos", F.when(F.col("rarest"), before).alias("before"), F.when(F.col("rarest"), around).alias("around")]
+    if fits(terms):
+        spread = docs.select(*KEY, "doc_words", F.posexplode_outer("doc_words").alias("pos", "w")).withColumn("term_key", case_key("w"))
+        return durable(spread.join(F.broadcast(terms), "term_key").where(lowered("w") == F.col("term")).select(*posting), "postings")
+    spread = docs.select(*KEY, F.posexplode_outer("doc_words").alias("pos", "w")).withColumn("term_key", case_key("w"))
+    found = durable(spread.join(terms, "term_key").where(lowered("w") == F.col("term")).select("term", *KEY, "pos", "rarest"), "positions")
+    spots = found.where("rarest").groupBy(*KEY).agg(F.collect_list(F.struct("term", "pos", "rarest")).alias("spots")).withColumnsRenamed({k: f"at_{k}" for k in KEY})
+    same = (F.col("text_key") == F.col("at_text_key")) & F.col("doc_id").eqNullSafe(F.col("at_doc_id"))
+    cut = docs.dropDuplicates(KEY).join(spots, same).select(*KEY, "doc_words", F.explode("spots").alias("x")).select(*KEY, "doc_words", "x.*")
+    return durable(cut.select(*posting).unionByName(found.where("NOT rarest").select("term", *KEY, "pos", F.lit(None).cast("int").alias("before"), F.lit(None).cast("array<string>").alias("around"))), "postings")
 
 
 def alignments(index: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -117,18 +128,25 @@ def phrase_hits(met: DataFrame, items: DataFrame) -> DataFrame:
     return exact.select(*KEY, "item_id", F.transform(hit, lambda p: p + F.col("shift")).alias("hit")).where(F.size("hit") > 0)
 
 
-def proximity_hits(index: DataFrame, pairs: DataFrame, items: DataFrame, slack: int = 5) -> DataFrame:
+def proximity_hits(index: DataFrame, pairs: DataFrame, items: DataFrame, slack: int = SLACK) -> DataFrame:
     """KEY and item_id where both anchors of a window occur with shifts at most `slack` apart: a passage
-    with words put in, left out or moved a little. Exact occurrences are among them."""
+    with words put in, left out or moved a little. Exact occurrences are among them.
+
+    Shifts meet by cells of slack + 1: those of the second anchor in their own, those of the first in the cells beside, too."""
     cell = F.floor(F.col("shift") / (slack + 1))
-    first = durable(pairs.select(F.col("first_term").alias("term"), "item_key", "first", "second").distinct(), "first-anchors")
-    second = durable(pairs.select(F.col("second_term").alias("term"), "item_key", "first", "second").distinct(), "second-anchors")
-    adjusted = lambda side, at: join_checked(index, side, "term", "inner").select(*KEY, "item_key", "first", "second", (F.col("pos") - F.col(at)).alias("shift"))
-    a = adjusted(first, "first").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).withColumnRenamed("shift", "shift_a")
-    b = adjusted(second, "second").withColumn("cell", cell).withColumnsRenamed({"shift": "shift_b", "doc_id": "b_doc_id"})
+    terms = ["item_key", "first", "second", "first_term", "second_term"]
+    both = durable(pairs.select(*terms).distinct(), "anchor-terms-of-items")
+    narrow = index.select("term", *KEY, "pos")
+    at_first = both.select(F.col("first_term").alias("term"), "item_key", "first", "second")
+    at_second = both.where("second IS NOT NULL").select(F.col("second_term").alias("term"), "item_key", "first", "second")
+    a = join_checked(narrow, at_first, "term", "inner").select(*KEY, "item_key", "first", "second", (F.col("pos") - F.col("first")).alias("shift"))
+    lone = a.where("second IS NULL").select(*KEY, "item_key")
+    a = a.where("second IS NOT NULL").withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))).withColumnRenamed("shift", "shift_a")
+    b = join_checked(narrow, at_second, "term", "inner").select(*KEY, "item_key", "first", "second", (F.col("pos") - F.col("second")).alias("shift"))
+    b = b.withColumn("cell", cell).withColumnsRenamed({"shift": "shift_b", "doc_id": "b_doc_id"})
     near = a.join(b, ["text_key", "item_key", "first", "second", "cell"]).where(F.col("doc_id").eqNullSafe(F.col("b_doc_id")) & (F.abs(F.col("shift_a") - F.col("shift_b")) <= slack))
-    lone = adjusted(first.where("second IS NULL"), "first").select(*KEY, "item_key")
-    return near.select(*KEY, "item_key").union(lone).distinct().join(items.select("item_key", "item_id"), "item_key").select(*KEY, "item_id").distinct()
+    met = near.select(*KEY, "item_key").union(lone).distinct()
+    return join_checked(met, durable(items.select("item_key", "item_id"), "item-ids"), "item_key", "inner").select(*KEY, "item_id").distinct()
 
 
 class Index:
@@ -144,22 +162,29 @@ class Index:
     def phrases(self) -> DataFrame:
         return phrase_hits(alignments(self.postings, self.pairs), self.items)
 
-    def proximity(self, slack: int = 5) -> DataFrame:
+    def proximity(self, slack: int = SLACK) -> DataFrame:
         return proximity_hits(self.postings, self.pairs, self.items, slack)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, text_key, n_words, n_hit, items (that have occurring windows).
+    """One row per row of docs: doc_id, text_key, n_words, n_hit, items (that have occurring windows) and n_near (how
+    many items have a proximity match, exact ones included).
 
     Null and empty texts have no words; an empty benchmark hits nothing; repeated rows are judged
-    each. Items that repeat an id are judged by each of their texts.
+    each. Items that repeat an id are judged by each of their texts, and count once. Texts are searched whole, however
+    long; columns beyond ids and texts are ignored, whatever their names; an empty table gives an empty one.
     """
     index = Index(docs, benchmark, id_col, text, item_id, item_text)
-    hits = index.phrases().groupBy(*KEY).agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.collect_set("item_id").alias("items"))
-    hits = durable(hits, "hits").withColumnsRenamed({k: f"hit_{k}" for k in KEY})
-    rows = index.docs.select(*KEY, F.size("doc_words").cast("long").alias("n_words"))
-    joined = rows.join(hits, (F.col("text_key") == F.col("hit_text_key")) & F.col("doc_id").eqNullSafe(F.col("hit_doc_id")), "left")
-    return joined.select(*KEY, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast(hits.schema["items"].dataType)).alias("items"))
+    exact = index.phrases().groupBy(*KEY).agg(F.size(F.array_distinct(F.flatten(F.collect_list("hit")))).cast("long").alias("n_hit"), F.collect_set("item_id").alias("items"))
+    near = index.proximity().groupBy(*KEY).agg(F.count("*").alias("n_near"))
+    same = lambda k: (F.col("text_key") == F.col(f"{k}_text_key")) & F.col("doc_id").eqNullSafe(F.col(f"{k}_doc_id"))
+    named = lambda df, k: df.withColumnsRenamed({c: f"{k}_{c}" for c in KEY})
+    near = durable(near, "near")
+    hits = durable(near.join(named(exact, "hit"), same("hit"), "left").drop("hit_doc_id", "hit_text_key"), "hits")  # an exact occurrence is a near one, too
+    joined = join_checked(index.docs.select(*KEY, F.size("doc_words").cast("long").alias("n_words")), named(hits, "hit"), same("hit"), "left")
+    none = F.lit(0).cast("long")
+    items = F.coalesce("items", F.array().cast(hits.schema["items"].dataType)).alias("items")
+    return joined.select(*KEY, "n_words", F.coalesce("n_hit", none).alias("n_hit"), items, F.coalesce("n_near", none).alias("n_near"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

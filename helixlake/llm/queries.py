@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
-    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,10 +72,19 @@ dw AS (SELECT doc_id, need, s, list_slice(w, s + 1, s + need) AS k
        FROM (SELECT doc_id, w, need, unnest(range(len(w) - need + 1)) AS s FROM d, (SELECT DISTINCT need FROM b) WHERE len(w) >= need)),
 hit AS (SELECT doc_id, item_id, s, dw.need FROM dw JOIN win ON dw.k = win.k),
 n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + need)) AS p FROM hit) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id),
+dp AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
+bp AS (SELECT DISTINCT item_id, w, need, unnest(w) AS x, unnest(range(len(w))) AS p FROM b),
+tn AS (SELECT t.x, count(dp.x) AS n FROM (SELECT DISTINCT x FROM bp) t LEFT JOIN dp ON lower(dp.x) = lower(t.x) GROUP BY t.x),
+wp AS (SELECT item_id, w, need, s, bp.x, p, n, row_number() OVER (PARTITION BY item_id, w, s ORDER BY n, p) AS r
+       FROM (SELECT item_id, w, need, x, p, unnest(range(greatest(0, p - need + 1), least(p, len(w) - need) + 1)) AS s FROM bp) bp JOIN tn USING (x)),
+an AS (SELECT DISTINCT item_id, w, a.p AS p1, a.x AS x1, z.p AS p2, z.x AS x2 FROM (SELECT * FROM wp WHERE r = 1 AND n > 0) a LEFT JOIN (SELECT * FROM wp WHERE r = 2) z USING (item_id, w, s)),
+nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+  SELECT a.doc_id, item_id FROM an JOIN dp a ON a.x = x1 JOIN dp z ON z.x = x2 AND z.doc_id = a.doc_id AND abs((a.p - p1) - (z.p - p2)) <= 5
+  UNION ALL SELECT a.doc_id, item_id FROM an JOIN dp a ON a.x = x1 WHERE x2 IS NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)""",
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN nr USING (doc_id)""",
     "op6_url_filter": r"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

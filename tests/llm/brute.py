@@ -35,6 +35,32 @@ def contamination(docs, items):
     return out
 
 
+def near_items(docs, items, slack=5):
+    """How many items each document has both rarest terms of a window of, at most slack words nearer or farther."""
+    counts = defaultdict(int)
+    for _, text in docs:
+        for w in words(text):
+            counts[w.lower()] += 1
+    out = []
+    anchors = set()
+    for item, text in items:
+        w = words(text)
+        n = min(10, len(w))
+        for s in range(len(w) - n + 1 if n else 0):
+            low = sorted((counts[w[p].lower()], p) for p in range(s, s + n))[:2]
+            if low[0][0]:
+                anchors.add((item, tuple((p, w[p]) for _, p in low)))
+    for _, text in docs:
+        at, found = defaultdict(list), set()
+        for p, w in enumerate(words(text)):
+            at[w].append(p)
+        for item, ((p1, x1), *rest) in anchors:
+            if not rest and at.get(x1) or rest and any(abs((a - p1) - (b - rest[0][0])) <= slack for a in at.get(x1, ()) for b in at.get(rest[0][1], ())):
+                found.add(item)
+        out.append(len(found))
+    return out
+
+
 def luhn(digits):
     return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
 

@@ -82,6 +82,26 @@ def test_decontamination_drops_and_keeps(spark, docs, empty):
     assert decontam.contamination(empty, bench).count() == 0
 
 
+def test_near_items_against_brute_force_and_with_many_terms(spark, monkeypatch):
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in "abcde" for b in "uvwxyz"]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 25)))) for k in range(25)] + [(100, None), (101, "")]
+    texts = []
+    for k in range(60):
+        w = [rng.choice(vocabulary[: 6 + k % 25]) for _ in range(rng.randrange(0, 60))]
+        part = items[k % 25][1].split()
+        part.insert(rng.randrange(len(part) + 1), "extra")
+        texts.append((k, " ".join(w + part if k % 2 else w)))
+    texts += [(None, ITEM), (70, None), (70, None), texts[3]]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(key(x) for x in zip((d for d, _ in texts), brute.near_items(texts, items), (h for _, _, h, _ in brute.contamination(texts, items)), strict=True))
+    rows = lambda: sorted(key((r["doc_id"], r["n_near"], r["n_hit"])) for r in decontam.contamination(df, bench).collect())
+    assert rows() == want and any(x[1] not in "0" for x in want)
+    monkeypatch.setattr(decontam, "fits", lambda _: False)
+    monkeypatch.setattr(decontam, "join_checked", lambda big, small, on, how: big.join(small.hint("merge"), on, how))
+    assert rows() == want
+
+
 def test_proximity_finds_a_moved_word(spark):
     w = ITEM.split()
     df = spark.createDataFrame([(1, " ".join([*w[:5], "put", "in", *w[5:]])), (2, "nothing of it")], "doc_id long, text string")

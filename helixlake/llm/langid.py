@@ -28,15 +28,19 @@ LEVEL = 6
 #: A margin (1 - smallest / second smallest size) below this is a rejection.
 MARGIN = 0.005
 UNKNOWN = "und"
-#: Numbers that aren't decimal digits: word characters to `re`, but not letters.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numbers that aren't decimal digits: word characters to `re`, but not letters. Few texts have any.
+_NUMBERS = {c: " " for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()}
+_TO_SPACES = str.maketrans(_NUMBERS)
 SCHEMA = "lang_pred string, score double, rejected boolean"
 
 
 def letters(text: str | None) -> str:
     """Lower-cased runs of letters with single spaces between; empty if there is no letter."""
-    return _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    plain = _NOT_LETTERS.sub(" ", (text or "").lower())
+    if not plain.isascii() and not _NUMBERS.keys().isdisjoint(plain):
+        plain = " ".join(plain.translate(_TO_SPACES).split())
+    return plain.strip()
 
 
 def held_out(id_col: str = "doc_id"):

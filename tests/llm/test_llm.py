@@ -734,6 +734,28 @@ def test_large_groups_go_in_blocks(spark, monkeypatch):
     assert got == {d: x for (d, _), x in zip(texts, brute.jaccard_classes(texts), strict=True)}
 
 
+def test_a_chain_of_like_texts_is_not_closed(spark):
+    """Neighbours of a long chain are at 0.7: candidates chain, links don't, and what is compared
+    grows with the chain and not with its square."""
+    n = 2_000
+    texts = [(k, " ".join(f"c{j}" for j in range(10 * k, 10 * k + 60))) for k in range(n)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    bands, rows = near_dedup.bands_for()
+    signed = near_dedup.signatures(df, "doc_id", "text", bands, rows)
+    nodes = signed.groupBy("node").agg(F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands")).persist()
+    dealt = near_dedup.units(nodes).select("node", F.explode("places").alias("p")).groupBy("p.unit", "p.band").agg(F.count("*").alias("k")).collect()
+    whole = near_dedup.connected(near_dedup.shared_buckets(nodes).select(F.col("label").alias("u"), F.col("least").alias("v"))).groupBy("root").count().agg(F.max("count")).first()[0]
+    assert whole > 500 and sum(r["k"] ** 2 for r in dealt) < 150 * n and max(r["k"] for r in dealt) < 60
+    assert {(r["class_id"], r["n_links"]) for r in near_dedup.jaccard_classes(df).collect()} == {(k, 0) for k in range(n)}
+
+
+def test_jaccard_query_against_all_pairs(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in QUERIES["op10_jaccard_join"](spark, "/root/testdata/sf0.01").collect()}
+    want = {d: x for (d, _), x in zip(rows, brute.jaccard_classes(rows), strict=True)}
+    assert got == want and sum(n for _, n in want.values()) >= 200
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.99), (0.9, 0.999)):
         bands, rows = near_dedup.bands_for(threshold, recall)

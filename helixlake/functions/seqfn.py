@@ -65,6 +65,18 @@ def hamming(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
 
 
+def near_keys(word: Column, most: int) -> Column:
+    """Array of (k, x): words of equal length that differ in at most `most` places share a key.
+
+    A word is cut into most + 2 blocks. So many differences leave two blocks intact, and a key is a pair of blocks:
+    far rarer than a single one, so that common blocks don't gather."""
+    parts = most + 2
+    cut = lambda b: F.floor(F.length(word) * b / parts).cast("int")
+    block = lambda b: F.substr(word, cut(b) + 1, cut(b + 1) - cut(b))
+    pairs = [(a, b) for a in range(parts) for b in range(a + 1, parts)]
+    return F.array(*[F.struct(F.lit(k).alias("k"), F.length(word).alias("n"), F.concat(block(a), block(b)).alias("x")) for k, (a, b) in enumerate(pairs)])
+
+
 def hex_to_nt(hexed: Column | str) -> Column:
     """Two bases per hex digit: 00 A, 01 C, 10 G, 11 T. Lower case in between keeps digits and bases apart."""
     out = col(hexed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,19 +38,38 @@ def exact_lookup(words: DataFrame, cores: DataFrame) -> DataFrame:
     return words.join(known, "word", "left")
 
 
+#: Order of a trie's children: fixed value.
+CHILDREN = "ATGC"
+
+
+def fuzzy_step(words: DataFrame, cores: DataFrame, ahead: int = 2) -> DataFrame:
+    """id, at, nexts: where words (id, word) leave the trie of the cores (word), and the symbols in CHILDREN's order that
+    the trie has there instead and that the word's next `ahead` symbols (fewer near its end) can follow. Of a word's last
+    position only the first symbol is given. Words that the trie holds whole have no row.
+
+    A trie is the set of its nodes, the cores' prefixes: the walk is a lookup of a word's prefixes in it."""
+    prefixes = lambda c: F.transform(F.sequence(F.lit(0), F.length(c)), lambda k: F.substr(c, F.lit(1), k))
+    nodes = cores.select(F.explode(prefixes(F.col("word"))).alias("node")).distinct()
+    walk = words.select("id", "word", F.explode(prefixes(F.col("word"))).alias("node")).join(nodes, "node", "left_semi")
+    left = walk.groupBy("id", "word").agg(F.max(F.length("node")).alias("at")).where(F.col("at") < F.length("word"))
+    tries = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(CHILDREN)])
+    spread = left.select("id", "word", "at", F.explode(tries).alias("x"))
+    asked = spread.select("id", "word", "at", "x", F.concat(F.substr("word", F.lit(1), F.col("at")), F.col("x.c"), F.substr("word", F.col("at") + 2, F.lit(ahead))).alias("node"))
+    there = asked.join(nodes, "node", "left_semi").groupBy("id", "at", F.length("word").alias("n")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    kept = F.when(F.col("at") + 1 == F.col("n"), F.slice("xs", 1, 1)).otherwise(F.col("xs"))
+    found = there.select("id", F.array_join(F.transform(kept, lambda x: x["c"]), "").alias("nexts"))
+    return left.join(found, "id", "left").select("id", "at", F.coalesce("nexts", F.lit("")).alias("nexts"))
+
+
 def fuzzy_lookup(words: DataFrame, cores: DataFrame, most: int) -> DataFrame:
     """id, label, distance: the nearest core word by substitutions, at most `most`, the smallest label among
-    equals; words that have none are left out.
-
-    With k substitutions one of k + 1 blocks is intact: words meet cores on (block number, block)."""
-    width = cores.select(F.max(F.length("word"))).first()[0] or 0
-    size = max(1, width // (most + 1))
-    blocks = lambda w: F.array(*[F.struct(F.lit(k).alias("k"), F.substr(w, F.lit(k * size + 1), F.lit(size)).alias("x")) for k in range(most + 1)])
-    a = words.select("id", "word", F.explode(blocks(F.col("word"))).alias("b"))
-    b = cores.select("label", F.col("word").alias("core"), F.explode(blocks(F.col("word"))).alias("b"))
-    met = a.join(b, "b").select("id", "word", "label", "core").distinct()
-    near = met.where(F.length("word") == F.length("core")).withColumn("distance", seqfn.hamming("word", "core")).where(F.col("distance") <= most)
-    return near.groupBy("id").agg(F.min_by(F.struct("label", "distance"), F.struct("distance", "label")).alias("m")).select("id", "m.label", "m.distance")
+    equals; words that have none are left out. Equal words are looked up once, equal cores under their smallest label."""
+    known = cores.groupBy(F.col("word").alias("core")).agg(F.min("label").alias("label"))
+    a = words.select("word").distinct().select("word", F.explode(seqfn.near_keys(F.col("word"), most)).alias("b"))
+    b = known.select("label", "core", F.explode(seqfn.near_keys(F.col("core"), most)).alias("b"))
+    near = a.join(b, "b").select("word", "label", "core").withColumn("distance", seqfn.hamming("word", "core")).where(F.col("distance") <= most)
+    best = near.groupBy("word").agg(F.min_by(F.struct("label", "distance"), F.struct("distance", "label")).alias("m"))
+    return words.select("id", "word").join(apart(best, "word"), "word").select("id", "m.label", "m.distance")
 
 
 def drift_clusters(reads: DataFrame, size: int = 20, middle: int = 10, drift: int = 2, most: int = 3, smallest: int = 1) -> DataFrame:
@@ -83,9 +104,7 @@ def segment_links(rows: DataFrame, most: int) -> DataFrame:
     equal = rows.join(apart(kinds, "part", "segment"), ["part", "segment"]).where("read_id <> first").select(F.col("read_id").alias("u"), F.col("first").alias("v"))
     if most < 1:
         return equal
-    width = F.greatest(F.lit(1), F.floor(F.length("segment") / (most + 1))).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.struct(k.alias("k"), F.substr("segment", k * width + 1, width).alias("x")))
-    spread = kinds.select("part", "segment", "first", F.explode(blocks).alias("b"))
+    spread = kinds.select("part", "segment", "first", F.explode(seqfn.near_keys(F.col("segment"), most)).alias("b"))
     a, b = spread.alias("a"), spread.alias("b")
     met = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.b") == F.col("b.b")) & (F.col("a.segment") < F.col("b.segment")))
     pairs = met.select(F.col("a.first").alias("v"), F.col("b.first").alias("u"), F.col("a.segment").alias("s"), F.col("b.segment").alias("t")).distinct()
@@ -93,30 +112,82 @@ def segment_links(rows: DataFrame, most: int) -> DataFrame:
     return equal.unionByName(near)
 
 
-def greedy_by_prefix(reads: DataFrame, prefix: int, size: int = 20, most: int = 3, new_core: int = 8) -> DataFrame:
-    """read_id, core in the sequential order of read_id within each prefix of the sequence: a read joins the
-    first core whose head is nearest (below `most`), founds one if all are `new_core` or more away, and is
-    dropped (core null) in between. One group per prefix; choose prefixes long enough for a task."""
+def _letters(seq: str, size: int) -> np.ndarray:
+    return np.frombuffer(seq[:size].ljust(size, "-").encode("latin1", "replace"), np.uint8)
+
+
+class _Cores:
+    """Segments of the cores so far, one matrix per part, with the nearest core to a segment."""
+
+    def __init__(self, widths: dict[str, int]):
+        self.widths, self.ids = widths, []
+        self.rows = {name: np.zeros((64, w), np.uint8) for name, w in widths.items()}
+
+    def add(self, core: object, parts: dict[str, str]) -> None:
+        n = len(self.ids)
+        for name, w in self.widths.items():
+            if n == len(self.rows[name]):
+                self.rows[name] = np.vstack([self.rows[name], np.zeros_like(self.rows[name])])
+            self.rows[name][n] = _letters(parts[name], w)
+        self.ids.append(core)
+
+    def nearest(self, name: str, segment: str) -> tuple[int, int]:
+        """(distance, number) of the first nearest core; a distance that none has if there are no cores."""
+        if not self.ids:
+            return 1_000, -1
+        distance = (self.rows[name][: len(self.ids)] != _letters(segment, self.widths[name])).sum(axis=1)
+        k = int(distance.argmin())
+        return int(distance[k]), k
+
+
+def sequential_cores(reads: DataFrame, prefix: int, size: int = 20, middle: int = 10, drift: int = 2, centre: int = 40, most: int = 3, new_core: int = 8) -> DataFrame:
+    """read_id, core, how in the order of read_id within each prefix of the sequence (partitioned clustering).
+
+    A read joins the first core whose head is nearest, if fewer than `most` places differ (how `head`); else by tails
+    (`tail`); else by the best of both middle segments over all drifts, cores being at drift 0 (`middle`). If no middle is
+    nearer than `new_core`, it founds a core (`new`); otherwise it is dropped (core null, `dropped`).
+
+    One group per prefix, whose cores and reads one task holds: choose prefixes long enough for that."""
+    widths = {"head": size, "tail": size, "c": middle, "d": middle}
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("read_id", kind="stable")
-        heads, ids, out = np.zeros((0, size), np.uint8), [], []
+        rows, cores, out = rows.sort_values("read_id", kind="stable"), _Cores(widths), []
         for read_id, seq in zip(rows["read_id"], rows["seq"], strict=True):
-            head = np.frombuffer(seq[:size].ljust(size, "-").encode("latin1"), np.uint8)
-            distance = (heads != head).sum(axis=1) if len(ids) else np.array([size + 1])
-            k = int(distance.argmin())
-            if len(ids) and distance[k] < most:
-                out.append(ids[k])
-            elif not len(ids) or distance[k] >= new_core:
-                ids.append(read_id)
-                heads = np.vstack([heads, head])
-                out.append(read_id)
+            n = len(seq)
+            at = {"head": 0, "tail": max(0, n - size), "c": centre, "d": max(0, n - centre - 2)}
+            cut = lambda name, d=0, seq=seq, at=at: seq[max(0, at[name] - d) : max(0, at[name] - d) + widths[name]]
+            how, (distance, k) = "head", cores.nearest("head", cut("head"))
+            if distance >= most:
+                how, (distance, k) = "tail", cores.nearest("tail", cut("tail"))
+            if distance >= most:
+                tried = [cores.nearest(name, cut(name, d)) for d in range(-drift, drift + 1) for name in ("c", "d")]
+                how, (distance, k) = "middle", min(tried, key=lambda x: x[0])
+            if distance < most:
+                out.append((read_id, cores.ids[k], how))
+            elif distance >= new_core:
+                cores.add(read_id, {name: cut(name) for name in widths})
+                out.append((read_id, read_id, "new"))
             else:
-                out.append(None)
-        return pd.DataFrame({"read_id": rows["read_id"], "core": out})
+                out.append((read_id, None, "dropped"))
+        return pd.DataFrame(out, columns=["read_id", "core", "how"])
 
     kind = reads.schema["read_id"].dataType.simpleString()
-    return reads.select("read_id", "seq", F.substring("seq", 1, prefix).alias("p")).groupBy("p").applyInPandas(run, f"read_id {kind}, core {kind}")
+    return reads.select("read_id", "seq", F.substring("seq", 1, prefix).alias("p")).groupBy("p").applyInPandas(run, f"read_id {kind}, core {kind}, how string")
+
+
+def corrected_cores(cores: DataFrame, pairs: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
+    """cores (id, seq) with each symbol replaced that its reads vote down: of the reads with any mismatch (pairs: id, b)
+    more than `share`, and more than `least`, have another symbol there. The commonest one goes in, the first in
+    A, C, G, T among equals."""
+    both = pairs.join(cores.withColumnRenamed("seq", "a"), "id").withColumn("read", F.monotonically_increasing_id())
+    wrong = mismatches(both.select(F.struct("id", "read").alias("id"), "a", "b")).select("id.id", "id.read", "at", "found")
+    reads_wrong = wrong.groupBy("id").agg(F.count_distinct("read").alias("reads"))
+    cells = wrong.groupBy("id", "at", "found").agg(F.count("*").alias("n"))
+    places = cells.groupBy("id", "at").agg(F.sum("n").alias("n"), F.min_by("found", F.struct(-F.col("n"), F.col("found"))).alias("found"))
+    put = places.join(reads_wrong, "id").where((F.col("n") > least) & (F.col("n") > share * F.col("reads")))
+    per = put.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("at", "found")))).alias("put"))
+    symbols = F.transform(F.split("seq", ""), lambda x, k: F.coalesce(F.try_element_at("put", k), x))
+    return cores.join(per, "id", "left").select("id", F.when(F.col("put").isNull(), F.col("seq")).otherwise(F.array_join(symbols, "")).alias("seq"))
 
 
 def mismatches(pairs: DataFrame) -> DataFrame:
@@ -196,23 +267,24 @@ def star_clusters(edges: DataFrame, least_hits: int = 3) -> DataFrame:
 
 
 def greedy_stars(edges: DataFrame) -> DataFrame:
-    """centre, read by the sequential rule over edges in order of band, centre and read: a read joins the centre
-    and, if it is a centre itself, takes the centre in. One group, so for samples and for comparison."""
+    """centre, read by the sequential rule over edges in order of band, centre and read: an edge goes to those of its
+    ends that are stars already, which take its other end in; if neither is, its centre becomes one.
+
+    Edges of different components never meet a common star, so each component is a group of its own."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         stars: dict = {}
-        for u, v in rows.sort_values(["band", "centre", "read"])[["centre", "read"]].itertuples(index=False):
-            if u in stars or v in stars:
-                if u in stars:
-                    stars[u].append(v)
-                if v in stars:
-                    stars[v].append(u)
-            else:
-                stars[u] = [v]
-        return pd.DataFrame([(c, r) for c, rs in stars.items() for r in rs], columns=["centre", "read"])
+        ordered = rows.sort_values(["band", "centre", "read"], kind="stable")
+        for ends in zip(ordered["centre"], ordered["read"], strict=True):
+            known = [k for k in (0, 1) if ends[k] in stars]
+            for k in known or (0,):
+                stars.setdefault(ends[k], []).append(ends[1 - k])
+        return pd.DataFrame({"centre": [c for c, taken in stars.items() for _ in taken], "read": [r for taken in stars.values() for r in taken]})
 
     kind = edges.schema["centre"].dataType.simpleString()
-    return edges.groupBy(F.lit(0).alias("all")).applyInPandas(run, f"centre {kind}, read {kind}")
+    kept = durable(edges.select("band", "centre", "read"), "star-edges")
+    roots = connected(kept.select(F.col("centre").alias("u"), F.col("read").alias("v"))).withColumnRenamed("node", "centre")
+    return kept.join(apart(roots, "centre"), "centre").groupBy("root").applyInPandas(run, f"centre {kind}, read {kind}")
 
 
 def local_identity(a: str, b: str, match: int = 2, mismatch: int = -3, gap: int = -5) -> int:
@@ -369,11 +441,34 @@ def refinement(assigned: DataFrame, sizes: DataFrame, reps: DataFrame, sketched:
     return moved.select("read_id", F.coalesce("to", "centre").alias("centre"))
 
 
-def hash_sketch_clusters(reads: DataFrame, size: int = 5, drift: int = 2, k: int = 14, least: int = 5) -> DataFrame:
-    """read_id, centre after clustering, merging of good clusters and refinement; thresholds are 3 / size."""
+def sketch_stages(reads: DataFrame, size: int = 5, drift: int = 2, k: int = 14, least: int = 5) -> dict[str, DataFrame]:
+    """read_id, centre after each stage: clustered, merged (good clusters with similar representatives) and final (bad
+    ones folded into good ones). The similarity of both is 3 / size."""
+    threshold = 3 / size
     sketched = durable(sketches(reads, k=k, drift=drift, size=size), "sketches")
     assigned = durable(sketch_clusters(reads, sketched, drift, k=k), "sketch-clusters")
     reps = durable(representatives(assigned, sketched), "representatives")
     good = good_and_bad(assigned, least).where("good").select("centre")
-    joined = durable(merged(assigned, reps.join(good, "centre", "left_semi"), sketched, 3 / size / 2), "merged")
-    return refinement(joined, good_and_bad(joined, least), representatives(joined, sketched), sketched, 3 / size / 2)
+    joined = durable(merged(assigned, reps.join(good, "centre", "left_semi"), sketched, threshold), "merged")
+    final = refinement(joined, good_and_bad(joined, least), representatives(joined, sketched), sketched, threshold)
+    return {"clustered": assigned, "merged": joined, "final": final}
+
+
+def hash_sketch_clusters(reads: DataFrame, size: int = 5, drift: int = 2, k: int = 14, least: int = 5) -> DataFrame:
+    """read_id, centre after clustering, merging of good clusters and refinement; thresholds are 3 / size."""
+    return sketch_stages(reads, size, drift, k, least)["final"]
+
+
+def run_report(originals: DataFrame, reads: DataFrame, least: int = 5) -> DataFrame:
+    """One row of originals (distinct), reads, clusters, good, bad, merged and final (clusters by stage) and the
+    seconds that the stages took."""
+    began = time.time()
+    stages = sketch_stages(reads, least=least)
+    final = durable(stages["final"], "final")
+    took = time.time() - began
+    sizes = good_and_bad(stages["clustered"], least).agg(F.count("*").alias("clusters"), F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad"))
+    count = lambda df, name: df.agg(F.count_distinct("centre").alias(name))
+    out = originals.agg(F.count_distinct("seq").alias("originals")).join(F.broadcast(reads.agg(F.count("*").alias("reads"))))
+    for one in (sizes, count(stages["merged"], "merged"), count(final, "final")):
+        out = out.join(F.broadcast(one))
+    return out.withColumn("seconds", F.lit(took))

@@ -188,33 +188,55 @@ def _spots(m: int) -> list[int]:
     return [p for p in range(1, n + 1) if p & (p - 1)]
 
 
-def _syndrome(word: Column) -> Column:
-    ones = F.filter(F.transform(F.split(word, ""), lambda c, k: F.when(c == "1", k + 1).otherwise(0)), lambda p: p > 0)
-    return F.aggregate(ones, F.lit(0), lambda s, p: s.bitwiseXOR(p))
+def _parities(bits: Column, n: int, groups: list[list[int]]) -> list[Column]:
+    """Parity of the bits at each group's places (from 0) in a string of n bits: counts of bits in masked numbers."""
+    size = 48
+    numbers = [(a, min(size, n - a), F.conv(F.substr(bits, F.lit(a + 1), F.lit(min(size, n - a))), 2, 10).cast("long")) for a in range(0, n, size)]
+    out = []
+    for group in groups:
+        total = F.lit(0)
+        for a, width, number in numbers:
+            if mask := sum(1 << (width - 1 - (k - a)) for k in group if a <= k < a + width):
+                total = total + F.bit_count(number.bitwiseAND(F.lit(mask)))
+        out.append(total % 2)
+    return out
+
+
+def _runs(m: int) -> list[tuple[int, int]]:
+    """(first place, length) of the stretches of data bits between the check bits, in the codeword from 1."""
+    n, q, out = m + hamming_checks(m), 1, []
+    while q <= n:
+        if length := min(2 * q - 1, n) - q:
+            out.append((q + 1, length))
+        q *= 2
+    return out
 
 
 def hamming_insert(bits: Column, m: int) -> Column:
-    """Codeword of m data bits: check bits at powers of two make the syndrome 0."""
-    n, spots = m + hamming_checks(m), set(_spots(m))
-    parts, at = [], 1
-    for p in range(1, n + 1):
-        if p in spots:
-            parts.append(F.substr(bits, F.lit(at), F.lit(1)))
-            at += 1
-        else:
-            parts.append(F.lit("0"))
-    s = _syndrome(F.concat(*parts))
-    word = [x if p in spots else F.when(s.bitwiseAND(F.lit(p)) != 0, "1").otherwise("0") for p, x in zip(range(1, n + 1), parts, strict=True)]
-    return F.concat(*word)
+    """Codeword of m data bits: a check bit at each power of two makes the places of all 1 bits XOR to 0."""
+    spots = _spots(m)
+    powers = [1 << k for k in range(hamming_checks(m))]
+    checks = _parities(bits, m, [[k for k, p in enumerate(spots) if p & q] for q in powers])
+    runs, parts, at = dict(_runs(m)), [], 1
+    for q, check in zip(powers, checks, strict=True):
+        parts.append(check.cast("string"))
+        if q + 1 in runs:
+            parts.append(F.substr(bits, F.lit(at), F.lit(runs[q + 1])))
+            at += runs[q + 1]
+    return F.concat(*parts)
 
 
 def hamming_remove(word: Column, m: int) -> tuple[Column, Column]:
     """(data bits with a single error corrected, whether the word had an error)."""
     n = m + hamming_checks(m)
-    s = _syndrome(word)
+    powers = [1 << k for k in range(hamming_checks(m))]
+    s = F.lit(0)
+    for q, parity in zip(powers, _parities(word, n, [[p - 1 for p in range(1, n + 1) if p & q] for q in powers]), strict=True):
+        s = s + parity * q
+    s = s.cast("int")
     flipped = F.overlay(word, F.translate(F.substr(word, s, F.lit(1)), "01", "10"), s)
     right = F.when((s > 0) & (s <= n), flipped).otherwise(word)
-    return F.concat(*[F.substr(right, F.lit(p), F.lit(1)) for p in _spots(m)]), s != 0
+    return F.concat(*[F.substr(right, F.lit(a), F.lit(length)) for a, length in _runs(m)]), s != 0
 
 
 class ReedSolomon:

@@ -14,6 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixlake.durable import durable
+from helixlake.operators.cluster import purity
+from helixlake.sources.readers import pair_file
+
+
+def pair_scores(lines: DataFrame, tags: DataFrame) -> DataFrame:
+    """One row of scores of a pair file's lines (file_id, pos, line; pairs of core and read): reads, minority, clusters,
+    tags and purity. tags has read and tag, the true cluster. Nothing in the lines is evaluated."""
+    pairs = pair_file(lines).select(F.col("a").alias("core"), F.col("b").alias("read"))
+    found = purity(pairs.join(tags, "read").select("core", "tag"))
+    return found.withColumn("purity", F.round(1 - F.col("minority") / F.col("reads"), 9))
+
 
 def filled_labels(spark_range: DataFrame, labels: DataFrame) -> DataFrame:
     """i, label for every i of spark_range; unlabelled ones get -1, -2, ... in order, labels outside are ignored.
@@ -196,11 +208,12 @@ def calinski_harabasz(vectors: DataFrame) -> DataFrame:
     return parts.select((F.col("between") * (F.col("n") - F.col("k")) / F.nullif(F.col("within") * (F.col("k") - 1), F.lit(0.0))).alias("calinski_harabasz"))
 
 
-def silhouette(vectors: DataFrame, block: int = 512) -> DataFrame:
+def silhouette(vectors: DataFrame, block: int = 4_096) -> DataFrame:
     """Mean silhouette (Euclidean) of vectors (id, label, vector).
 
     Vectors are dealt into blocks; every pair of blocks is one group, whose distances are summed by
-    label in numpy. No pair of vectors is ever a row; a group holds two blocks whatever the data's size."""
+    label in numpy. No pair of vectors is ever a row; a group holds two blocks whatever the data's size. The measure
+    needs all n * n distances; each vector is copied 2 * n / block times."""
     n = vectors.count()
     blocks = max(1, -(-n // block))
     dealt = vectors.select("id", "label", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
@@ -216,8 +229,8 @@ def silhouette(vectors: DataFrame, block: int = 512) -> DataFrame:
         kinds = np.unique(lb)
         if not len(a) or not len(b):
             return pa.table({"id": pa.array([], pa.int64()), "label": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
-        d = np.stack([np.sqrt(((row - b) ** 2).sum(axis=1)) for row in a])
-        out = np.stack([d[:, lb == k].sum(axis=1) for k in kinds], axis=1)
+        of = (lb[:, None] == kinds[None, :]).astype(np.float64)
+        out = np.stack([np.sqrt(((row - b) ** 2).sum(axis=1)) @ of for row in a])  # a row's distances at a time
         return pa.table({
             "id": np.repeat(key[mine], len(kinds)), "label": np.repeat(label[mine], len(kinds)).astype(np.int64), "other": np.tile(kinds, len(a)).astype(np.int64),
             "d": out.ravel(), "n": np.tile([(lb == k).sum() for k in kinds], len(a)),
@@ -243,18 +256,41 @@ def recovery(originals: DataFrame, found: DataFrame) -> DataFrame:
     return both.select(fraction.alias("fraction"), F.coalesce(F.col("hits") / F.col("n") / F.nullif(fraction, F.lit(0.0)), F.lit(0.0)).alias("redundancy"))
 
 
-def reconstruction_rate(originals: DataFrame, found: DataFrame) -> DataFrame:
+def _within(rest: DataFrame, originals: DataFrame, most: int) -> DataFrame:
+    """seq, c, t, pos, d: originals within `most` edits of each candidate (seq, c).
+
+    A candidate is cut into most + 1 pieces. Edits that few leave one piece whole, and move it by `most` places at
+    most: candidates meet originals on a piece, and on the stretches where it can lie."""
+    piece = lambda n, j: F.floor(n * j / (most + 1)).cast("int")
+    numbers = F.sequence(F.lit(0), F.lit(most))
+    lengths = rest.select(F.length("seq").alias("n")).distinct()
+    spots = F.flatten(F.transform(numbers, lambda j: F.transform(F.sequence(F.lit(-most), F.lit(most)), lambda o: F.struct(j.alias("j"), F.when(piece(F.col("n"), j) + o >= 0, F.substr("t", piece(F.col("n"), j) + o + 1, piece(F.col("n"), j + 1) - piece(F.col("n"), j))).alias("x")))))
+    there = originals.select(F.col("seq").alias("t"), "pos").join(F.broadcast(lengths), F.abs(F.length("t") - F.col("n")) <= most).select("t", "pos", "n", F.explode(F.array_distinct(spots)).alias("p")).where("p.x IS NOT NULL")
+    mine = rest.select("seq", "c", F.length("seq").alias("n")).select("seq", "c", "n", F.explode(F.transform(numbers, lambda j: F.struct(j.alias("j"), F.substr("seq", piece(F.col("n"), j) + 1, piece(F.col("n"), j + 1) - piece(F.col("n"), j)).alias("x")))).alias("p"))
+    met = mine.join(there, ["n", "p"]).select("seq", "c", "t", "pos").distinct()
+    return met.withColumn("d", F.levenshtein("seq", "t", most)).where("d >= 0")
+
+
+def reconstruction_rate(originals: DataFrame, found: DataFrame, rounds: tuple[int, ...] = (2, 5)) -> DataFrame:
     """seq, nearest, rate of each distinct candidate with its count: 1 if it is an original, else 1 - its least
     edit distance over the length of the nearest original (the first by pos among equals).
 
-    Exact hits go by equi-join; only the rest is compared with all originals."""
-    have = found.groupBy("seq").agg(F.count("*").alias("c"))
-    want = originals.groupBy("seq").agg(F.min("pos").alias("pos"))
-    exact = have.join(want, "seq", "left_semi").select("seq", F.col("seq").alias("nearest"), F.lit(1.0).alias("rate"), "c")
-    rest = have.join(want, "seq", "left_anti").repartition(found.sparkSession.sparkContext.defaultParallelism).alias("h")
-    pairs = rest.join(want.alias("w"), F.lit(True)).select("h.seq", "h.c", F.col("w.seq").alias("t"), "w.pos", F.levenshtein("h.seq", "w.seq").alias("d"))
-    near = pairs.groupBy("seq", "c").agg(F.min_by(F.struct("t", "d"), F.struct("d", "pos")).alias("m"))
-    return exact.unionByName(near.select("seq", F.col("m.t").alias("nearest"), (1 - F.col("m.d") / F.length("m.t")).alias("rate"), "c"))
+    Exact hits go by equi-join. Candidates near an original are found by seeds, for one number of edits after another
+    (`rounds`): whoever has an original within that distance has its nearest one. Only what is farther away than
+    the last of them is compared with all originals."""
+    have = durable(found.groupBy("seq").agg(F.count("*").alias("c")), "candidates")
+    want = durable(originals.groupBy("seq").agg(F.min("pos").alias("pos")), "originals")
+    out = have.join(want, "seq", "left_semi").select("seq", F.col("seq").alias("nearest"), F.lit(1.0).alias("rate"), "c")
+    rest = durable(have.join(want, "seq", "left_anti"), "inexact")
+    rated = lambda m: m.select("seq", F.col("m.t").alias("nearest"), (1 - F.col("m.d") / F.length("m.t")).alias("rate"), "c")
+    nearest = F.min_by(F.struct("t", "d"), F.struct("d", "pos")).alias("m")
+    for most in rounds:
+        near = durable(_within(rest, want, most).groupBy("seq", "c").agg(nearest), "near")
+        out = out.unionByName(rated(near))
+        rest = durable(rest.join(near.select("seq"), "seq", "left_anti"), "far")
+    far = rest.repartition(found.sparkSession.sparkContext.defaultParallelism).alias("h")
+    pairs = far.join(want.alias("w"), F.lit(True)).select("h.seq", "h.c", F.col("w.seq").alias("t"), "w.pos", F.levenshtein("h.seq", "w.seq").alias("d"))
+    return out.unionByName(rated(pairs.groupBy("seq", "c").agg(nearest)))
 
 
 def mean_rate(rates: DataFrame) -> DataFrame:

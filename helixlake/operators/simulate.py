@@ -67,7 +67,7 @@ def copies_from_density(strands: DataFrame, density: str, low: float, high: floa
     """strands with copies drawn from a density of x on [low, high] by inverting its cumulative sum on a grid.
 
     Only arithmetic and a few functions are allowed in the expression, which Spark parses; nothing is evaluated
-    as code. Grid and cumulative sums are `steps` rows; draws find theirs by a sorted array."""
+    as code. The grid has `steps` cells of equal width; a draw finds its cell by halving."""
     if not _SAFE.match(density):
         raise ValueError("a density is made of x, numbers, + - * / ( ) and exp, sqrt, pow, abs, ln, sin, cos, greatest, least, pi")
     spark = strands.sparkSession
@@ -81,9 +81,17 @@ def copies_from_density(strands: DataFrame, density: str, low: float, high: floa
         at += p / total
         sums.append(at)
     u = rng.uniform(rng.digest(seed, F.lit("c"), "file_id", "pos"))
-    below = F.size(F.filter(F.array(*[F.lit(s) for s in sums[:: max(1, steps // 200)]]), lambda s: s < u))
-    fine = F.least(F.lit(steps - 1), below * max(1, steps // 200))
-    return strands.withColumn("copies", F.bround(F.lit(low) + (fine + 0.5) * (high - low) / steps).cast("long"))
+    table = F.array(*[F.lit(s) for s in sums])
+
+    def halve(at: Column, _: Column) -> Column:
+        """Keep the half of low..high that holds the first sum that isn't below u."""
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        above = F.get(table, middle) >= at["u"]
+        return F.struct(at["u"].alias("u"), F.when(above, at["low"]).otherwise(F.least(middle + 1, at["high"])).alias("low"), F.when(above, middle).otherwise(at["high"]).alias("high"))
+
+    start = F.struct(u.alias("u"), F.lit(0).alias("low"), F.lit(steps - 1).alias("high"))
+    cell = F.aggregate(F.array(*[F.lit(0)] * math.ceil(math.log2(steps) + 1)), start, halve, lambda at: at["low"])
+    return strands.withColumn("copies", F.bround(F.lit(low) + (cell + 0.5) * (high - low) / steps).cast("long"))
 
 
 def replicated(strands: DataFrame) -> DataFrame:
@@ -149,7 +157,9 @@ def with_errors(reads: DataFrame, total: Mapping[str, float], rates: Mapping[str
 
 def with_stutter(reads: DataFrame, rates: Mapping[str, Mapping[str, float]], seed: int) -> DataFrame:
     """Stutter mode: each base becomes n copies, n geometric in its `i` rate and 0 among them; then each
-    base is substituted with its `s` rate."""
+    base is substituted with its `s` rate. A rate of 1 or more has no finite n and is refused."""
+    if any(r.get("i", 0.0) >= 1 for r in rates.values()):
+        raise ValueError("a base's insertion rate must be below 1")
     length = F.length("seq")
 
     def by_base(base: Column, value) -> Column:
@@ -161,14 +171,14 @@ def with_stutter(reads: DataFrame, rates: Mapping[str, Mapping[str, float]], see
     def one(j: Column) -> Column:
         base = F.substr("seq", j, F.lit(1))
         digested = rng.digest(seed, "file_id", "pos", "copy", j)
-        log = by_base(base, lambda r: F.lit(math.log(r["i"]) if 0 < r.get("i", 0) < 1 else -1e300))
+        log = by_base(base, lambda r: F.lit(math.log(r["i"]) if r.get("i", 0) > 0 else -1e300))
         n = F.floor(F.ln((rng.draw(digested, 0) + 1) / float(rng.SPAN)) / log)
         u = rng.uniform(digested, 2)
         other = base
         for b, names in OTHERS.items():
             other = F.when(base == b, F.substr(F.lit(names), F.floor(u * 3).cast("int") + 1, F.lit(1))).otherwise(other)
         put = F.when(rng.uniform(digested, 1) < by_base(base, lambda r: F.lit(r.get("s", 0.0))), other).otherwise(base)
-        return F.repeat(put, F.least(n, F.lit(1_000)).cast("int"))
+        return F.repeat(put, n.cast("int"))
 
     return reads.withColumn("read", F.when(length > 0, F.array_join(F.transform(F.sequence(F.lit(1), length), one), "")).otherwise(""))
 
@@ -191,8 +201,8 @@ def indexed_form(ranked: DataFrame) -> DataFrame:
     return ranked.where("read <> ''").select("file_id", F.col("pos").alias("origin_pos"), "copy", F.concat_ws(" ", (F.col("rank") + 1).cast("string"), F.col("read")).alias("line"))
 
 
-def evyat_form(reads: DataFrame) -> DataFrame:
-    """Origin, a line of stars, its reads and two blank lines, as (file_id, origin pos, line)."""
+def origin_blocks(reads: DataFrame) -> DataFrame:
+    """Origin, a line of stars, its reads and two blank lines, as (file_id, origin pos, k, line)."""
     per = reads.groupBy("file_id", "pos", "seq").agg(F.array_sort(F.collect_list(F.struct("copy", "read"))).alias("rs"))
     lines = F.concat(F.array(F.col("seq"), F.lit("*" * 29)), F.transform("rs", lambda r: r["read"]), F.array(F.lit(""), F.lit("")))
     return per.select("file_id", "pos", F.posexplode(lines).alias("k", "line"))

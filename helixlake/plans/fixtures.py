@@ -7,21 +7,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.functions import rng, seqfn
+from helixlake.functions import seqfn
 
-COPIES, RATE = 5, 0.02
+#: Noisy copies of a strand, and how many places of each are drawn; every second draw substitutes a base.
+COPIES, DRAWS = 5, 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def strands_of(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """file_id, pos, seq: strands of each row's text. A table in fewer splits than cores is dealt out first."""
+def strands_of(rows: DataFrame, key: str, text: str = "text", *more: str) -> DataFrame:
+    """file_id, more columns, pos, seq: strands of each row's text. A table in fewer splits than cores is dealt out first."""
     parts = seqfn.pieces(F.hex(F.encode(text, "UTF-8")), 50)
     seqs = F.transform(parts, lambda p: seqfn.hex_to_nt(F.rpad(p, 50, "0")))  # before the explode: a filter on seq can't repeat it then
-    spread = dealt_out(rows.select(key, text), key).select(F.col(key).alias("file_id"), F.posexplode_outer(seqs).alias("pos", "seq"))
-    return spread.where("seq IS NOT NULL").select("file_id", F.col("pos").cast("long").alias("pos"), "seq")
+    spread = dealt_out(rows.select(key, text, *more), key).select(F.col(key).alias("file_id"), *more, F.posexplode_outer(seqs).alias("pos", "seq"))
+    return spread.where("seq IS NOT NULL").select("file_id", *more, F.col("pos").cast("long").alias("pos"), "seq")
 
 
 def dealt_out(rows: DataFrame, key: str) -> DataFrame:
@@ -35,25 +36,38 @@ def strands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strands of the benchmark texts: for operators that compare pairs."""
+    """Strands of all documents, as originals of reads."""
+    return strands(spark, sf_dir)
+
+
+def small_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strands of the benchmark texts: for operators whose exact SQL compares pairs, or whose work by strand is large."""
     return strands_of(table(spark, sf_dir, "benchmark"), "item_id")
 
 
-def noisy(rows: DataFrame, copies: int = COPIES, rate: float = RATE) -> DataFrame:
-    """file_id, pos, copy, read_id, seq: copies with substitutions where md5(file|pos|copy|i) falls below the rate."""
+def noisy(rows: DataFrame, copies: int = COPIES) -> DataFrame:
+    """file_id, pos, copy, read_id, seq: copies with up to DRAWS substitutions. One md5 of file|pos|copy gives four
+    numbers; a number substitutes the place it has modulo 100 if its hundreds are odd."""
+    number = lambda k: F.conv(F.substring("m", 8 * k + 1, 8), 16, 10).cast("long")
     copied = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    below = int(rate * rng.SPAN)
-    at = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("file_id").cast("string"), F.col("pos").cast("string"), F.col("copy").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long")
-    base = lambda i: F.substr(F.col("seq"), i, F.lit(1))
-    changed = F.array_join(F.transform(F.sequence(F.lit(1), F.length("seq")), lambda i: F.when(at(i) < below, F.translate(base(i), "ACGT", "CGTA")).otherwise(base(i))), "")
-    return copied.select("file_id", "pos", "copy", F.concat_ws("-", F.col("file_id").cast("string"), F.lpad(F.col("pos").cast("string"), 6, "0"), F.col("copy").cast("string")).alias("read_id"), changed.alias("seq"))
+    drawn = copied.withColumn("m", F.md5(F.concat_ws("|", F.col("file_id").cast("string"), F.col("pos").cast("string"), F.col("copy").cast("string"))))
+    places = F.array(*[F.when(F.floor(number(k) / 100) % 2 == 1, (number(k) % 100).cast("int") + 1).otherwise(0) for k in range(DRAWS)])
+    base = lambda s, i: F.translate(F.substr(s, i, F.lit(1)), "ACGT", "CGTA")
+    changed = F.aggregate(places, F.col("seq"), lambda s, i: F.when((i > 0) & (i <= F.length(s)), F.concat(F.substr(s, F.lit(1), i - 1), base(s, i), F.substr(s, i + 1, F.lit(1_000_000)))).otherwise(s))
+    read_id = F.concat_ws("-", F.col("file_id").cast("string"), F.lpad(F.col("pos").cast("string"), 6, "0"), F.col("copy").cast("string"))
+    return drawn.select("file_id", "pos", "copy", read_id.alias("read_id"), changed.alias("seq"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Noisy copies of the benchmark's strands; the true cluster is (file_id, pos)."""
+    """Noisy copies of the strands of all documents; the true cluster is (file_id, pos)."""
     return noisy(items(spark, sf_dir))
 
 
+def small_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy copies of the benchmark's strands."""
+    return noisy(small_items(spark, sf_dir))
+
+
 def _nested(expr: str) -> str:
     for k, digit in enumerate(seqfn.HEX):
         expr = f"replace({expr}, '{digit}', '{(seqfn.NT[k // 4] + seqfn.NT[k % 4]).lower()}')"
@@ -67,10 +81,20 @@ def strands_sql(table_name: str, key: str, name: str = "strands") -> str:
 {name} AS (SELECT file_id, k AS pos, {part} AS seq FROM (SELECT file_id, h, unnest(range((length(h) + 49) // 50)) AS k FROM {name}_h))"""
 
 
+def noisy_sql(copies: int = COPIES) -> str:
+    """CTEs (no WITH) that define reads over items as noisy does."""
+    out = f"""noisy_0 AS (SELECT file_id, pos, copy, seq, md5(concat_ws('|', file_id::VARCHAR, pos::VARCHAR, copy::VARCHAR)) AS m FROM items, (SELECT unnest(range({copies})) AS copy))"""
+    for k in range(DRAWS):
+        n = f"('0x' || substr(m, {8 * k + 1}, 8))::BIGINT"
+        i = f"({n} % 100 + 1)::INT"
+        out += f""",
+noisy_{k + 1} AS (SELECT file_id, pos, copy, m, CASE WHEN ({n} // 100) % 2 = 1 AND {i} <= length(seq) THEN substr(seq, 1, {i} - 1) || translate(substr(seq, {i}, 1), 'ACGT', 'CGTA') || substr(seq, {i} + 1) ELSE seq END AS seq FROM noisy_{k})"""
+    return f"""{out},
+reads AS (SELECT file_id, pos, copy::INT AS copy, concat_ws('-', file_id::VARCHAR, lpad(pos::VARCHAR, 6, '0'), copy::VARCHAR) AS read_id, seq FROM noisy_{DRAWS})"""
+
+
 STRANDS = strands_sql("documents", "doc_id")
-ITEMS = strands_sql("benchmark", "item_id", "items")
-READS = f"""{ITEMS},
-reads AS (SELECT file_id, pos, copy, concat_ws('-', file_id::VARCHAR, lpad(pos::VARCHAR, 6, '0'), copy::VARCHAR) AS read_id,
-  array_to_string(list_transform(range(1, 101), lambda i: CASE WHEN ('0x' || substr(md5(concat_ws('|', file_id::VARCHAR, pos::VARCHAR, copy::VARCHAR, i::VARCHAR)), 1, 8))::BIGINT < {int(RATE * rng.SPAN)}
-    THEN translate(substr(seq, i, 1), 'ACGT', 'CGTA') ELSE substr(seq, i, 1) END), '') AS seq
-  FROM items, (SELECT unnest(range({COPIES})) AS copy))"""
+ITEMS = strands_sql("documents", "doc_id", "items")
+READS = f"{ITEMS},\n{noisy_sql()}"
+SMALL_ITEMS = strands_sql("benchmark", "item_id", "items")
+SMALL_READS = f"{SMALL_ITEMS},\n{noisy_sql()}"

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.functions import seqfn
-from helixlake.operators import evaluate, jobs, metrics, preprocess
-from helixlake.plans.fixtures import ITEMS, READS, STRANDS, items, reads, strands, table
+from helixlake.operators import cluster, evaluate, jobs, metrics, preprocess
+from helixlake.plans.fixtures import ITEMS, READS, SMALL_READS, STRANDS, items, reads, small_items, small_reads, strands, strands_of, table
 from helixlake.plans.q_sources import FASTA, fasta_lines
 from helixlake.plans.registry import query
 
@@ -49,7 +49,8 @@ def eva5_local_gc(spark, sf_dir):
 
 @query()
 def eva6_folding(spark, sf_dir):
-    return evaluate.folding(items(spark, sf_dir))
+    """Over the benchmark: folding takes some hundredths of a second a strand."""
+    return evaluate.folding(small_items(spark, sf_dir))
 
 
 @query(f"""WITH {STRANDS}, f AS (SELECT file_id, count(*) AS n, arg_min(length(seq), pos) AS l, greatest(1, max({RUN})) AS r,
@@ -59,6 +60,17 @@ def eva7_report(spark, sf_dir):
     return evaluate.report(strands(spark, sf_dir), sizes(spark, sf_dir)).select("file_id", "n", "longest_run", "motifs", "density")
 
 
+@query()
+def eva7_report_json(spark, sf_dir):
+    """One JSON object: files on the x axis, a series for each score; folding energies are those of the benchmark's first strands."""
+    files = table(spark, sf_dir, "benchmark")
+    rows = small_items(spark, sf_dir)
+    size = files.select(F.col("item_id").alias("file_id"), (F.octet_length("text") * 8).cast("long").alias("bit_size"))
+    energy = evaluate.folding(rows.where("pos = 0")).select("file_id", "mfe")
+    scores = evaluate.report(rows, size).join(energy, "file_id").join(evaluate.local_gc(rows).groupBy("file_id").agg(F.max("gc").alias("local_gc")), "file_id")
+    return evaluate.report_json(scores)
+
+
 @query(f"""WITH {STRANDS}, g AS (SELECT file_id, least(floor({GC} / 5) * 5, 95)::BIGINT AS bin, count(*) AS n FROM strands GROUP BY 1, 2)
 SELECT file_id, bin, n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY file_id) AS share FROM g""")
 def eva8_gc_histogram(spark, sf_dir):
@@ -68,7 +80,7 @@ def eva8_gc_histogram(spark, sf_dir):
 @query(f"""WITH {STRANDS} SELECT lang, count(*) AS strands, round(avg({GC}), 6) AS mean_gc, greatest(1, max({RUN}))::BIGINT AS longest_run,
 sum(len(regexp_extract_all(seq, 'GGC')) + len(regexp_extract_all(seq, 'GAATTC')))::BIGINT AS motifs FROM strands JOIN documents ON doc_id = file_id GROUP BY 1""")
 def eva_report(spark, sf_dir):
-    rows = strands(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), "lang"), "file_id")
+    rows = strands_of(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     gc = seqfn.gc_fraction("seq") * 100
     return rows.groupBy("lang").agg(
         F.count("*").alias("strands"), F.round(F.avg(gc), 6).alias("mean_gc"), F.greatest(F.lit(1), F.max(seqfn.longest_run("seq"))).cast("long").alias("longest_run"), F.sum(evaluate.motif_count("seq")).cast("long").alias("motifs")
@@ -252,10 +264,14 @@ def met11_purity(spark, sf_dir):
     return scores(spark, sf_dir, "purity")
 
 
-@query()
+_BEST = "CASE WHEN a.p = b.p OR a.p = c2.p OR a.p = d.p OR b.p = c2.p OR b.p = d.p OR c2.p = d.p THEN 0 ELSE a.n + b.n + c2.n + d.n END"
+
+
+@query(f"""WITH {PAIRS}, ls AS (SELECT t, row_number() OVER (ORDER BY t) AS k FROM a), grid AS (SELECT k, b.p, coalesce(c.n, 0) AS n FROM ls, b LEFT JOIN c ON c.t = ls.t AND c.p = b.p)
+SELECT round((SELECT max({_BEST}) FROM grid a, grid b, grid c2, grid d WHERE a.k = 1 AND b.k = 2 AND c2.k = 3 AND d.k = 4) / (SELECT max(NN) FROM tot), 9) AS accuracy""")
 def met12_accuracy(spark, sf_dir):
     value = metrics.assignment_accuracy(metrics.contingency(pairs(spark, sf_dir)))
-    return spark.createDataFrame([(value,)], "accuracy double")
+    return spark.createDataFrame([(round(value, 9),)], "accuracy double")
 
 
 @query(f"""WITH {READS}, d AS (SELECT a.file_id, a.pos, sum(levenshtein(a.seq, b.seq)) AS d FROM reads a JOIN reads b ON a.file_id = b.file_id AND a.pos = b.pos AND a.copy < b.copy GROUP BY 1, 2)
@@ -305,21 +321,37 @@ def met18_recovery(spark, sf_dir):
     return metrics.recovery(items(spark, sf_dir), reads(spark, sf_dir)).select(F.round("fraction", 9).alias("fraction"), F.round("redundancy", 9).alias("redundancy"))
 
 
-@query(f"""WITH {READS}, w AS (SELECT seq, min(file_id * 1000 + pos) AS pos FROM items GROUP BY 1), h AS (SELECT seq, count(*) AS c FROM reads GROUP BY 1),
+@query(f"""WITH {SMALL_READS}, w AS (SELECT seq, min(file_id * 1000 + pos) AS pos FROM items GROUP BY 1), h AS (SELECT seq, count(*) AS c FROM reads GROUP BY 1),
 m AS (SELECT h.seq, c, min(levenshtein(h.seq, w.seq)) AS d FROM h, w GROUP BY 1, 2) SELECT round(sum((1 - d / 100.0::DOUBLE) * c) / sum(c), 9) AS rate FROM m""")
 def met19_reconstruction_rate(spark, sf_dir):
-    originals = items(spark, sf_dir).select((F.col("file_id") * 1000 + F.col("pos")).alias("pos"), "seq")
-    return metrics.mean_rate(metrics.reconstruction_rate(originals, reads(spark, sf_dir))).select(F.round("rate", 9).alias("rate"))
+    originals = small_items(spark, sf_dir).select((F.col("file_id") * 1000 + F.col("pos")).alias("pos"), "seq")
+    return metrics.mean_rate(metrics.reconstruction_rate(originals, small_reads(spark, sf_dir))).select(F.round("rate", 9).alias("rate"))
 
 
-@query(f"""WITH {PAIRED}, {MI.split(', ', 4)[0] if False else "mi AS (SELECT sum(n / NN * ln(NN * n / (a * b))) AS mi FROM c JOIN a USING (t) JOIN b USING (p), tot), h AS (SELECT (SELECT -sum(a / NN * ln(a / NN)) FROM a, tot) AS ht, (SELECT -sum(b / NN * ln(b / NN)) FROM b, tot) AS hp)"}
-SELECT 'source' AS pred_file, round(mi / ((ht + hp) / 2), 6) AS nmi, round((s - qa * qb / pn) / ((qa + qb) / 2 - qa * qb / pn), 6) AS ari, round(s / sqrt(qa * qb), 6) AS fmi, round(mi / ht, 6) AS homogeneity, round(mi / hp, 6) AS completeness FROM q, mi, h
-UNION ALL SELECT 'lang', 1, 1, 1, 1, 1""")
-def met20_metric_report(spark, sf_dir):
+def metric_scores(spark, sf_dir):
+    """Scores of two predicted label files, the sources and the languages themselves, against the languages."""
     docs = table(spark, sf_dir, "documents")
     both = docs.select("lang", F.explode(F.array(F.struct(F.lit("source").alias("f"), F.col("source").alias("p")), F.struct(F.lit("lang").alias("f"), F.col("lang").alias("p")))).alias("x"))
-    found = metrics.agreement(metrics.contingency(both.select(F.col("x.f").alias("pred_file"), F.col("lang").alias("t"), F.col("x.p").alias("p")), "pred_file"), "pred_file", expected=False)
-    return found.select("pred_file", *[F.round(n, 6).alias(n) for n in ("nmi", "ari", "fmi", "homogeneity", "completeness")])
+    return metrics.agreement(metrics.contingency(both.select(F.col("x.f").alias("pred_file"), F.col("lang").alias("t"), F.col("x.p").alias("p")), "pred_file"), "pred_file")
+
+
+SIX = ("nmi", "ari", "fmi", "homogeneity", "completeness", "purity")
+REPORT = f"""{PAIRED}, mi AS (SELECT sum(n / NN * ln(NN * n / (a * b))) AS mi FROM c JOIN a USING (t) JOIN b USING (p), tot), h AS (SELECT (SELECT -sum(a / NN * ln(a / NN)) FROM a, tot) AS ht, (SELECT -sum(b / NN * ln(b / NN)) FROM b, tot) AS hp),
+pu AS (SELECT sum(m) / max(NN) AS pu FROM (SELECT p, max(n) AS m FROM c GROUP BY 1), tot),
+six AS (SELECT 'source' AS pred_file, mi / ((ht + hp) / 2) AS nmi, (s - qa * qb / pn) / ((qa + qb) / 2 - qa * qb / pn) AS ari, s / sqrt(qa * qb) AS fmi, mi / ht AS homogeneity, mi / hp AS completeness, pu AS purity FROM q, mi, h, pu
+UNION ALL SELECT 'lang', 1, 1, 1, 1, 1, 1)"""
+
+
+@query(f"WITH {REPORT} SELECT pred_file, {', '.join(f'round({n}, 6) AS {n}' for n in SIX)} FROM six")
+def met20_metric_report(spark, sf_dir):
+    return metric_scores(spark, sf_dir).select("pred_file", *[F.round(n, 6).alias(n) for n in SIX])
+
+
+@query(f"""WITH {REPORT}, l AS (SELECT list(pred_file ORDER BY pred_file) AS f, {', '.join(f"list(round_even({n}, 3)::VARCHAR ORDER BY pred_file) AS {n}" for n in SIX)} FROM six)
+SELECT '{{"pred_file":["' || array_to_string(f, '","') || '"]' || {' || '.join(f"""',"{n}":[' || array_to_string({n}, ',') || ']'""" for n in SIX)} || '}}' AS report FROM l""")
+def met20_report_json(spark, sf_dir):
+    """The report in its published form: a JSON object of columns, rounded to three digits."""
+    return metrics.rounded_report(metric_scores(spark, sf_dir), *SIX)
 
 
 @query(f"""WITH {READS}, k AS (SELECT file_id, pos, count(*) AS n FROM reads GROUP BY 1, 2)
@@ -329,3 +361,10 @@ def met21_run_report(spark, sf_dir):
     sizes_ = rows.groupBy("file_id", "pos").agg(F.count("*").alias("n"))
     one = sizes_.agg(F.sum("n").alias("reads"), F.count("*").alias("clusters"), F.sum((F.col("n") >= 5).cast("int")).alias("good"), F.sum((F.col("n") < 5).cast("int")).alias("bad"))
     return items(spark, sf_dir).agg(F.count_distinct("seq").alias("originals")).join(F.broadcast(one)).select("originals", "reads", "clusters", "good", "bad")
+
+
+@query()
+def met21_clustering_report(spark, sf_dir):
+    """Counts of originals, reads and clusters at each stage of the hash-sketch clustering."""
+    rows = small_reads(spark, sf_dir)
+    return cluster.run_report(small_items(spark, sf_dir), rows)

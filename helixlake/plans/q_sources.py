@@ -43,8 +43,8 @@ def src1_strand_lines(spark, sf_dir):
 
 @query("SELECT page_id AS file_id, sum((trim(line) <> '')::INT)::BIGINT AS n FROM (SELECT page_id, unnest(string_split(html, '>')) AS line FROM pages) GROUP BY 1")
 def src2_upload_lines(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.split("html", ">", -1)).alias("line"))
-    return rows.groupBy(F.col("page_id").alias("file_id")).agg(F.sum((F.trim("line") != "").cast("int")).alias("n"))
+    rows = readers.uploaded_strands(table(spark, sf_dir, "pages"), "page_id", "html", ">")
+    return rows.groupBy("file_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {LINES} SELECT file_id, pos, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS seq FROM lines")
@@ -148,7 +148,7 @@ def snk5_sorted_fasta(spark, sf_dir):
 
 @query(f"WITH {READS} SELECT DISTINCT file_id, seq AS line FROM reads")
 def snk6_candidate_lines(spark, sf_dir):
-    return reads(spark, sf_dir).select("file_id", F.col("seq").alias("line")).distinct()
+    return writers.candidate_lines(reads(spark, sf_dir))
 
 
 @query("""SELECT doc_id, '{"fileName":"doc-' || doc_id || '","fileData":"' || base64(encode(text)) || '"}' AS json FROM documents""")

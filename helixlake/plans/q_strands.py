@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixlake.functions import seqfn
-from helixlake.operators import cluster, codec, consensus, jobs
-from helixlake.plans.fixtures import ITEMS, READS, STRANDS, dealt_out, items, reads, strands, table
+from helixlake.operators import cluster, codec, consensus, jobs, metrics
+from helixlake.plans.fixtures import ITEMS, READS, SMALL_ITEMS, SMALL_READS, STRANDS, dealt_out, items, noisy, noisy_sql, reads, small_items, small_reads, strands, table
 from helixlake.plans.q_sources import BITS
 from helixlake.plans.registry import query
 from helixlake.sources import readers, writers
 
 SEGMENT = 120
-SEGS = f"""bits AS (SELECT item_id AS file_id, {BITS.format('encode(text)')} AS b FROM benchmark), segs AS (SELECT file_id, k AS seg_no, rpad(substr(b, k * 120 + 1, 120), 120, '0') AS bits
+SEGS = f"""bits AS (SELECT doc_id AS file_id, {BITS.format('encode(text)')} AS b FROM documents), segs AS (SELECT file_id, k AS seg_no, rpad(substr(b, k * 120 + 1, 120), 120, '0') AS bits
 FROM (SELECT file_id, b, unnest(range((length(b) + 119) // 120)) AS k FROM bits))"""
-SAME = "SELECT item_id AS file_id, text FROM benchmark"
+SAME = "SELECT doc_id AS file_id, text FROM documents"
 
 
 def payload(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_id"), F.encode("text", "UTF-8").alias("data"))
+    return dealt_out(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("data")), "file_id")
 
 
 def segs(spark, sf_dir):
@@ -38,6 +38,18 @@ def roundtrip(spark, sf_dir, scheme, ecc="none", damage=None):
     return back.select("file_id", F.decode("data", "UTF-8").alias("text"))
 
 
+KEPT = "SELECT doc_id AS file_id, text, {} AS longest, true AS bases, ((strlen(text) * 8 + 119) // 120)::BIGINT AS strands FROM documents"
+
+
+def constrained(spark, sf_dir, scheme, longest):
+    """The round trip, and what the scheme promises of its strands: runs no longer than this (else their length), and bases alone."""
+    layout = codec.Layout(scheme, "none", SEGMENT, 16)
+    coded = codec.encode_files(payload(spark, sf_dir), layout)
+    kept = coded.groupBy("file_id").agg(F.max(seqfn.longest_run("seq")).alias("run"), F.bool_and(F.col("seq").rlike("^[ACGT]+$")).alias("bases"), F.count("*").alias("strands"))
+    kept = kept.withColumn("longest", F.greatest(F.lit(longest), "run").cast("int")).drop("run")
+    return roundtrip(spark, sf_dir, scheme).join(kept, "file_id")
+
+
 @query(f"WITH {SEGS} SELECT file_id, seg_no, bits FROM segs")
 def cod1_segments(spark, sf_dir):
     return segs(spark, sf_dir)
@@ -87,24 +99,26 @@ def cod8_church_roundtrip(spark, sf_dir):
     return roundtrip(spark, sf_dir, "church")
 
 
-@query(SAME)
+@query(KEPT.format(1))
 def cod9_goldman(spark, sf_dir):
-    return roundtrip(spark, sf_dir, "goldman")
+    return constrained(spark, sf_dir, "goldman", 1)
 
 
-@query(SAME)
+@query(KEPT.format(3))
 def cod10_grass(spark, sf_dir):
-    return roundtrip(spark, sf_dir, "grass")
+    return constrained(spark, sf_dir, "grass", 3)
 
 
-@query(SAME)
+@query(KEPT.format(3))
 def cod11_blawat(spark, sf_dir):
-    return roundtrip(spark, sf_dir, "blawat")
+    return constrained(spark, sf_dir, "blawat", 3)
 
 
 @query()
 def cod12_fountain(spark, sf_dir):
-    rows = segs(spark, sf_dir).select("file_id", "seg_no", seqfn.bits_to_hex("bits").alias("hex"))
+    """Over the benchmark: a document of one padded segment has no droplet that passes the screens."""
+    files = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_id"), F.encode("text", "UTF-8").alias("data"))
+    rows = readers.bit_segments(files, "file_id", F.col("data"), SEGMENT).select("file_id", "seg_no", seqfn.bits_to_hex("bits").alias("hex"))
     return codec.droplets(rows, rows.groupBy("file_id").agg(F.count("*").alias("total")))
 
 
@@ -118,7 +132,7 @@ def cod13_yin_yang(spark, sf_dir):
     return codec.yin_yang_segments(codec.yin_yang_pairs(segs(spark, sf_dir)))
 
 
-@query("SELECT item_id AS file_id, 8 * strlen(text)::BIGINT AS bit_size, 136::INT AS segment_length, 16::INT AS index_length, (strlen(text) * 8 + 119) // 120 AS total_count FROM benchmark")
+@query("SELECT doc_id AS file_id, 8 * strlen(text)::BIGINT AS bit_size, 136::INT AS segment_length, 16::INT AS index_length, (strlen(text) * 8 + 119) // 120 AS total_count FROM documents")
 def cod14_info(spark, sf_dir):
     layout = codec.Layout("base", "none", SEGMENT, 16)
     coded = codec.encode_files(payload(spark, sf_dir), layout)
@@ -142,25 +156,28 @@ def cod16_metadata(spark, sf_dir):
 @query("SELECT doc_id, source || '_church1700000000' AS name, 'church' AS scheme FROM documents")
 def cod17_names(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("_church1700000000")).alias("name"))
-    return rows.select("doc_id", "name", F.regexp_extract("name", r"_([a-z]+)[0-9]+$", 1).alias("scheme"))
+    return rows.select("doc_id", "name", readers.scheme_of("name").alias("scheme"))
 
 
-@query(f"WITH {SEGS} SELECT file_id, 100.0::DOUBLE AS error_rate, count(*)::BIGINT AS wrong FROM segs GROUP BY 1")
+@query(f"WITH {SEGS} SELECT file_id, 100 * avg((seg_no % 3 = file_id % 4)::INT) AS error_rate, sum((seg_no % 3 = file_id % 4)::INT)::BIGINT AS wrong FROM segs GROUP BY 1")
 def cod18_error_record(spark, sf_dir):
+    """Every third strand is damaged, and none of every fourth file."""
     layout = codec.Layout("base", "hamming", SEGMENT, 16)
-    coded = codec.encode_files(payload(spark, sf_dir), layout).withColumn("seq", F.overlay("seq", F.translate(F.substring("seq", 33, 1), "ACGT", "GTAC"), F.lit(33)))
+    hurt = F.overlay("seq", F.translate(F.substring("seq", 33, 1), "ACGT", "GTAC"), F.lit(33))
+    coded = codec.encode_files(payload(spark, sf_dir), layout).withColumn("seq", F.when(F.col("pos") % 3 == F.col("file_id") % 4, hurt).otherwise(F.col("seq")))
     return codec.error_record(codec.decode_segments(coded, layout)).select("file_id", "error_rate", F.size("wrong_segments").cast("long").alias("wrong"))
 
 
-CORES = f"{READS}, words AS (SELECT read_id AS id, substr(seq, 1, 20) AS word FROM reads), cores AS (SELECT file_id * 1000 + pos AS label, substr(seq, 1, 20) AS word FROM items)"
+_CORES = f", words AS (SELECT read_id AS id, substr(seq, 1, 20) AS word FROM reads), cores AS (SELECT file_id * 1000 + pos AS label, substr(seq, 1, 20) AS word FROM items)"
+CORES, SMALL_CORES = READS + _CORES, SMALL_READS + _CORES
 
 
-def words(spark, sf_dir):
-    return reads(spark, sf_dir).select(F.col("read_id").alias("id"), F.substring("seq", 1, 20).alias("word"))
+def words(spark, sf_dir, of=reads):
+    return of(spark, sf_dir).select(F.col("read_id").alias("id"), F.substring("seq", 1, 20).alias("word"))
 
 
-def cores(spark, sf_dir):
-    return items(spark, sf_dir).select((F.col("file_id") * 1000 + F.col("pos")).alias("label"), F.substring("seq", 1, 20).alias("word"))
+def cores(spark, sf_dir, of=items):
+    return of(spark, sf_dir).select((F.col("file_id") * 1000 + F.col("pos")).alias("label"), F.substring("seq", 1, 20).alias("word"))
 
 
 @query(f"WITH {CORES} SELECT id, words.word, label FROM words LEFT JOIN (SELECT word, min(label) AS label FROM cores GROUP BY 1) c ON c.word = words.word")
@@ -168,18 +185,27 @@ def clu1_exact_lookup(spark, sf_dir):
     return cluster.exact_lookup(words(spark, sf_dir), cores(spark, sf_dir)).select("id", "word", "label")
 
 
-@query(f"""WITH {CORES}, d AS (SELECT id, label, hamming(w.word, c.word)::INT AS distance FROM words w, cores c), m AS (SELECT * FROM d WHERE distance <= 2)
+@query(f"""WITH {CORES}, nodes AS (SELECT DISTINCT substr(word, 1, k) AS node FROM (SELECT word, unnest(range(length(word) + 1)) AS k FROM cores)),
+l AS (SELECT id, word, max(k) AS "at" FROM (SELECT id, word, unnest(range(length(word) + 1)) AS k FROM words) JOIN nodes ON node = substr(word, 1, k) GROUP BY 1, 2 HAVING max(k) < length(word)),
+x AS (SELECT id, i, c, "at", length(word) AS n FROM l CROSS JOIN (SELECT unnest(range(4)) AS i, unnest(['A', 'T', 'G', 'C']) AS c) JOIN nodes ON node = substr(word, 1, "at") || c || substr(word, "at" + 2, 2)),
+y AS (SELECT id, string_agg(c, '' ORDER BY i) AS nexts FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM x) WHERE "at" + 1 < n OR r = 1 GROUP BY 1)
+SELECT l.id, l."at"::INT AS "at", coalesce(nexts, '') AS nexts FROM l LEFT JOIN y ON y.id = l.id""")
+def clu2_fuzzy_step(spark, sf_dir):
+    return cluster.fuzzy_step(words(spark, sf_dir), cores(spark, sf_dir))
+
+
+@query(f"""WITH {SMALL_CORES}, d AS (SELECT id, label, hamming(w.word, c.word)::INT AS distance FROM words w, cores c), m AS (SELECT * FROM d WHERE distance <= 2)
 SELECT id, label, distance FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, label) = 1""")
 def clu3_fuzzy_lookup(spark, sf_dir):
-    return cluster.fuzzy_lookup(words(spark, sf_dir), cores(spark, sf_dir), 2)
+    return cluster.fuzzy_lookup(words(spark, sf_dir, small_reads), cores(spark, sf_dir, small_items), 2)
 
 
 _MID = " UNION ALL ".join(f"SELECT read_id, '{n}' AS part, {d} AS drift, substr(seq, {s}, 10) AS segment FROM reads" for d in range(-2, 3) for n, s in (("mid_c", 41 - d), ("mid_d", 59 - d)))
 
 
-@query(f"WITH {READS} SELECT read_id, 'head' AS part, 0 AS drift, substr(seq, 1, 20) AS segment FROM reads UNION ALL SELECT read_id, 'tail', 0, substr(seq, 81, 20) FROM reads UNION ALL {_MID}")
+@query(f"WITH {SMALL_READS} SELECT read_id, 'head' AS part, 0 AS drift, substr(seq, 1, 20) AS segment FROM reads UNION ALL SELECT read_id, 'tail', 0, substr(seq, 81, 20) FROM reads UNION ALL {_MID}")
 def clu4_segments(spark, sf_dir):
-    return cluster.segments(reads(spark, sf_dir))
+    return cluster.segments(small_reads(spark, sf_dir))
 
 
 @query("SELECT doc_id AS read_id, text AS seq FROM documents WHERE length(text) >= 1000 AND NOT contains(text, 'N')")
@@ -189,12 +215,12 @@ def clu5_clean_reads(spark, sf_dir):
 
 @query()
 def clu6_drift_clusters(spark, sf_dir):
-    return cluster.drift_clusters(reads(spark, sf_dir))
+    return cluster.drift_clusters(small_reads(spark, sf_dir))
 
 
 @query()
-def clu7_greedy_by_prefix(spark, sf_dir):
-    return cluster.greedy_by_prefix(reads(spark, sf_dir), 4)
+def clu7_sequential_cores(spark, sf_dir):
+    return cluster.sequential_cores(reads(spark, sf_dir), 12)
 
 
 @query(f"""WITH {READS}, p AS (SELECT file_id, pos, k, arg_max(x, (n, -x_rank)) AS x FROM (SELECT file_id, pos, k, x, count(*) AS n, instr('ACGT', x) AS x_rank FROM
@@ -204,6 +230,25 @@ def clu9_core_correction(spark, sf_dir):
     return consensus.equal_length_votes(reads(spark, sf_dir), ["file_id", "pos"])
 
 
+_WRONG = "cr AS (SELECT file_id, pos, CASE WHEN pos % 2 = 0 THEN substr(seq, 1, 7) || translate(substr(seq, 8, 1), 'ACGT', 'GTAC') || substr(seq, 9) ELSE seq END AS seq FROM items)"
+
+
+@query(f"""WITH {ITEMS}, {noisy_sql(8)}, {_WRONG}, m AS (SELECT file_id, pos, copy, unnest(range(100)) AS k, unnest(string_split(cr.seq, '')) AS a, unnest(string_split(r.seq, '')) AS b FROM reads r JOIN cr USING (file_id, pos)),
+w AS (SELECT * FROM m WHERE a <> b), n AS (SELECT file_id, pos, count(DISTINCT copy) AS reads FROM w GROUP BY 1, 2),
+p AS (SELECT file_id, pos, k, count(*) AS n, (SELECT NULL) AS none, arg_max(b, (c, -instr('ACGT', b))) AS b FROM (SELECT *, count(*) OVER (PARTITION BY file_id, pos, k, b) AS c FROM w) GROUP BY 1, 2, 3),
+g AS (SELECT p.file_id, p.pos, k, b FROM p JOIN n USING (file_id, pos) WHERE p.n > 5 AND p.n > 0.5 * reads)
+SELECT cr.file_id, cr.pos, CASE WHEN count(g.k) = 0 THEN cr.seq ELSE string_agg(coalesce(gk.b, substr(cr.seq, i + 1, 1)), '' ORDER BY i) END AS seq
+FROM cr JOIN (SELECT unnest(range(100)) AS i) ON true LEFT JOIN g gk ON gk.file_id = cr.file_id AND gk.pos = cr.pos AND gk.k = i LEFT JOIN (SELECT DISTINCT file_id, pos, 1 AS k FROM g) g ON g.file_id = cr.file_id AND g.pos = cr.pos
+GROUP BY cr.file_id, cr.pos, cr.seq""")
+def clu9_corrected_cores(spark, sf_dir):
+    """Every second core has a wrong base that its reads vote down."""
+    rows = items(spark, sf_dir)
+    wrong = F.when(F.col("pos") % 2 == 0, F.overlay("seq", F.translate(F.substring("seq", 8, 1), "ACGT", "GTAC"), F.lit(8))).otherwise(F.col("seq"))
+    known = rows.select(F.struct("file_id", "pos").alias("id"), wrong.alias("seq"))
+    fixed = cluster.corrected_cores(known, noisy(rows, 8).select(F.struct("file_id", "pos").alias("id"), F.col("seq").alias("b")))
+    return fixed.select("id.file_id", "id.pos", "seq")
+
+
 @query(f"""WITH {READS}, b AS (SELECT read_id AS id, i.seq AS a, r.seq AS b FROM reads r JOIN items i USING (file_id, pos)), x AS (SELECT id, unnest(range(100))::INT AS "at", unnest(string_split(a, '')) AS expected, unnest(string_split(b, '')) AS found FROM b)
 SELECT id, "at", expected, found FROM x WHERE expected <> found""")
 def clu10_mismatches(spark, sf_dir):
@@ -216,6 +261,39 @@ def clu11_prefix_buckets(spark, sf_dir):
     return strands(spark, sf_dir).groupBy(F.substring("seq", 1, 2).alias("prefix")).agg(F.count("*").alias("n"))
 
 
+@query()
+def clu11_partitioned(spark, sf_dir):
+    """Sequential clustering within prefixes of 12 bases: what happened to the reads of each."""
+    rows = reads(spark, sf_dir)
+    found = cluster.sequential_cores(rows, 12).join(rows.select("read_id", F.substring("seq", 1, 12).alias("prefix")), "read_id")
+    return found.groupBy("prefix", "how").agg(F.count("*").alias("n"))
+
+
+_PAIRED = f"{READS}, p AS (SELECT min(read_id) OVER (PARTITION BY substr(seq, 1, 50)) AS core, concat_ws('-', file_id::VARCHAR, pos::VARCHAR) AS tag FROM reads)"
+
+
+@query(f"""WITH {_PAIRED}, c AS (SELECT core, tag, count(*) AS n FROM p GROUP BY 1, 2), k AS (SELECT core, sum(n) AS n, max(n) AS top FROM c GROUP BY 1)
+SELECT sum(n)::BIGINT AS reads, (sum(n) - sum(top))::BIGINT AS minority, count(*) AS clusters, (SELECT count(DISTINCT tag) FROM c) AS tags, round(sum(top) / sum(n)::DOUBLE, 9) AS purity FROM k""")
+def clu14_pair_scores(spark, sf_dir):
+    """Pairs (core, read) written as a pair file, read back and scored; reads with the same first half are a cluster."""
+    return metrics.pair_scores(pair_lines(spark, sf_dir), tags_of(spark, sf_dir))
+
+
+def numbered(spark, sf_dir):
+    """reads with number: file, strand and copy in one integer."""
+    return reads(spark, sf_dir).withColumn("number", F.col("file_id") * 10_000_000 + F.col("pos") * 10 + F.col("copy"))
+
+
+def pair_lines(spark, sf_dir):
+    rows = numbered(spark, sf_dir).withColumn("half", F.substring("seq", 1, 50))
+    first = rows.groupBy("half").agg(F.min_by("number", "read_id").alias("core"))
+    return rows.join(first, "half").select("file_id", "pos", F.format_string("(%d, %d)", "core", "number").alias("line"))
+
+
+def tags_of(spark, sf_dir):
+    return numbered(spark, sf_dir).select(F.col("number").alias("read"), F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string")).alias("tag"))
+
+
 @query("SELECT o_custkey AS core, list_sort(list(DISTINCT o_orderkey)) AS members FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderkey) >= 3")
 def clu12_pairs_to_clusters(spark, sf_dir):
     return cluster.pairs_to_clusters(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("core"), F.col("o_orderkey").alias("read")), 3)
@@ -228,7 +306,8 @@ def clu13_purity(spark, sf_dir):
 
 
 _CODE = "list_sum(list_transform(range(7), lambda j: (instr('ACGT', substr(seq, p + j, 1)) - 1) * (4 ** j)::BIGINT))::BIGINT"
-CODES = f"{READS}, codes AS (SELECT read_id, list_transform(range(1, 35), lambda p: {_CODE}) AS codes FROM reads)"
+_CODES = f", codes AS (SELECT read_id, list_transform(range(1, 35), lambda p: {_CODE}) AS codes FROM reads)"
+CODES = READS + _CODES
 
 
 @query(f"WITH {CODES} SELECT read_id, codes FROM codes")
@@ -236,8 +315,9 @@ def clu20_kmer_index(spark, sf_dir):
     return cluster.kmer_index(reads(spark, sf_dir)).select("read_id", "codes")
 
 
-SIGS = f"""{CODES}, f AS (SELECT unnest(range(50)) AS f, unnest({[a for a, _ in cluster.affine(0)]})::BIGINT AS a, unnest({[b for _, b in cluster.affine(0)]})::BIGINT AS b),
+_SIGS = f""", f AS (SELECT unnest(range(50)) AS f, unnest({[a for a, _ in cluster.affine(0)]})::BIGINT AS a, unnest({[b for _, b in cluster.affine(0)]})::BIGINT AS b),
 x AS (SELECT read_id, unnest(codes) AS c FROM codes), s AS (SELECT read_id, f, min((a * c + b) % 2147483647) AS h FROM x, f GROUP BY 1, 2), sigs AS (SELECT read_id, list(h ORDER BY f) AS sig FROM s GROUP BY 1)"""
+SIGS = CODES + _SIGS
 
 
 @query(f"WITH {SIGS} SELECT read_id, sig FROM sigs")
@@ -246,26 +326,31 @@ def clu21_minhash(spark, sf_dir):
 
 
 _KEYS = " UNION ALL ".join(f"SELECT read_id, {b} AS band, concat_ws('|', {', '.join(f'sig[{f + 1}]::VARCHAR' for f in fs)}) AS key FROM sigs" for b, fs in enumerate(cluster.band_rows(0)))
-EDGES = f"{SIGS}, k AS ({_KEYS}), e AS (SELECT DISTINCT band, min(read_id) OVER (PARTITION BY band, key) AS centre, read_id AS read FROM k), edges AS (SELECT * FROM e WHERE centre <> read)"
+_EDGES = f", k AS ({_KEYS}), e AS (SELECT DISTINCT band, min(read_id) OVER (PARTITION BY band, key) AS centre, read_id AS read FROM k), edges AS (SELECT * FROM e WHERE centre <> read)"
+EDGES, SMALL_EDGES = SIGS + _EDGES, SMALL_READS + _CODES + _SIGS + _EDGES
 
 
 def star_edges(spark, sf_dir):
     return cluster.star_edges(cluster.signatures(cluster.kmer_index(reads(spark, sf_dir))))
 
 
+def small_star_edges(spark, sf_dir):
+    return cluster.star_edges(cluster.signatures(cluster.kmer_index(small_reads(spark, sf_dir))))
+
+
 @query(f"WITH {EDGES} SELECT band, count(*) AS n, count(DISTINCT centre) AS centres FROM edges GROUP BY 1")
 def clu22_bands(spark, sf_dir):
     return star_edges(spark, sf_dir).groupBy("band").agg(F.count("*").alias("n"), F.count_distinct("centre").alias("centres"))
 
 
-@query(f"WITH {EDGES} SELECT band, centre, read FROM edges")
+@query(f"WITH {SMALL_EDGES} SELECT band, centre, read FROM edges")
 def clu23_star_pairs(spark, sf_dir):
-    return star_edges(spark, sf_dir)
+    return small_star_edges(spark, sf_dir)
 
 
 @query()
 def clu24_greedy_stars(spark, sf_dir):
-    return cluster.greedy_stars(star_edges(spark, sf_dir))
+    return cluster.greedy_stars(small_star_edges(spark, sf_dir))
 
 
 @query(f"WITH {EDGES} SELECT centre, list_sort(list(DISTINCT read)) AS members FROM edges GROUP BY 1 HAVING count(*) >= 3")
@@ -275,15 +360,15 @@ def clu25_star_clusters(spark, sf_dir):
 
 @query()
 def clu26_refined(spark, sf_dir):
-    rows = reads(spark, sf_dir)
-    return cluster.refined(cluster.star_clusters(star_edges(spark, sf_dir)), rows)
+    rows = small_reads(spark, sf_dir)
+    return cluster.refined(cluster.star_clusters(small_star_edges(spark, sf_dir)), rows)
 
 
 @query()
 def clu27_labelled_output(spark, sf_dir):
     """Refined clusters as labelled FASTA; both output forms hold the refined ones."""
-    rows = reads(spark, sf_dir)
-    found = cluster.refined(cluster.star_clusters(star_edges(spark, sf_dir)), rows).groupBy("read").agg(F.min("centre").alias("centre"))
+    rows = small_reads(spark, sf_dir)
+    found = cluster.refined(cluster.star_clusters(small_star_edges(spark, sf_dir)), rows).groupBy("read").agg(F.min("centre").alias("centre"))
     known = found.withColumnRenamed("read", "read_id").join(rows, "read_id")
     return writers.labelled_fasta(known.select("file_id", (F.col("pos") * 5 + F.col("copy")).alias("seq_label"), F.split_part("centre", F.lit("-"), F.lit(2)).cast("long").alias("cluster_id"), "seq"))
 
@@ -296,12 +381,13 @@ def msa2_all_clusters(spark, sf_dir):
 
 
 _SLOTS = " UNION ALL ".join(f"SELECT read_id, {s} AS slot, {d} AS drift, substr(seq, {1 + s * 20 + d}, 14) AS w FROM reads" for s in range(5) for d in range(5))
-SKETCH = f"{READS}, w AS ({_SLOTS}), sk AS (SELECT read_id, slot, drift, list_sum(list_transform(range(14), lambda j: (instr('ACGT', substr(w, j + 1, 1)) - 1) * (4 ** j)::BIGINT))::BIGINT AS code FROM w WHERE length(w) = 14)"
+_SKETCH = f", w AS ({_SLOTS}), sk AS (SELECT read_id, slot, drift, list_sum(list_transform(range(14), lambda j: (instr('ACGT', substr(w, j + 1, 1)) - 1) * (4 ** j)::BIGINT))::BIGINT AS code FROM w WHERE length(w) = 14)"
+SKETCH, SMALL_SKETCH = READS + _SKETCH, SMALL_READS + _SKETCH
 
 
-@query(f"WITH {SKETCH} SELECT read_id, slot, drift, code FROM sk")
+@query(f"WITH {SMALL_SKETCH} SELECT read_id, slot, drift, code FROM sk")
 def clu30_sketches(spark, sf_dir):
-    return cluster.sketches(reads(spark, sf_dir))
+    return cluster.sketches(small_reads(spark, sf_dir))
 
 
 @query("SELECT DISTINCT d * s * (4 ** p)::BIGINT AS delta FROM (SELECT unnest(range(14)) AS p), (SELECT unnest([0, 1, 2, 3]) AS d), (SELECT unnest([1, -1]) AS s)")
@@ -309,15 +395,16 @@ def clu31_neighbours(spark, sf_dir):
     return spark.createDataFrame([(d,) for d in cluster.neighbours(14)], "delta long")
 
 
-@query(f"""WITH {SKETCH}, m AS (SELECT slot, code, min(read_id) AS v FROM sk WHERE drift = 2 GROUP BY 1, 2), e AS (SELECT DISTINCT read_id AS u, v, slot FROM sk JOIN m USING (slot, code) WHERE read_id <> v)
+@query(f"""WITH {SMALL_SKETCH}, m AS (SELECT slot, code, min(read_id) AS v FROM sk WHERE drift = 2 GROUP BY 1, 2), e AS (SELECT DISTINCT read_id AS u, v, slot FROM sk JOIN m USING (slot, code) WHERE read_id <> v)
 SELECT u, v, count(*) AS slots FROM e GROUP BY 1, 2 HAVING count(*) >= 2""")
 def clu32_sketch_edges(spark, sf_dir):
-    return cluster.sketch_edges(cluster.sketches(reads(spark, sf_dir)))
+    return cluster.sketch_edges(cluster.sketches(small_reads(spark, sf_dir)))
 
 
-@query(f"WITH {READS} SELECT file_id * 1000 + pos AS centre, count(*) - 1 AS members, count(*) > 5 AS good FROM reads GROUP BY 1")
+@query(f"WITH {STRANDS} SELECT file_id AS centre, count(*) - 1 AS members, count(*) > 5 AS good FROM strands GROUP BY 1")
 def clu33_good_and_bad(spark, sf_dir):
-    return cluster.good_and_bad(reads(spark, sf_dir).select("read_id", (F.col("file_id") * 1000 + F.col("pos")).alias("centre")))
+    """The strands of a document as a cluster: some have few."""
+    return cluster.good_and_bad(strands(spark, sf_dir).select(F.col("pos").alias("read_id"), F.col("file_id").alias("centre")))
 
 
 @query(f"""WITH {SKETCH}, o AS (SELECT DISTINCT sk.read_id, slot, code, file_id * 1000 + pos AS centre FROM sk JOIN reads ON reads.read_id = sk.read_id), c AS (SELECT centre, slot, code, count(*) AS n FROM o GROUP BY 1, 2, 3),
@@ -330,28 +417,29 @@ def clu34_representatives(spark, sf_dir):
 
 @query()
 def clu35_merged(spark, sf_dir):
-    rows = reads(spark, sf_dir)
+    rows = small_reads(spark, sf_dir)
     sketched = cluster.sketches(rows)
     assigned = cluster.sketch_clusters(rows, sketched)
-    return cluster.merged(assigned, cluster.representatives(assigned, sketched), sketched, 0.3)
+    return cluster.merged(assigned, cluster.representatives(assigned, sketched), sketched, 0.6)
 
 
 @query()
 def clu36_hash_sketch(spark, sf_dir):
-    return cluster.hash_sketch_clusters(reads(spark, sf_dir))
+    return cluster.hash_sketch_clusters(small_reads(spark, sf_dir))
 
 
 @query()
 def msa1_aligned(spark, sf_dir):
-    rows = reads(spark, sf_dir).select(F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string")).alias("cluster"), F.col("copy").alias("member"), F.expr("concat(substr(seq, 1, 10 + copy), substr(seq, 12 + copy))").alias("seq"))
+    rows = small_reads(spark, sf_dir).select(F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string")).alias("cluster"), F.col("copy").alias("member"), F.expr("concat(substr(seq, 1, 10 + copy), substr(seq, 12 + copy))").alias("seq"))
     return consensus.aligned(rows).select("cluster", "member", "aligned")
 
 
-@query(f"WITH {READS} SELECT file_id || '-' || pos AS cluster, sample, (pos * 0 + 15)::BIGINT AS n FROM items, (SELECT unnest(range(5))::INT AS sample)")
+@query(f"""WITH {STRANDS}, s AS (SELECT file_id AS cluster, count(*) AS n FROM strands GROUP BY 1 HAVING count(*) >= 3)
+SELECT cluster, unnest(range(CASE WHEN n > 15 THEN 5 ELSE 1 END))::INT AS sample, least(n, 15)::BIGINT AS n FROM s""")
 def msa3_subsamples(spark, sf_dir):
-    rows = reads(spark, sf_dir).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(4)])))
-    members = rows.select(F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string")).alias("cluster"), (F.col("copy") * 4 + F.col("k")).alias("member"), "seq")
-    return consensus.subsamples(members).groupBy("cluster", "sample").agg(F.count("*").alias("n"))
+    """The strands of a document as a cluster: from one to hundreds."""
+    members = strands(spark, sf_dir).select(F.col("file_id").alias("cluster"), F.col("pos").alias("member"), "seq")
+    return consensus.subsamples(members).groupBy("cluster", "sample").agg(F.count_distinct("member").alias("n"))
 
 
 @query(f"""WITH {READS}, c AS (SELECT file_id, pos, k, x, count(*) AS n FROM (SELECT file_id, pos, unnest(range(1, 101)) AS k, unnest(string_split(seq, '')) AS x FROM reads) GROUP BY 1, 2, 3, 4),
@@ -363,5 +451,5 @@ def msa4_votes(spark, sf_dir):
 
 @query()
 def msa5_candidates(spark, sf_dir):
-    rows = reads(spark, sf_dir).select(F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string")).alias("cluster"), F.col("copy").alias("member"), F.expr("concat(substr(seq, 1, 10 + copy), substr(seq, 12 + copy))").alias("seq"))
+    rows = small_reads(spark, sf_dir).select(F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string")).alias("cluster"), F.col("copy").alias("member"), F.expr("concat(substr(seq, 1, 10 + copy), substr(seq, 12 + copy))").alias("seq"))
     return consensus.consensus(rows)

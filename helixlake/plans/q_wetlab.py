@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from helixlake.functions import seqfn
 from helixlake.operators import primers, simulate
-from helixlake.plans.fixtures import ITEMS, STRANDS, _nested, items, strands, table
+from helixlake.plans.fixtures import ITEMS, READS, SMALL_ITEMS, STRANDS, _nested, items, reads, small_items, strands, table
 from helixlake.plans.registry import query
 
 N = 8_000
 P = primers.PrimerParams()
+#: The default primer pair.
 PAIR = ("AAGGCAAGTTGTTACCAGCA", "TGCGACCGTAATCAAACCAA")
 _HEXED = _nested("upper(md5(concat_ws('|', '0', id::VARCHAR, '0')))")
 CANDS = f"cands AS (SELECT id, substr({_HEXED}, 1, 20) AS seq FROM (SELECT unnest(range({N})) AS id))"
@@ -88,13 +89,13 @@ def primer_pair(spark):
     return spark.createDataFrame([(0, PAIR[0]), (1, PAIR[1])], "id long, seq string")
 
 
-@query(f"""WITH {ITEMS}, pr AS (SELECT id, unnest(range(9)) AS i, seq FROM (SELECT 0::BIGINT AS id, '{PAIR[0]}' AS seq UNION ALL SELECT 1, '{PAIR[1]}')), w AS (SELECT id, substr(seq, i + 1, 12) AS w FROM pr),
+@query(f"""WITH {SMALL_ITEMS}, pr AS (SELECT id, unnest(range(9)) AS i, seq FROM (SELECT 0::BIGINT AS id, '{PAIR[0]}' AS seq UNION ALL SELECT 1, '{PAIR[1]}')), w AS (SELECT id, substr(seq, i + 1, 12) AS w FROM pr),
 x AS (SELECT file_id, pos, seq, unnest(range(length(seq) - 9)) AS j FROM items),
 hit AS (SELECT id, file_id, pos FROM w JOIN x ON (length(substr(seq, j + 1, 12)) = 12 AND levenshtein(substr(seq, j + 1, 12), w) <= 2)
   OR (length(substr(seq, j + 13, 2)) = 2 AND substr(w, 11, 2) = substr(seq, j + 13, 2) AND levenshtein(substr(seq, j + 1, 10), w) <= 2))
 SELECT DISTINCT id AS primer_id, file_id, pos FROM hit""")
 def prm10_collisions(spark, sf_dir):
-    return primers.collisions(primer_pair(spark), items(spark, sf_dir))
+    return primers.collisions(primer_pair(spark), small_items(spark, sf_dir))
 
 
 @query(f"WITH {STRANDS} SELECT file_id, pos, '{PAIR[0]}' || seq || '{PAIR[1]}' AS seq FROM strands")
@@ -107,14 +108,14 @@ def prm12_remove(spark, sf_dir):
     return primers.remove(strands(spark, sf_dir), 20, 15)
 
 
-@query(f"""WITH {ITEMS}, pr AS (SELECT 0 AS id, '{PAIR[0]}' AS seq UNION ALL SELECT 1, {RC.format(f"'{PAIR[1]}'")}), w AS (SELECT substr(seq, i + 1, 12) AS w FROM (SELECT seq, unnest(range(9)) AS i FROM pr)),
+@query(f"""WITH {SMALL_ITEMS}, pr AS (SELECT 0 AS id, '{PAIR[0]}' AS seq UNION ALL SELECT 1, {RC.format(f"'{PAIR[1]}'")}), w AS (SELECT substr(seq, i + 1, 12) AS w FROM (SELECT seq, unnest(range(9)) AS i FROM pr)),
 x AS (SELECT file_id, pos, seq, unnest(range(length(seq) - 9)) AS j FROM items),
 hit AS (SELECT DISTINCT file_id, pos FROM w JOIN x ON (length(substr(seq, j + 1, 12)) = 12 AND levenshtein(substr(seq, j + 1, 12), w) <= 2)
   OR (length(substr(seq, j + 13, 2)) = 2 AND substr(w, 11, 2) = substr(seq, j + 13, 2) AND levenshtein(substr(seq, j + 1, 10), w) <= 2))
 SELECT file_id, pos, '{PAIR[0]}' || seq || '{PAIR[1]}' AS seq FROM items ANTI JOIN hit USING (file_id, pos)""")
 def prm13_add_checked(spark, sf_dir):
     pair = spark.createDataFrame([(0, PAIR[0]), (1, PAIR[1])], "id long, seq string").withColumn("seq", F.when(F.col("id") == 1, seqfn.revcomp("seq")).otherwise(F.col("seq")))
-    return primers.add_checked(items(spark, sf_dir), pair, *PAIR)
+    return primers.add_checked(small_items(spark, sf_dir), pair, *PAIR)
 
 
 TOTAL = {"d": 1e-3, "ld": 5e-4, "i": 2e-3, "s": 4e-3}
@@ -152,7 +153,36 @@ def sim4_replicated(spark, sf_dir):
     return simulate.replicated(items(spark, sf_dir).withColumn("copies", F.col("pos") % 4))
 
 
-@query()
+def _kinds(weights: list[tuple[str, float]], u: str) -> str:
+    """CASE over cumulative shares of weights."""
+    total, at, out = sum(w for _, w in weights) or 1.0, 0.0, "CASE"
+    for name, w in weights[:-1]:
+        at += w / total
+        out += f" WHEN {u} < {at!r}::DOUBLE THEN {name}"
+    return f"{out} ELSE {weights[-1][0]} END"
+
+
+def _walk(rows: str, copies: int, total: dict, rates: dict, seed: int) -> str:
+    """The whole fold in SQL: a list of a strand's bases, each with its position and digest, is reduced to a string of how many
+    bases are still to be skipped, then the read so far. Every base has the same rates here."""
+    r = rates["A"]
+    p0 = sum(total.get(k, 0.0) for k in ("d", "ld", "i", "s"))
+    u = lambda k: f"('0x' || substr(x, {5 + 8 * k}, 8))::BIGINT / 4294967296.0::DOUBLE"
+    base, done = "substr(x, 4, 1)", "(length(a) - 1)"
+    p = f"CASE WHEN 3 * {done} <= {done} + n - substr(x, 1, 3)::INT + 1 THEN {1.5 * p0!r}::DOUBLE ELSE {0.75 * p0!r}::DOUBLE END"
+    weights = [(f"'{k}'", r.get(k, 0.0)) for k in ("s", "pi", "d", "ld")]
+    kind = _kinds(weights[:-1] + [("'ld'" if r.get("ld") else "'s'", r.get("ld", 0.0))], u(1))
+    other = f"substr(CASE {base} WHEN 'A' THEN 'TGC' WHEN 'T' THEN 'AGC' WHEN 'G' THEN 'ATC' ELSE 'ATG' END, floor({u(2)} * 3)::INT + 1, 1)"
+    added = _kinds([(f"'{b}'", rates[b].get("i", 0.0)) for b in simulate.BASES], u(2))
+    more = _kinds([(f"'{n - 1}'", w) for n, w in simulate.LONG], u(2))
+    return f"""WITH {STRANDS}, c AS (SELECT file_id, pos, seq, length(seq) AS n, copy::INT AS copy FROM strands, (SELECT unnest(range({copies})) AS copy)),
+l AS (SELECT *, list_transform(range(1, n + 1), lambda j: lpad(j::VARCHAR, 3, '0') || substr(seq, j, 1) || md5(concat_ws('|', '{seed}', {FP}, copy::VARCHAR, j::VARCHAR))) AS xs FROM c),
+f AS (SELECT file_id, pos, copy, seq, list_reduce(xs, lambda a, x: CASE WHEN a[1] <> '0' THEN (a[1]::INT - 1)::VARCHAR || a[2:] WHEN NOT ({u(0)} < {p}) THEN '0' || a[2:] || {base}
+  ELSE CASE {kind} WHEN 's' THEN '0' || a[2:] || {other} WHEN 'pi' THEN '0' || a[2:] || {added} || {base} WHEN 'd' THEN '0' || a[2:] ELSE {more} || a[2:] END END, '0') AS o FROM l)
+SELECT {rows}, substr(o, 2) AS read FROM f"""
+
+
+@query(_walk("file_id, pos, copy, seq", 3, TOTAL, RATES, 11))
 def sim5_error_loop(spark, sf_dir):
     rows = simulate.replicated(strands(spark, sf_dir).withColumn("copies", F.lit(3)))
     return simulate.with_errors(rows, TOTAL, RATES, 11)
@@ -192,7 +222,7 @@ def sim7a_deletions(spark, sf_dir):
     return _single(spark, sf_dir, "d")
 
 
-@query()
+@query(_walk("file_id, pos", 1, *_only("ld"), 11))
 def sim7b_long_deletions(spark, sf_dir):
     return _single(spark, sf_dir, "ld", strands)
 
@@ -207,13 +237,19 @@ def sim7d_substitutions(spark, sf_dir):
     return _single(spark, sf_dir, "s")
 
 
-@query()
+@query(f"""WITH {STRANDS}, l AS (SELECT file_id, pos, seq, list_transform(range(1, length(seq) + 1), lambda j: substr(seq, j, 1) || md5(concat_ws('|', '11', {FP}, '0', j::VARCHAR))) AS xs FROM strands)
+SELECT file_id, pos, array_to_string(list_transform(xs, lambda x: repeat(CASE WHEN ('0x' || substr(x, 10, 8))::BIGINT / 4294967296.0::DOUBLE < 0.01::DOUBLE
+  THEN substr(CASE x[1] WHEN 'A' THEN 'TGC' WHEN 'T' THEN 'AGC' WHEN 'G' THEN 'ATC' ELSE 'ATG' END, floor(('0x' || substr(x, 18, 8))::BIGINT / 4294967296.0::DOUBLE * 3)::INT + 1, 1) ELSE x[1] END,
+  floor(ln((('0x' || substr(x, 2, 8))::BIGINT + 1) / 4294967296.0::DOUBLE) / ln(0.3::DOUBLE))::BIGINT)), '') AS read FROM l""")
 def sim8_stutter(spark, sf_dir):
     rows = strands(spark, sf_dir).withColumn("copy", F.lit(0))
     return simulate.with_stutter(rows, {b: {"i": 0.3, "s": 0.01} for b in "ACGT"}, 11).select("file_id", "pos", "read")
 
 
-@query()
+@query(f"""WITH {STRANDS}, g AS (SELECT k, exp(-(x - 10) * (x - 10) / 18) AS p FROM (SELECT k, 0 + (k + 0.5::DOUBLE) * 20 / 2000 AS x FROM (SELECT unnest(range(2000)) AS k))),
+c AS (SELECT k, sum(p) OVER (ORDER BY k) / sum(p) OVER () AS s FROM g), b AS (SELECT k, s, coalesce(lag(s) OVER (ORDER BY k), -1) AS before FROM c),
+u AS (SELECT file_id, pos, {U(3, f"'c', {FP}", 0)} / 4294967296.0::DOUBLE AS u FROM strands)
+SELECT file_id, pos, round_even((k + 0.5::DOUBLE) * 20 / 2000, 0)::BIGINT AS copies FROM u ASOF JOIN b ON u > before""")
 def sim9_copies_from_density(spark, sf_dir):
     return simulate.copies_from_density(strands(spark, sf_dir), "exp(-(x - 10) * (x - 10) / 18)", 0, 20, 3).select("file_id", "pos", "copies")
 
@@ -235,3 +271,11 @@ SELECT file_id, pos AS origin_pos, 0::INT AS copy, (rank + 1) || ' ' || seq AS l
 def sim11_indexed_form(spark, sf_dir):
     rows = items(spark, sf_dir).withColumn("copy", F.lit(0)).withColumn("read", F.col("seq"))
     return simulate.indexed_form(simulate.shuffled(rows, 7))
+
+
+@query(f"""WITH {READS}, l AS (SELECT r.file_id, r.pos, i.seq, list(r.seq ORDER BY copy) AS rs FROM reads r JOIN items i USING (file_id, pos) GROUP BY 1, 2, 3),
+x AS (SELECT file_id, pos, list_concat([seq, repeat('*', 29)], rs, ['', '']) AS lines FROM l)
+SELECT file_id, pos, unnest(range(len(lines)))::INT AS k, unnest(lines) AS line FROM x""")
+def sim11_origin_blocks(spark, sf_dir):
+    both = reads(spark, sf_dir).withColumnRenamed("seq", "read").join(items(spark, sf_dir), ["file_id", "pos"])
+    return simulate.origin_blocks(both)

@@ -101,6 +101,17 @@ def json_map(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("parsed", F.from_json(column, "map<string,string>"))
 
 
+def uploaded_strands(rows: DataFrame, key: str, text: str, separator: str = "\n") -> DataFrame:
+    """file_id, pos, seq of uploaded texts: split, trimmed, blank parts left out; pos numbers what stays from 0."""
+    parts = F.filter(F.transform(F.split(text, separator, -1), lambda x: F.trim(x)), lambda x: x != "")
+    return rows.select(F.col(key).alias("file_id"), F.posexplode(parts).alias("pos", "seq")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def scheme_of(name: Column | str) -> Column:
+    """The scheme in a coded file's name, `{prefix}_{scheme}{unix time}`; the prefix may hold underscores. Empty without one."""
+    return F.regexp_extract(F.col(name) if isinstance(name, str) else name, r"_([a-z]+)[0-9]+$", 1)
+
+
 def pair_file(lines: DataFrame) -> DataFrame:
     """Pairs written as JSON arrays or Python tuples of integers, one or many to a line. Nothing is evaluated."""
     found = F.regexp_extract_all("line", F.lit(r"[\[(]\s*(-?\d+)\s*,\s*-?\d+\s*[\])]"), F.lit(0))

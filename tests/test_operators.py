@@ -11,6 +11,7 @@ from helixlake.functions import seqfn
 from helixlake.operators import cluster, codec, consensus, evaluate, jobs, metrics, primers, simulate
 from helixlake.sources import readers, writers
 
+#: The default primer pair.
 PAIR = ("AAGGCAAGTTGTTACCAGCA", "TGCGACCGTAATCAAACCAA")
 
 
@@ -24,6 +25,7 @@ def lev(a, b):
 
 
 def test_label_metrics_golden(spark):
+    # Label vectors and their scores.
     t, p = [1, 1, 1, 1, 2, 2, 2, 3, 3], [11, 11, 4, 11, 22, 111, 22, 22, 4]
     table = metrics.contingency(spark.createDataFrame(list(zip(t, p, strict=True)), "t int, p int"))
     r = metrics.agreement(table).first()
@@ -201,7 +203,7 @@ def test_no_errors_at_rate_zero_and_determinism(spark):
         simulate.with_errors(rows, {"s": 0.9}, rates, 1)
 
 
-def test_error_fold_against_a_mutating_strand(spark):
+def test_error_fold_against_a_plain_walk(spark):
     import hashlib
 
     rng = random.Random(9)
@@ -217,31 +219,31 @@ def test_error_fold_against_a_mutating_strand(spark):
                 return v
         return options[-1][0]
 
-    def mutate(pos, s):
-        strand, index, original = s, 0, 0
-        while index < len(strand):
-            original += 1
-            m = hashlib.md5(f"5|0|{pos}|0|{original}".encode()).hexdigest()
-            u1, u2, u3 = (int(m[8 * k : 8 * k + 8], 16) / 2**32 for k in range(3))
-            b = strand[index]
-            p = sum(total.values()) * (1.5 if 3 * index <= len(strand) else 0.75)
-            if u1 < p:
-                kind = pick(u2, [(k, rates[b][k]) for k in ("s", "pi", "d", "ld")])
-                if kind == "d":
-                    strand, index = strand[:index] + strand[index + 1 :], index - 1
-                elif kind == "ld":
-                    n = pick(u3, list(simulate.LONG))
-                    strand, index, original = strand[:index] + strand[index + n :], index - 1, original + n - 1
-                elif kind == "s":
-                    strand = strand[:index] + simulate.OTHERS[b][int(u3 * 3)] + strand[index + 1 :]
-                else:
-                    strand, index = strand[:index] + pick(u3, [(x, rates[x]["i"]) for x in "ATGC"]) + strand[index:], index + 1
-            index += 1
-        return strand
+    def read_of(pos, strand):
+        """Over the original positions: what was put out so far and what is still to come make the strand's length."""
+        out, skip = [], 0
+        for j, base in enumerate(strand, 1):
+            if skip:
+                skip -= 1
+                continue
+            draws = hashlib.md5(f"5|0|{pos}|0|{j}".encode()).hexdigest()
+            happens, which, value = (int(draws[k : k + 8], 16) / 2**32 for k in (0, 8, 16))
+            now = len(out) + len(strand) - j + 1
+            if happens >= sum(total.values()) * (1.5 if 3 * len(out) <= now else 0.75):
+                out.append(base)
+                continue
+            kind = pick(which, [(k, rates[base][k]) for k in ("s", "pi", "d", "ld")])
+            if kind == "s":
+                out.append(simulate.OTHERS[base][int(value * 3)])
+            elif kind == "pi":
+                out += [pick(value, [(x, rates[x]["i"]) for x in "ATGC"]), base]
+            elif kind == "ld":
+                skip = pick(value, list(simulate.LONG)) - 1
+        return "".join(out)
 
     rows = spark.createDataFrame([(0, k, 0, s) for k, s in enumerate(strands)], "file_id int, pos int, copy int, seq string")
     got = {r["pos"]: r["read"] for r in simulate.with_errors(rows, total, rates, 5).collect()}
-    assert got == {k: mutate(k, s) for k, s in enumerate(strands)}
+    assert got == {k: read_of(k, s) for k, s in enumerate(strands)}
 
 
 def test_copies(spark):
@@ -256,11 +258,188 @@ def test_copies(spark):
     assert simulate.parse_rate({"A": {"s": "2E-3"}}) == {"A": {"s": 0.002}}
 
 
+def test_density_draws_use_every_cell_of_the_grid(spark):
+    import hashlib
+
+    rows = spark.createDataFrame([(0, k, "A") for k in range(400)], "file_id int, pos int, seq string")
+    got = {r["pos"]: r["copies"] for r in simulate.copies_from_density(rows, "x", 0, 1000, 4).collect()}
+    cells = [k + 0.5 for k in range(2000)]
+    sums = list(itertools.accumulate(c / sum(cells) for c in cells))
+    for pos in range(400):
+        u = int(hashlib.md5(f"4|c|0|{pos}".encode()).hexdigest()[:8], 16) / 2**32
+        assert got[pos] == round((next((k for k, c in enumerate(sums) if c >= u), 1999) + 0.5) * 0.5)
+    assert len(set(got.values())) > 250
+
+
 def test_stutter_repeats_and_deletes(spark):
     rows = spark.createDataFrame([(0, k, 0, "ACGT" * 10) for k in range(30)], "file_id int, pos int, copy int, seq string")
     reads = [r["read"] for r in simulate.with_stutter(rows, {b: {"i": 0.5, "s": 0.0} for b in "ACGT"}, 3).collect()]
     mean = sum(map(len, reads)) / len(reads)
     assert 30 < mean < 50 and set("".join(reads)) == set("ACGT")
+    long = [r["read"] for r in simulate.with_stutter(rows, {b: {"i": 0.9999, "s": 0.0} for b in "ACGT"}, 3).collect()]
+    assert max(len(list(g)) for r in long for _, g in itertools.groupby(r)) > 20_000  # no run is cut
+    with pytest.raises(ValueError):
+        simulate.with_stutter(rows, {"A": {"i": 1.0}}, 3)
+
+
+def test_blocks_of_an_origin_and_its_reads(spark):
+    rows = spark.createDataFrame([(1, 0, "AC", 1, "AG"), (1, 0, "AC", 0, "AC")], "file_id int, pos int, seq string, copy int, read string")
+    assert [r["line"] for r in simulate.origin_blocks(rows).orderBy("k").collect()] == ["AC", "*" * 29, "AC", "AG", "", ""]
+
+
+def plain_cores(rows, prefix, size=20, middle=10, drift=2, centre=40, most=3, new_core=8):
+    """The sequential clustering by lists, within each prefix."""
+    out, groups = {}, {}
+    for read_id, seq in sorted(rows):
+        cores = groups.setdefault(seq[:prefix], [])
+        apart = lambda a, b: sum(x != y for x, y in itertools.zip_longest(a, b))
+        parts = lambda d, seq=seq: {"head": seq[:size], "tail": seq[-size:], "c": seq[centre - d : centre - d + middle], "d": seq[len(seq) - centre - 2 - d :][:middle]}
+        tried = [[(apart(parts(0)[name], core[1][name]), k) for k, core in enumerate(cores)] for name in ("head", "tail")]
+        tried.append([(apart(parts(d)[name], core[1][name]), i, k) for i, (d, name) in enumerate((d, name) for d in range(-drift, drift + 1) for name in "cd") for k, core in enumerate(cores)])
+        for how, found in zip(("head", "tail", "middle"), tried, strict=True):
+            best = min(found, default=(1000, -1))
+            if best[0] < most:
+                out[read_id] = (cores[best[-1]][0], how)
+                break
+        else:
+            if best[0] >= new_core:
+                cores.append((read_id, parts(0)))
+                out[read_id] = (read_id, "new")
+            else:
+                out[read_id] = (None, "dropped")
+    return out
+
+
+def test_sequential_cores_against_plain_lists(spark):
+    rng = random.Random(21)
+    rows = []
+    for c in range(25):
+        s = "ACGT"[c % 2] + "".join(rng.choice("ACGT") for _ in range(99))
+        for k in range(8):
+            t = list(s)
+            for _ in range(rng.choice([0, 2, 9, 30])):
+                t[rng.randrange(1, 100)] = rng.choice("ACGT")
+            if k % 3 == 0:
+                del t[rng.randrange(1, len(t))]
+            if k == 4:
+                t[1:20] = [rng.choice("ACGT") for _ in range(19)]
+            rows.append((f"{rng.randrange(10**6):06d}-{c}-{k}", "".join(t)))
+    got = {r["read_id"]: (r["core"], r["how"]) for r in cluster.sequential_cores(spark.createDataFrame(rows, "read_id string, seq string"), 1).collect()}
+    assert got == plain_cores(rows, 1) and {how for _, how in got.values()} == {"new", "head", "tail", "middle", "dropped"}
+
+
+def test_fuzzy_step_by_hand(spark):
+    cores = spark.createDataFrame([(1, "AAAA"), (2, "ATCG"), (3, "AGCG"), (4, "ACCT"), (5, "AACC")], "label int, word string")
+    words = spark.createDataFrame([(1, "AAAA"), (2, "TTCG"), (3, "ATTG"), (4, "AAGA"), (5, "AAAG"), (6, "ATCC"), (7, "CTCG"), (8, "ACCG")], "id int, word string")
+    got = {r["id"]: (r["at"], r["nexts"]) for r in cluster.fuzzy_step(words, cores).collect()}
+    assert got == {2: (0, "A"), 3: (2, "C"), 4: (2, "A"), 5: (3, "A"), 6: (3, "G"), 7: (0, "A"), 8: (3, "T")}
+
+
+def test_words_that_differ_little_share_a_key(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(300):
+        w, most = "".join(rng.choice("ACGT") for _ in range(rng.choice([7, 20, 33]))), rng.randrange(1, 4)
+        t = list(w)
+        for i in rng.sample(range(len(w)), most):
+            t[i] = rng.choice("ACGT")
+        rows.append((k, w, "".join(t), most))
+    df = spark.createDataFrame(rows, "k int, a string, b string, most int")
+    for most in (1, 2, 3):
+        shared = df.where(F.col("most") == most).select(F.arrays_overlap(seqfn.near_keys(F.col("a"), most), seqfn.near_keys(F.col("b"), most)).alias("x"))
+        assert all(r["x"] for r in shared.collect())
+
+
+def test_greedy_stars_by_component_equal_one_sequence(spark):
+    rng = random.Random(12)
+    edges = sorted({(rng.randrange(6), c * 100 + min(a, b), c * 100 + max(a, b)) for c in range(9) for a, b in [rng.sample(range(12), 2) for _ in range(25)]})
+    stars = {}
+    for _, u, v in edges:
+        if u not in stars and v not in stars:
+            stars[u] = [v]
+        else:
+            for one, other in ((u, v), (v, u)):
+                if one in stars:
+                    stars[one].append(other)
+    got = sorted((r["centre"], r["read"]) for r in cluster.greedy_stars(spark.createDataFrame(edges, "band int, centre long, read long")).collect())
+    assert got == sorted((c, r) for c, rs in stars.items() for r in rs)
+
+
+def test_cores_are_voted_down_by_many_reads_only(spark):
+    cores = spark.createDataFrame([(1, "AAAAAA"), (2, "CCCCCC"), (3, "GGGGGG")], "id int, seq string")
+    reads = [(1, "AATAAA")] * 6 + [(1, "AAAAAA")] * 9 + [(2, "CCTCCC")] * 5 + [(3, "GGTGGG")] * 6 + [(3, "GGGGGA")] * 7
+    got = {r["id"]: r["seq"] for r in cluster.corrected_cores(cores, spark.createDataFrame(reads, "id int, b string")).collect()}
+    assert got == {1: "AATAAA", 2: "CCCCCC", 3: "GGGGGA"}
+
+
+def test_run_report_counts_stages(spark):
+    rng = random.Random(2)
+    strands = ["".join(rng.choice("ACGT") for _ in range(100)) for _ in range(10)]
+    reads = [(f"{c}-{k}", s) for c, s in enumerate(strands) for k in range(8 if c < 6 else 2)]
+    r = cluster.run_report(spark.createDataFrame([(s,) for s in strands], "seq string"), spark.createDataFrame(reads, "read_id string, seq string")).first()
+    assert (r["originals"], r["reads"], r["clusters"], r["good"], r["bad"], r["merged"], r["final"]) == (10, 56, 10, 6, 4, 10, 10) and r["seconds"] > 0
+
+
+def test_reed_solomon_words_vanish_at_the_generators_roots():
+    def times(a, b):
+        out = 0
+        while b:
+            out, a, b = out ^ (a if b & 1 else 0), (a << 1) ^ (0x11D if a & 0x80 else 0), b >> 1
+        return out
+
+    code, rng = codec.ReedSolomon(3), random.Random(7)
+    for _ in range(30):
+        data = bytes(rng.randrange(256) for _ in range(rng.randrange(1, 60)))
+        word = code.encode(data)
+        assert word[: len(data)] == data and len(word) == len(data) + 3
+        zeros = 0
+        for power in range(4):  # roots from the 0th or the 1st power of 2
+            x, y = 1, 0
+            for _ in range(power):
+                x = times(x, 2)
+            for c in word:
+                y = times(y, x) ^ c
+            zeros += y == 0
+        assert zeros >= 3
+
+
+def test_goldman_strands_turn_codes_into_other_bases(spark):
+    texts = [b"a", b"\x00\xff" * 9, bytes(range(256))]
+    rows = spark.createDataFrame([(t.hex().upper(),) for t in texts], "h string")
+    codes = codec.ternary_codes()
+    assert len(set(codes)) == 256 and not any(a != b and b.startswith(a) for a in codes for b in codes)
+    for t, r in zip(texts, rows.select(codec.goldman_encode(F.col("h")).alias("s"), codec.goldman_decode(codec.goldman_encode(F.col("h"))).alias("back")).collect(), strict=True):
+        assert all(a != b for a, b in zip(r["s"], r["s"][1:], strict=False)) and set(r["s"]) <= set("ACGT")
+        assert len(r["s"]) == sum(len(codes[b]) for b in t) and r["back"] == t.hex().upper()
+
+
+def test_index_length_and_bases_as_digits(spark):
+    rows = spark.createDataFrame([(1, k) for k in range(5)] + [(2, 0)], "file_id int, seg_no int")
+    assert {r["file_id"]: (r["total"], r["index_length"]) for r in codec.index_length(rows).collect()} == {1: (5, 3), 2: (1, 1)}
+    assert spark.range(1).select(seqfn.nt_to_hex(F.lit("AAACGTTT"))).first()[0] == "01BF"
+    jobs_rows = spark.createDataFrame([(1, 7, "x"), (3, 7, "x"), (2, 7, "y")], "id int, user int, dataType string")
+    assert [r["id"] for r in jobs.latest_of(jobs_rows, 7, "x").collect()] == [3]
+
+
+def test_a_report_has_all_six_series(spark):
+    import json
+
+    from helixlake.plans.queries import QUERIES
+
+    out = json.loads(QUERIES["eva7_report_json"](spark, "/root/testdata/sf0.001").first()["report"])
+    n = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
+    assert list(out["yAxis"]) == ["density", "longest_run", "motifs", "mean_gc", "local_gc", "mfe"] and len(out["xAxis"]) == n and all(len(v) == n for v in out["yAxis"].values())
+
+
+def test_pairs_are_scored(spark):
+    lines = spark.createDataFrame([(1, 0, "[(1, 1), (1, 2)]"), (1, 1, "(3, 3)"), (1, 2, "(1, 4)")], "file_id int, pos int, line string")
+    tags = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "read long, tag string")
+    assert tuple(metrics.pair_scores(lines, tags).first()) == (4, 1, 2, 2, 0.75)
+
+
+def test_stutter_keeps_bases(spark):
+    rows = spark.createDataFrame([(0, k, 0, "ACGT" * 10) for k in range(3)], "file_id int, pos int, copy int, seq string")
+    assert all(r["read"] == "" for r in simulate.with_stutter(rows, {b: {"i": 0.0, "s": 0.0} for b in "ACGT"}, 3).collect())
 
 
 def test_drift_clusters_follow_the_truth(spark):

@@ -136,3 +136,24 @@ def secrets(text):
         if len(m.group()) >= 12 and re.search("[0-9]", m.group()) and not any(a < m.end() and m.start() < b for a, b, _ in taken):
             out.append((*m.span(), "long"))
     return out
+
+
+def packed_bins(lengths, capacity):
+    """Best-two-fit over a list of lengths, a bin at a time: largest first, then the smallest gives way to two that fill its gap better."""
+    left, out = sorted(lengths), []
+    while left:
+        rest, gap, used = list(left), capacity, []
+        while fit := [x for x in rest if x <= gap]:
+            rest.remove(fit[-1])
+            used.append(fit[-1])
+            gap -= fit[-1]
+        small = min(used)
+        pairs = [(a + b, -a) for k, a in enumerate(rest) for b in rest[k + 1 :] if small < a + b <= gap + small] if gap else []
+        if pairs:
+            both, a = max(pairs)
+            used.remove(small)
+            used += [-a, both + a]
+        for x in used:
+            left.remove(x)
+        out.append(sorted(used, reverse=True))
+    return sorted(out)

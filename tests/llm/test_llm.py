@@ -672,6 +672,23 @@ def test_packing_odd_rows(spark, docs, empty):
     assert len(rows) > len(TEXTS) and packing.packed(empty).count() == 0
 
 
+def test_plans_against_one_bin_at_a_time():
+    rng = random.Random(3)
+    for _ in range(60):
+        capacity = rng.choice([10, 30, 100])
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 60))]
+        plan = packing.best_two_fit({n: lengths.count(n) for n in set(lengths)}, capacity)
+        assert sorted([n for n, k in used for _ in range(k)] for times, used in plan for _ in range(times)) == brute.packed_bins(lengths, capacity)
+
+
+def test_packing_query_against_one_bin_at_a_time(spark):
+    bins = {}
+    for r in QUERIES["op9_packing"](spark, SF).collect():
+        bins.setdefault(r["sequence_id"], []).append(r["length"])
+    got = sorted(sorted(b, reverse=True) for b in bins.values())
+    assert got == brute.packed_bins([n for b in got for n in b], 2048)
+
+
 def test_packing_keeps_other_columns(spark, docs):
     pieces = packing.tokenise(docs).drop("ids").withColumns({"rank": F.lit("mine"), "offset": F.lit("gone"), "place": F.lit(3)}).persist()
     out = packing.pack(pieces)
@@ -777,3 +794,33 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)}
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# all operators on odd tables
+
+CLASHES = "hit n_hit n_words items term pos before around w l t h c found base spans email card key slot keep_id group_size kept piece start length offset sequence_id place node bands n_grams label score secret value vkey kind near words held_out lang_pred rejected tokens docs counts bucket tokenizer home unit n k __id".split()
+ODD = {
+    "op1": lambda s, d: decontam.contamination(d, s.createDataFrame(ITEMS, "item_id long, text string")),
+    "op3": lambda s, d: langid.language_of(d),
+    "op4": lambda s, d: secrets.scan(d),
+    "op5": lambda s, d: pii.spans(d),
+    "op7": lambda s, d: exact_dedup.exact_groups(d),
+    "op9": lambda s, d: packing.packed(d),
+    "op10": lambda s, d: near_dedup.jaccard_classes(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ODD))
+def test_odd_tables(spark, name):
+    """Nulls, empty and very long texts, ties and repeated rows are in TEXTS; here with clashing columns, all of it twice, and nothing."""
+    plain = spark.createDataFrame([(i, t, None if k % 3 else "en", None) for k, (i, t) in enumerate(TEXTS)], "doc_id long, text string, lang string, source string")
+    odd = plain.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    run = lambda d: ODD[name](spark, d)
+    once, again = run(plain).collect(), run(odd).collect()
+    assert sorted(map(key, again)) == sorted(map(key, once)) or name == "op9"
+    assert len(again) == len(once) and (name in ("op4", "op9") or len(once) == len(TEXTS))
+    assert run(plain.unionByName(plain)).count() == 2 * len(once)
+    none = run(plain.limit(0))
+    assert none.count() == 0 and none.columns == run(plain).columns
+    nulls = spark.createDataFrame([(None, None, None, None)] * 3, plain.schema)
+    assert run(nulls).count() == (0 if name == "op4" else 3)

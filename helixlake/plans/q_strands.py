@@ -213,7 +213,18 @@ def clu5_clean_reads(spark, sf_dir):
     return cluster.clean_reads(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), F.col("text").alias("seq")), 1000)
 
 
-@query()
+def _linked(n: int, parts: str, rows: str) -> str:
+    """CTEs of one step of the cascade: kinds of segments, near pairs of them, edges between reads, and reads linked so far."""
+    return f"""s{n} AS (SELECT DISTINCT read_id, part, segment FROM seg WHERE part IN ({parts}) AND {rows}), k{n} AS (SELECT part, segment, min(read_id) AS first FROM s{n} GROUP BY 1, 2),
+e{n} AS (SELECT read_id AS u, first AS v FROM s{n} JOIN k{n} USING (part, segment) WHERE read_id <> first UNION SELECT a.first, b.first FROM k{n} a JOIN k{n} b ON a.part = b.part AND a.segment < b.segment AND length(a.segment) = length(b.segment) AND hamming(a.segment, b.segment) <= 2 WHERE a.first <> b.first),
+l{n} AS (SELECT u AS read_id FROM e{n} UNION SELECT v FROM e{n}{f' UNION SELECT read_id FROM l{n - 1}' if n > 1 else ''})"""
+
+
+@query(f"""WITH RECURSIVE {SMALL_READS}, seg AS (SELECT read_id, 'head' AS part, substr(seq, 1, 20) AS segment FROM reads UNION ALL SELECT read_id, 'tail', substr(seq, 81, 20) FROM reads UNION ALL SELECT read_id, part, segment FROM ({_MID})),
+{_linked(1, "'head'", "true")}, {_linked(2, "'tail'", "read_id NOT IN (SELECT read_id FROM l1)")}, {_linked(3, "'mid_c', 'mid_d'", "read_id NOT IN (SELECT read_id FROM l2)")},
+e AS (SELECT u, v FROM e1 UNION SELECT u, v FROM e2 UNION SELECT u, v FROM e3), sym AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+reach AS (SELECT u, v FROM sym UNION SELECT r.u, s.v FROM reach r JOIN sym s ON r.v = s.u)
+SELECT read_id, least(read_id, coalesce((SELECT min(v) FROM reach WHERE u = read_id), read_id)) AS core FROM reads""")
 def clu6_drift_clusters(spark, sf_dir):
     return cluster.drift_clusters(small_reads(spark, sf_dir))
 
@@ -401,6 +412,17 @@ def clu32_sketch_edges(spark, sf_dir):
     return cluster.sketch_edges(cluster.sketches(small_reads(spark, sf_dir)))
 
 
+@query(f"""WITH {SMALL_READS}, w AS ({_SLOTS}), x AS (SELECT * FROM w WHERE length(w) = 14), mid AS (SELECT DISTINCT slot, w AS near FROM x WHERE drift = 2),
+near AS (SELECT e.slot, e.w, near FROM (SELECT DISTINCT slot, w FROM x) e JOIN mid m ON e.slot = m.slot AND hamming(e.w, near) <= 1),
+mine AS (SELECT read_id, slot, w AS near FROM x WHERE drift = 2), un AS (SELECT DISTINCT read_id, slot, near FROM x JOIN near USING (slot, w)),
+vk AS (SELECT a.slot AS s1, a.near AS n1, b.slot AS s2, b.near AS n2, min(a.read_id) AS v FROM mine a JOIN mine b ON a.read_id = b.read_id AND a.slot < b.slot GROUP BY 1, 2, 3, 4),
+uk AS (SELECT a.read_id AS u, a.slot AS s1, a.near AS n1, b.slot AS s2, b.near AS n2 FROM un a JOIN un b ON a.read_id = b.read_id AND a.slot < b.slot)
+SELECT DISTINCT u, v FROM uk JOIN vk USING (s1, n1, s2, n2) WHERE u <> v""")
+def clu32_sketch_links(spark, sf_dir):
+    """Links of the fuzzy clustering: codes equal or one base apart."""
+    return cluster.sketch_links(cluster.sketches(small_reads(spark, sf_dir)))
+
+
 @query(f"WITH {STRANDS} SELECT file_id AS centre, count(*) - 1 AS members, count(*) > 5 AS good FROM strands GROUP BY 1")
 def clu33_good_and_bad(spark, sf_dir):
     """The strands of a document as a cluster: some have few."""

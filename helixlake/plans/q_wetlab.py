@@ -75,7 +75,12 @@ def prm8_revcomp(spark, sf_dir):
     return strands(spark, sf_dir).select("file_id", "pos", seqfn.revcomp("seq").alias("rc"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {GOOD}, one AS (SELECT min(id) AS id, seq FROM good GROUP BY seq),
+k AS (SELECT DISTINCT id, substr(seq, p, 10) AS w FROM (SELECT id, seq, unnest(range(1, 12)) AS p FROM one)),
+bad AS (SELECT a.id AS id, b.id AS other FROM one a JOIN one b ON b.id < a.id AND hamming(a.seq, b.seq) < 6 UNION SELECT x.id, y.id FROM k x JOIN k y ON y.w = {RC.format('x.w')} AND y.id < x.id),
+g AS (SELECT id, seq, row_number() OVER (ORDER BY id) AS r, coalesce((SELECT list(other) FROM bad WHERE bad.id = one.id), []) AS others FROM one),
+pick AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS chosen UNION ALL SELECT g.r, CASE WHEN len(chosen) < 5 AND NOT list_has_any(chosen, others) THEN list_append(chosen, g.id) ELSE chosen END FROM pick JOIN g ON g.r = pick.r + 1)
+SELECT id, seq FROM one WHERE id IN (SELECT unnest(chosen) FROM pick WHERE r = (SELECT max(r) FROM pick))""")
 def prm9_design(spark, sf_dir):
     return primers.design(spark, P, N)
 

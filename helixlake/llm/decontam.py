@@ -25,6 +25,8 @@ from helixlake.llm.words import case_key, lowered, raw_words, words
 
 WINDOW, SLACK = 10, 5
 KEY = ["doc_id", "text_key"]
+#: Stands behind the last word of each document in the index, so that its position is their number. No word has this character.
+END = "\x00"
 AT = [*KEY, "item_key", "shift"]
 
 
@@ -77,13 +79,15 @@ def anchor_pairs(items: DataFrame) -> DataFrame:
 
 def build_index(docs: DataFrame, pairs: DataFrame, reach: int = WINDOW - 1) -> DataFrame:
     """Stored postings of anchor terms: term, KEY, pos, before (how many of the words around precede it) and
-    around, both null where the term is no window's rarest.
+    around, both null where the term is no window's rarest. END has a posting in each document.
 
     Terms too many to broadcast meet the words by shuffle, which then carries positions alone; the words around
     are cut afterwards, from each document's one row."""
     rarest = pairs.select(F.col("first_term").alias("term"), F.lit(True).alias("rarest"))
     others = pairs.where("second_term IS NOT NULL").select(F.col("second_term").alias("term"), F.lit(False).alias("rarest"))
+    others = others.union(docs.sparkSession.createDataFrame([(END, False)], others.schema))
     terms = durable(rarest.union(others).groupBy("term").agg(F.max("rarest").alias("rarest")).withColumn("term_key", case_key("term")), "anchor-terms")
+    docs = docs.withColumn("doc_words", F.concat("doc_words", F.array(F.lit(END))))
     before = F.least(F.col("pos"), F.lit(reach))
     around = F.slice("doc_words", F.col("pos") - before + 1, before + 1 + reach)  # lower-cased later: a lambda here would write out doc_words for every posting
     posting = ["term", *KEY, "pos", F.when(F.col("rarest"), before).alias("before"), F.when(F.col("rarest"), around).alias("around")]
@@ -181,7 +185,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     named = lambda df, k: df.withColumnsRenamed({c: f"{k}_{c}" for c in KEY})
     near = durable(near, "near")
     hits = durable(near.join(named(exact, "hit"), same("hit"), "left").drop("hit_doc_id", "hit_text_key"), "hits")  # an exact occurrence is a near one, too
-    joined = join_checked(index.docs.select(*KEY, F.size("doc_words").cast("long").alias("n_words")), named(hits, "hit"), same("hit"), "left")
+    sizes = index.postings.where(F.col("term") == END).select(*KEY, F.col("pos").cast("long").alias("n_words"))
+    joined = join_checked(sizes, named(hits, "hit"), same("hit"), "left")
     none = F.lit(0).cast("long")
     items = F.coalesce("items", F.array().cast(hits.schema["items"].dataType)).alias("items")
     return joined.select(*KEY, "n_words", F.coalesce("n_hit", none).alias("n_hit"), items, F.coalesce("n_near", none).alias("n_near"))

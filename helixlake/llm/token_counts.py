@@ -29,7 +29,7 @@ from helixlake.llm.words import raw_words
 
 GROUP = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, source string, lang string, tokenizer string, tokens long, docs long"
-BUCKETS = 64
+BUCKETS = 32
 ROLLUP = "source string, lang string, tokenizer string, docs long, tokens long"
 #: Tokenizer versions by name: a Column builder, or the file of a public tokenizer.
 TOKENIZERS: dict[str, Callable[[Column], Column] | str] = {
@@ -133,10 +133,11 @@ class Rollup:
         part = {"name": uuid.uuid4().hex, "batch": batch}
         at = f"{self.folder}/parts/{part['name']}"
         rows = signed.select("doc_id", *GROUP, "tokens", "docs", bucket_of("doc_id").alias("bucket"))
-        rows.repartition("bucket").sortWithinPartitions("bucket", "doc_id").write.partitionBy("bucket").parquet(f"{at}/ledger")
+        # By ranges: a task has few buckets, and a bucket as many tasks as its size asks for.
+        rows.repartitionByRange("bucket", "doc_id").sortWithinPartitions("bucket", "doc_id").write.partitionBy("bucket").parquet(f"{at}/ledger")
         if delta is None:
             delta = self._read([part], "ledger", f"{LEDGER}, bucket int").groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        delta.write.parquet(f"{at}/rollup")
+        delta.coalesce(8).write.parquet(f"{at}/rollup")
         return part
 
     def apply(self, batch: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:

@@ -62,12 +62,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
     if not share:
         return {}
     bounds = docs.sparkSession.createDataFrame([(r["l"], 1_300_000 * SAMPLE_DOCS / r["short"] if r["short"] else 1e6, max(SAMPLE_CHARS, r["least"])) for r in share], "l string, below double, most int")
+    drawn = rows.join(F.broadcast(bounds), "l").where("h < below AND c <= most").select("l", "h", "t").distinct()  # rows that repeat share a hash
     found: dict[str, list[tuple]] = {}
-    for r in rows.join(F.broadcast(bounds), "l").where("h < below AND c <= most").select("l", "h", "t").toLocalIterator():
-        texts = found.setdefault(r["l"], [])
-        texts.append((r["h"], r["t"]))
-        if len(texts) > 2 * SAMPLE_DOCS:  # many texts may share a hash
-            texts[:] = sorted(texts)[:SAMPLE_DOCS]
+    for r in drawn.collect():
+        found.setdefault(r["l"], []).append((r["h"], r["t"]))
     weight = {r["l"]: r["n"] for r in share}
     out = {}
     for name, texts in sorted(found.items(), key=lambda x: (-weight[x[0]], x[0])):

@@ -50,6 +50,15 @@ WIDER = {
     "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES.replace(' ', '|')})\.?\x20\p{{Lu}}\p{{Ll}}++|(?:{FIRST_NAMES.replace(' ', '|')})\x20\p{{Lu}}\p{{Ll}}++)(?:[\x20-]\p{{Lu}}\p{{Ll}}++)?+(?!\p{{L}})",
     "address": r"(?<![\p{L}0-9])(?:[0-9]{1,5}\x20(?:\p{Lu}\p{Ll}++\x20){1,3}(?:Street|Avenue|Road|Lane|Drive|Boulevard|Square)|\p{Lu}\p{Ll}+(?:straße|strasse|gasse|allee|platz|weg)\x20[0-9]{1,5}|[0-9]{1,5},?\x20(?:rue|avenue|boulevard|place|quai)(?:\x20\p{L}++){1,4}|(?:Calle|Avenida|Plaza|Paseo)(?:\x20\p{L}++){1,4}\x20[0-9]{1,5})(?![\p{L}0-9])",
 }
+#: What a text must hold, at the least, for a wider pattern to be looked for.
+WIDER_NEEDS = {
+    "email": r"[\[({]at[\])}]",
+    "phone": r"[0-9][\x20.-][0-9]{4}",
+    "ssn": r"[0-9]-[0-9]{2}-[0-9]{4}",
+    "iban": r"[A-Z]{2}[0-9]{2}",
+    "name": rf"\b(?:{TITLES.replace(' ', '|')}|{FIRST_NAMES.replace(' ', '|')})\b",
+    "address": r"[0-9]{1,5},?\x20[\p{Lu}rabpq]|\p{Ll}\x20[0-9]{1,5}",
+}
 #: Digits that a refused match of a base pattern must have to be a candidate.
 REFUSED = {"ip": (4, 40), "card": (12, 19), "phone": (7, 9)}
 NEAR_WORDS = r"(?i)(?<!\p{L})(e-?mail|mail|courriel|correo|contact|kontakt|contacto|write|reach|call|phone|tel|telefon|téléphone|teléfono|mobile|handy|portable|móvil|fax|cell|whatsapp|card|karte|carte|tarjeta|visa|ssn|social security|iban|account|konto|compte|cuenta|bank|banque|banco|name|nom|nombre|address|adresse|anschrift|dirección|lives|wohnt|habite|vive)(?!\p{L})"
@@ -235,9 +244,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     rows = rows.select("doc_id", "text", *[matches(F.col("text"), k).alias(k) for k in BASE_KINDS])
     base = F.concat(*[described(F.filter(F.col(k), _passes(k)), k, True) for k in BASE_KINDS])
     wide = [described(F.filter(F.col(k), _refused(k, a, b)), k, False, True) for k, (a, b) in REFUSED.items()]
-    maybe = F.col("text").rlike(r"[0-9]{3}|[\[({]at[\])}]|\p{L}\x20[0-9]|[0-9],?\x20\p{L}|\p{Lu}\p{Ll}+\.?\x20\p{Lu}")
     none = F.expr(f"cast(array() as array<{_FOUND}>)")
-    wide += [F.when(maybe, described(F.filter(finds(F.col("text"), p), possible(k)), k, False)).otherwise(none) for k, p in WIDER.items()]
+    wide += [F.when(F.col("text").rlike(WIDER_NEEDS[k]), described(F.filter(finds(F.col("text"), p), possible(k)), k, False)).otherwise(none) for k, p in WIDER.items()]
     rows = rows.select("doc_id", "text", base.alias("base"), F.concat(*wide).alias("wide"))
     return rows.select("doc_id", "text", F.when(F.size("wide") > 0, F.concat("base", apart_from(F.col("base"), F.col("wide")))).otherwise(F.col("base")).alias("found"))
 

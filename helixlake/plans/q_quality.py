@@ -274,10 +274,10 @@ def met12_accuracy(spark, sf_dir):
     return spark.createDataFrame([(round(value, 9),)], "accuracy double")
 
 
-@query(f"""WITH {READS}, d AS (SELECT a.file_id, a.pos, sum(levenshtein(a.seq, b.seq)) AS d FROM reads a JOIN reads b ON a.file_id = b.file_id AND a.pos = b.pos AND a.copy < b.copy GROUP BY 1, 2)
+@query(f"""WITH {SMALL_READS}, d AS (SELECT a.file_id, a.pos, sum(levenshtein(a.seq, b.seq)) AS d FROM reads a JOIN reads b ON a.file_id = b.file_id AND a.pos = b.pos AND a.copy < b.copy GROUP BY 1, 2)
 SELECT file_id || '-' || pos AS cluster, round(d / 10.0::DOUBLE, 9) AS distance FROM d""")
 def met13_intra_distance(spark, sf_dir):
-    rows = reads(spark, sf_dir).select(F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string")).alias("cluster"), F.col("copy").alias("member"), "seq")
+    rows = small_reads(spark, sf_dir).select(F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string")).alias("cluster"), F.col("copy").alias("member"), "seq")
     return metrics.intra_distance(rows).select("cluster", F.round("distance", 9).alias("distance"))
 
 

@@ -206,38 +206,27 @@ def _only(kind: str) -> tuple[dict, dict]:
     return {"s": 0.05}, {b: {kind: 1.0, "i": 1.0} for b in "ACGT"}
 
 
-def _folded(kind: str) -> str:
-    """The fold in SQL for one kind of error, at strand level: each base's outcome depends on its own draw
-    and on the output's length so far, so it is a recursion over positions."""
-    put = {"d": "''", "pi": "CASE WHEN u3 < 0.25 THEN 'A' WHEN u3 < 0.5 THEN 'T' WHEN u3 < 0.75 THEN 'G' ELSE 'C' END || b", "s": "substr(CASE b WHEN 'A' THEN 'TGC' WHEN 'T' THEN 'AGC' WHEN 'G' THEN 'ATC' ELSE 'ATG' END, floor(u3 * 3)::INT + 1, 1)"}[kind]
-    u = lambda k: f"('0x' || substr(m, {8 * k + 1}, 8))::BIGINT / 4294967296.0::DOUBLE"
-    return f"""WITH RECURSIVE {ITEMS}, f AS (SELECT file_id, pos, seq, 0 AS j, '' AS o FROM items UNION ALL
-SELECT file_id, pos, seq, j + 1, o || CASE WHEN u1 < CASE WHEN 3 * length(o) <= length(o) + length(seq) - j THEN 0.075 ELSE 0.0375 END THEN {put} ELSE b END
-FROM (SELECT *, {u(0)} AS u1, {u(2)} AS u3 FROM (SELECT *, substr(seq, j + 1, 1) AS b, md5(concat_ws('|', '11', {FP}, '0', (j + 1)::VARCHAR)) AS m FROM f WHERE j < length(seq))))
-SELECT file_id, pos, o AS read FROM f WHERE j = length(seq)"""
-
-
-def _single(spark, sf_dir, kind, of=items):
-    rows = of(spark, sf_dir).withColumn("copy", F.lit(0))
+def _single(spark, sf_dir, kind):
+    rows = strands(spark, sf_dir).withColumn("copy", F.lit(0))
     return simulate.with_errors(rows, *_only(kind), 11).select("file_id", "pos", "read")
 
 
-@query(_folded("d"))
+@query(_walk("file_id, pos", 1, *_only("d"), 11))
 def sim7a_deletions(spark, sf_dir):
     return _single(spark, sf_dir, "d")
 
 
 @query(_walk("file_id, pos", 1, *_only("ld"), 11))
 def sim7b_long_deletions(spark, sf_dir):
-    return _single(spark, sf_dir, "ld", strands)
+    return _single(spark, sf_dir, "ld")
 
 
-@query(_folded("pi"))
+@query(_walk("file_id, pos", 1, *_only("pi"), 11))
 def sim7c_insertions(spark, sf_dir):
     return _single(spark, sf_dir, "pi")
 
 
-@query(_folded("s"))
+@query(_walk("file_id, pos", 1, *_only("s"), 11))
 def sim7d_substitutions(spark, sf_dir):
     return _single(spark, sf_dir, "s")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import decontam, exact_dedup, langid, near_dedup, packing, pii, secrets, token_counts, url_filter, warc
+from helixlake.llm import ann, decontam, exact_dedup, hard_negatives, langid, near_dedup, packing, pii, prefix_trie, secrets, token_counts, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,7 +59,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_language, op4_secrets, op5_pii, op6_url_filter, op7_exact_dedup, op8_warc, op9_packing, op10_jaccard_join)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+_ALL = (
+    op1_decontamination, op2_token_counts, op3_language, op4_secrets, op5_pii, op6_url_filter, op7_exact_dedup, op8_warc, op9_packing, op10_jaccard_join,
+    op11_hard_negatives, op12_nearest, op13_prefix_trie,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -132,4 +149,27 @@ SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
   CASE WHEN page_id = max(page_id) OVER g THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
 FROM b32 WINDOW g AS (PARTITION BY x, strlen(body))""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id, e.label = a.label AS same, list_inner_product(a.x, e.x)::BIGINT AS score FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
+    "op13_prefix_trie": r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS own, conv_id - conv_id % 20 AS base,
+  xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: list_transform(range(8), lambda k: ((ascii(s) >> k::INT) & 1)::BIGINT)))),
+                              lambda x, b: xor(x >> 1, CASE WHEN (x & 1) <> b THEN 3988292384 ELSE 0 END))) % 4 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, i AS d, role, text FROM c JOIN t ON t.conv_id = base AND i <= h
+      UNION ALL SELECT c.conv_id, i - c.h + least(c.h, coalesce(b.own, 0)), role, text FROM c JOIN t USING (conv_id) LEFT JOIN c b ON b.conv_id = c.base WHERE i > c.h),
+k AS (SELECT conv_id, d, text, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY d) AS key FROM r UNION ALL SELECT conv_id, 0, '', '' FROM c),
+g AS (SELECT *, min(conv_id) OVER w AS rep, count(*) OVER w AS n, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM k WINDOW w AS (PARTITION BY d, key)),
+n AS (SELECT g.conv_id, g.d, g.n, p.rep AS parent, (g.n - 1) * CASE WHEN g.d > 0 THEN len(regexp_extract_all(g.text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved
+      FROM g LEFT JOIN g p ON p.conv_id = g.conv_id AND p.d = g.d - 1 WHERE g.conv_id = g.rep),
+ch AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS c FROM n WHERE d > 0 GROUP BY ALL),
+s AS (SELECT a.rep AS conv_id, a.d, sum(saved)::BIGINT AS saved, count(*) FILTER (ch.c IS NULL) AS leaves FROM n LEFT JOIN ch USING (conv_id, d) JOIN g a ON a.conv_id = n.conv_id AND a.d <= n.d GROUP BY ALL),
+e AS (SELECT rep AS conv_id, d, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM g WHERE ends GROUP BY ALL)
+SELECT conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(c, 0) AS n_children, leaves AS n_leaves, s.saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN s USING (conv_id, d) LEFT JOIN ch USING (conv_id, d) LEFT JOIN e USING (conv_id, d)""",
 }

@@ -7,7 +7,8 @@ unless the measure is a distance between members.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -46,47 +47,108 @@ def contingency(pairs: DataFrame, *by: str) -> DataFrame:
     return pairs.groupBy(*by, "t", "p").agg(F.count("*").alias("n"))
 
 
-def _log_factorial(n: Column) -> Column:
-    """ln(n!) from Stirling's series, shifted by eight so that it is exact to rounding."""
-    x = n.cast("double") + 1
-    y = x + 8
-    shift = F.ln(x)
-    for k in range(1, 8):
-        shift = shift + F.ln(x + k)
-    series = (y - 0.5) * F.ln(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    return series - shift
+def _stirling_error(n: np.ndarray) -> np.ndarray:
+    """ln(n!) less Stirling's formula for it, for n >= 0 (and 0 for n = 0, whose factorial the formula isn't used for)."""
+    small = np.array([math.lgamma(k + 1) - (k + 0.5) * math.log(k) + k - 0.5 * math.log(2 * math.pi) if k else 0.0 for k in range(16)])
+    x = np.maximum(n, 1.0)
+    m = x * x
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / m) / m) / m) / m) / x
+    return np.where(n < 16, small[np.minimum(n, 15).astype(int)], series)
+
+
+def _deviance(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """x ln(x / mean) + mean - x for x > 0, without cancellation where x is near the mean."""
+    v = (x - mean) / (x + mean)
+    power, series = 2 * x * v, (x - mean) * v
+    for j in range(1, 11):
+        power = power * v * v
+        series = series + power / (2 * j + 1)
+    return np.where(np.abs(v) < 0.1, series, x * np.log(x / mean) + mean - x)
+
+
+def _log_binomial(x: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """ln of the probability of x successes of n by the saddle-point expansion (Loader 2000): exact to rounding at any size."""
+    with np.errstate(all="ignore"):
+        inner = _stirling_error(n) - _stirling_error(x) - _stirling_error(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q) + 0.5 * np.log(n / (2 * math.pi * x * (n - x)))
+        none, every = -_deviance(n, n * q) - n * p, -_deviance(n, n * p) - n * q
+    return np.select([n == 0, x == 0, x == n], [0.0, none, every], inner)
+
+
+def hypergeometric(k: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The probability that b draws of n have k of the a marked ones; all four are doubles of whole numbers."""
+    with np.errstate(all="ignore"):
+        p, q = b / n, (n - b) / n
+        spread = np.exp(_log_binomial(k, a, p, q) + _log_binomial(b - k, n - a, p, q) - _log_binomial(b, n, p, q))
+    return np.where((a == n) | (b == n), (k == np.minimum(a, b)).astype(float), spread)
+
+
+#: A sum over counts leaves out what lies this many standard deviations, and so many places, from the mean; counts of a range.
+SIGMAS, PLACES, RANGE = 12, 60, 65_536
+
+
+def likely_counts(cells: DataFrame) -> DataFrame:
+    """cells (a, b, total, doubles of whole numbers) with lo and hi, ranges of the counts from 1 that a and b can share by chance.
+
+    By Bernstein's inequality, which holds for draws without replacement too, what is left out has less than 1e-30 of the probability.
+    Ranges are dealt to tasks, so a pair of large sizes is no one task's work, and no count is a row."""
+    a, b, n = (F.col(c) for c in ("a", "b", "total"))
+    mean = a * b / n
+    reach = SIGMAS * F.sqrt(mean * (n - a) / n * (n - b) / F.greatest(n - 1, F.lit(1.0))) + PLACES
+    least = F.greatest(F.lit(1.0), a + b - n, F.floor(mean - reach).cast("double")).cast("long")
+    most = F.least(a, b, F.ceil(mean + reach).cast("double")).cast("long")
+    ranged = cells.withColumns({"__lo": least, "__hi": most}).where("__lo <= __hi")
+    starts = ranged.withColumn("lo", F.explode(F.expr(f"sequence(__lo, __hi, {RANGE})")))
+    return starts.withColumn("hi", F.least("__hi", F.col("lo") + RANGE - 1)).drop("__lo", "__hi").repartition(F.xxhash64("a", "b", "lo"))
+
+
+def shared_by_chance(ranges: DataFrame, by: list[str], term: Callable) -> DataFrame:
+    """by, value: of each range (a, b, total, lo, hi) the sum of term(k, a, b, total) times k's probability."""
+    kinds = ", ".join(f"`{c}` {ranges.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(batches):
+        for batch in batches:
+            a, b, n, lo, hi = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("a", "b", "total", "lo", "hi"))
+            sizes, out = (hi - lo + 1).astype(np.int64), np.zeros(len(lo))
+            slab = np.cumsum(sizes) // (8 * RANGE)  # ranges whose counts are worked on together
+            for s in np.unique(slab):
+                at = np.flatnonzero(slab == s)
+                row = np.repeat(at, sizes[at])
+                k = lo[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes[at]) - sizes[at], sizes[at])
+                out += np.bincount(row, term(k, a[row], b[row], n[row]) * hypergeometric(k, a[row], b[row], n[row]), minlength=len(lo))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in by], pa.array(out)], names=[*by, "value"])
+
+    return ranges.select(*by, "a", "b", "total", "lo", "hi").mapInArrow(run, f"{kinds}, value double")
 
 
 def _marginals(table: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    return table.groupBy(*by, "t").agg(F.sum("n").alias("a")), table.groupBy(*by, "p").agg(F.sum("n").alias("b"))
+    """Sums by label, as doubles: products of two don't overflow, and whole numbers below 2 ** 53 are exact."""
+    return table.groupBy(*by, "t").agg(F.sum("n").cast("double").alias("a")), table.groupBy(*by, "p").agg(F.sum("n").cast("double").alias("b"))
 
 
 def agreement(table: DataFrame, *by: str, expected: bool = True) -> DataFrame:
     """One row per group with n, mi, h_t, h_p, nmi, ami, ari, fmi, homogeneity, completeness, v_measure, purity.
 
     ami needs the expected mutual information: a sum over pairs of distinct marginal sizes, weighted by
-    how many labels have them. Where both sides have one cluster, or there is nothing to disagree on, the
+    how many labels have them, and over the counts that they can share, cut where the rest is below rounding. Where both sides have one cluster, or there is nothing to disagree on, the
     scores are 1. expected=False leaves ami out."""
     by = list(by) or ["__all"]
     if by == ["__all"]:
         table = table.withColumn("__all", F.lit(0))
     rows, cols = _marginals(table, by)
-    total = table.groupBy(*by).agg(F.sum("n").alias("total"))
+    total = table.groupBy(*by).agg(F.sum("n").cast("double").alias("total"))
+    table = table.withColumn("n", F.col("n").cast("double"))
     full = table.join(rows, [*by, "t"]).join(cols, [*by, "p"]).join(total, by)
     choose = lambda c: F.col(c) * (F.col(c) - 1) / 2.0
-    joint = full.groupBy(*by).agg(F.max("total").alias("total"), F.sum(F.col("n") / F.col("total") * F.ln(F.col("total") * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"), F.sum(choose("n")).alias("s"))
+    joint = full.groupBy(*by).agg(F.max("total").alias("total"), F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") / F.col("a") * (F.col("total") / F.col("b")))).alias("mi"), F.sum(choose("n")).alias("s"))
     side = lambda m, c, h, q: m.join(total, by).groupBy(*by).agg((-F.sum(F.col(c) / F.col("total") * F.ln(F.col(c) / F.col("total")))).alias(h), F.sum(choose(c)).alias(q), F.count("*").alias(f"k_{h}"))
     tops = table.groupBy(*by, "p").agg(F.max("n").alias("top")).groupBy(*by).agg(F.sum("top").alias("tops"))
     out = joint.join(side(rows, "a", "h_t", "qa"), by).join(side(cols, "b", "h_p", "qb"), by).join(tops, by)
     if expected:
         sizes_a = rows.groupBy(*by, "a").agg(F.count("*").alias("wa"))
         sizes_b = cols.groupBy(*by, "b").agg(F.count("*").alias("wb"))
-        cells = sizes_a.join(sizes_b, by).join(total, by)
-        cells = cells.withColumn("k", F.explode(F.expr("sequence(greatest(1, a + b - total), least(a, b))")))
-        a, b, n, k = (F.col(c) for c in ("a", "b", "total", "k"))
-        lf = _log_factorial
-        weight = F.exp(lf(a) + lf(b) + lf(n - a) + lf(n - b) - lf(n) - lf(k) - lf(a - k) - lf(b - k) - lf(n - a - b + k))
-        emi = cells.groupBy(*by).agg(F.sum(F.col("wa") * F.col("wb") * k / n * F.ln(n * k / (a * b)) * weight).alias("emi"))
+        cells = likely_counts(sizes_a.join(sizes_b, by).join(total, by))
+        sums = shared_by_chance(cells, [*by, "wa", "wb"], lambda k, a, b, n: k / n * np.log(k / a * (n / b)))
+        emi = sums.groupBy(*by).agg(F.sum(F.col("wa") * F.col("wb") * F.col("value")).alias("emi"))
         out = out.join(emi, by)
     mean = (F.col("h_t") + F.col("h_p")) / 2
     ratio = lambda x, y, other=1.0: F.when(F.abs(y) > 1e-15, x / y).otherwise(other)
@@ -96,7 +158,7 @@ def agreement(table: DataFrame, *by: str, expected: bool = True) -> DataFrame:
     trivial = (F.col("k_h_t") == 1) & (F.col("k_h_p") == 1)
     keep = [F.col(c) for c in by if c != "__all"]
     return out.select(
-        *keep, F.col("total").alias("n"), "mi", "h_t", "h_p",
+        *keep, F.col("total").cast("long").alias("n"), "mi", "h_t", "h_p",
         F.when(trivial, 1.0).otherwise(ratio(F.col("mi"), mean)).alias("nmi"),
         *([F.when(trivial, 1.0).otherwise(ratio(F.col("mi") - F.col("emi"), mean - F.col("emi"))).alias("ami")] if expected else []),
         ratio(F.col("s") - chance, (F.col("qa") + F.col("qb")) / 2 - chance).alias("ari"),
@@ -298,7 +360,7 @@ def mean_rate(rates: DataFrame) -> DataFrame:
 
 
 def rounded_report(scores: DataFrame, *names: str, digits: int = 3) -> DataFrame:
-    """Scores by pred_file as columnar JSON, half-even to `digits`. One row per file is gathered."""
-    rows = scores.agg(F.array_sort(F.collect_list(F.struct("pred_file", *[F.bround(n, digits).alias(n) for n in names]))).alias("r"))
+    """Scores by pred_file as columnar JSON, half-even to `digits`; a small negative score is 0.0 and not -0.0. One row per file is gathered."""
+    rows = scores.agg(F.array_sort(F.collect_list(F.struct("pred_file", *[(F.bround(n, digits) + 0.0).alias(n) for n in names]))).alias("r"))
     columns = [F.expr(f"transform(r, x -> x.{n})").alias(n) for n in ("pred_file", *names)]
     return rows.select(F.to_json(F.struct(*columns)).alias("report"))

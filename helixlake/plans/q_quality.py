@@ -347,7 +347,7 @@ def met20_metric_report(spark, sf_dir):
     return metric_scores(spark, sf_dir).select("pred_file", *[F.round(n, 6).alias(n) for n in SIX])
 
 
-@query(f"""WITH {REPORT}, l AS (SELECT list(pred_file ORDER BY pred_file) AS f, {', '.join(f"list(round_even({n}, 3)::VARCHAR ORDER BY pred_file) AS {n}" for n in SIX)} FROM six)
+@query(f"""WITH {REPORT}, l AS (SELECT list(pred_file ORDER BY pred_file) AS f, {', '.join(f"list((round_even({n}, 3) + 0.0)::VARCHAR ORDER BY pred_file) AS {n}" for n in SIX)} FROM six)
 SELECT '{{"pred_file":["' || array_to_string(f, '","') || '"]' || {' || '.join(f"""',"{n}":[' || array_to_string({n}, ',') || ']'""" for n in SIX)} || '}}' AS report FROM l""")
 def met20_report_json(spark, sf_dir):
     """The report in its published form: a JSON object of columns, rounded to three digits."""

@@ -59,6 +59,11 @@ def kmer_code(kmer: Column | str) -> Column:
     return F.when(k.rlike("^[ACGT]*$"), F.conv(F.reverse(F.translate(k, "ACGT", "0123")), 4, 10).cast("long")).otherwise(F.lit(-1).cast("long"))
 
 
+def kmer_of(code: Column | str, k: int) -> Column:
+    """Inverse of kmer_code for k-mers."""
+    return F.reverse(F.translate(F.lpad(F.conv(col(code).cast("string"), 10, 4), k, "0"), "0123", "ACGT"))
+
+
 def hamming(a: Column | str, b: Column | str) -> Column:
     """Positions that differ, over the shorter one's length."""
     pairs = F.zip_with(F.split(col(a), ""), F.split(col(b), ""), lambda x, y: (x.isNotNull() & y.isNotNull() & (x != y)).cast("int"))

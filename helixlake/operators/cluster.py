@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.durable import apart, durable
+from helixlake.durable import apart, durable, forget, join_checked
 from helixlake.functions import seqfn
 from helixlake.operators.components import connected
+from helixlake.operators.greedy import greedy_centres
 
 # --- segments with drift -------------------------------------------------------------------------
 
@@ -112,67 +116,66 @@ def segment_links(rows: DataFrame, most: int) -> DataFrame:
     return equal.unionByName(near)
 
 
-def _letters(seq: str, size: int) -> np.ndarray:
-    return np.frombuffer(seq[:size].ljust(size, "-").encode("latin1", "replace"), np.uint8)
+def _parts(seq: Column, size: int, middle: int, drift: int, centre: int) -> Column:
+    """Head, tail and both middles at each drift in one string of fixed width, short segments filled with -."""
+    n, plain = F.length(seq), F.regexp_replace(seq, r"[^\x00-\x7F]", "?")
+    cut = lambda start, k: F.rpad(F.substr(plain, F.greatest(start, F.lit(0)) + 1, F.lit(k)), k, "-")
+    middles = [cut(at, middle) for d in range(-drift, drift + 1) for at in (F.lit(centre - d), F.greatest(n - centre - 2, F.lit(0)) - d)]
+    return F.concat(cut(F.lit(0), size), cut(n - size, size), *middles)
 
 
-class _Cores:
-    """Segments of the cores so far, one matrix per part, with the nearest core to a segment."""
-
-    def __init__(self, widths: dict[str, int]):
-        self.widths, self.ids = widths, []
-        self.rows = {name: np.zeros((64, w), np.uint8) for name, w in widths.items()}
-
-    def add(self, core: object, parts: dict[str, str]) -> None:
-        n = len(self.ids)
-        for name, w in self.widths.items():
-            if n == len(self.rows[name]):
-                self.rows[name] = np.vstack([self.rows[name], np.zeros_like(self.rows[name])])
-            self.rows[name][n] = _letters(parts[name], w)
-        self.ids.append(core)
-
-    def nearest(self, name: str, segment: str) -> tuple[int, int]:
-        """(distance, number) of the first nearest core; a distance that none has if there are no cores."""
-        if not self.ids:
-            return 1_000, -1
-        distance = (self.rows[name][: len(self.ids)] != _letters(segment, self.widths[name])).sum(axis=1)
-        k = int(distance.argmin())
-        return int(distance[k]), k
-
-
-def sequential_cores(reads: DataFrame, prefix: int, size: int = 20, middle: int = 10, drift: int = 2, centre: int = 40, most: int = 3, new_core: int = 8) -> DataFrame:
-    """read_id, core, how in the order of read_id within each prefix of the sequence (partitioned clustering).
+def sequential_cores(reads: DataFrame, prefix: int = 0, size: int = 20, middle: int = 10, drift: int = 2, centre: int = 40, most: int = 3, new_core: int = 8) -> DataFrame:
+    """read_id, core, how in the order of read_id (which is unique) within each prefix of the sequence; prefix 0 takes all reads as one.
 
     A read joins the first core whose head is nearest, if fewer than `most` places differ (how `head`); else by tails
     (`tail`); else by the best of both middle segments over all drifts, cores being at drift 0 (`middle`). If no middle is
     nearer than `new_core`, it founds a core (`new`); otherwise it is dropped (core null, `dropped`).
 
-    One group per prefix, whose cores and reads one task holds: choose prefixes long enough for that."""
-    widths = {"head": size, "tail": size, "c": middle, "d": middle}
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, cores, out = rows.sort_values("read_id", kind="stable"), _Cores(widths), []
-        for read_id, seq in zip(rows["read_id"], rows["seq"], strict=True):
-            n = len(seq)
-            at = {"head": 0, "tail": max(0, n - size), "c": centre, "d": max(0, n - centre - 2)}
-            cut = lambda name, d=0, seq=seq, at=at: seq[max(0, at[name] - d) : max(0, at[name] - d) + widths[name]]
-            how, (distance, k) = "head", cores.nearest("head", cut("head"))
-            if distance >= most:
-                how, (distance, k) = "tail", cores.nearest("tail", cut("tail"))
-            if distance >= most:
-                tried = [cores.nearest(name, cut(name, d)) for d in range(-drift, drift + 1) for name in ("c", "d")]
-                how, (distance, k) = "middle", min(tried, key=lambda x: x[0])
-            if distance < most:
-                out.append((read_id, cores.ids[k], how))
-            elif distance >= new_core:
-                cores.add(read_id, {name: cut(name) for name in widths})
-                out.append((read_id, read_id, "new"))
-            else:
-                out.append((read_id, None, "dropped"))
-        return pd.DataFrame(out, columns=["read_id", "core", "how"])
-
+    Whoever founds a core has been compared with all cores before, so rounds find them one after another: the first read of each prefix that the
+    cores so far leave over is the next, reads before it are settled, and those behind it are compared with it alone. Cores
+    are few, since any two differ in most of their middles; reads are never gathered."""
     kind = reads.schema["read_id"].dataType.simpleString()
-    return reads.select("read_id", "seq", F.substring("seq", 1, prefix).alias("p")).groupBy("p").applyInPandas(run, f"read_id {kind}, core {kind}, how string")
+    names = ["read_id", "p", "parts", "head_d", "head_c", "tail_d", "tail_c", "mid_d", "mid_i", "mid_c"]
+    far, none = F.lit(1_000), F.lit(None).cast(kind)
+    rows = reads.select("read_id", F.substring("seq", 1, prefix).alias("p") if prefix else F.lit("").alias("p"), _parts(F.col("seq"), size, middle, drift, centre).alias("parts"), far.alias("head_d"), none.alias("head_c"), far.alias("tail_d"), none.alias("tail_c"), far.alias("mid_d"), F.lit(0).alias("mid_i"), none.alias("mid_c"))
+    width, tries = 2 * size + 2 * middle * (2 * drift + 1), 2 * (2 * drift + 1)
+    at_rest = 2 * size + 2 * middle * drift  # the middles at drift 0
+
+    def compare(batches):
+        for b in batches:
+            n = b.num_rows
+            mine, core = (np.frombuffer(b"".join(x.encode("latin1") for x in b.column(c).to_pylist()), np.uint8).reshape(n, width) for c in ("parts", "core_parts"))
+            off = lambda a, c, k: (mine[:, a : a + k] != core[:, c : c + k]).sum(axis=1)  # noqa: E731, B023
+            tried = np.stack([off(2 * size + middle * t, at_rest + middle * (t % 2), middle) for t in range(tries)]) if n else np.zeros((tries, 0), int)
+            found = {"head": (off(0, 0, size), None), "tail": (off(size, size, size), None), "mid": (tried.min(axis=0), tried.argmin(axis=0))}
+            out = {c: b.column(c) for c in names}
+            for name, (d, i) in found.items():
+                old = b.column(f"{name}_d").to_numpy()
+                nearer = d < old
+                if i is not None:
+                    rank = b.column("mid_i").to_numpy()
+                    nearer = nearer | ((d == old) & (i < rank))
+                    out["mid_i"] = pa.array(np.where(nearer, i, rank).astype(np.int32))
+                out[f"{name}_d"] = pa.array(np.where(nearer, d, old).astype(np.int32))
+                out[f"{name}_c"] = pc.if_else(pa.array(nearer), b.column("core_id"), b.column(f"{name}_c"))
+            yield pa.RecordBatch.from_arrays([out[c] for c in names], names=names)
+
+    state, done = durable(rows, "cores-state"), []
+    by_head, by_tail = F.col("head_d") < most, F.col("tail_d") < most
+    how = F.when(by_head, "head").when(by_tail, "tail").when(F.col("mid_d") < most, "middle").otherwise("dropped")
+    core = F.when(by_head, F.col("head_c")).when(by_tail, F.col("tail_c")).when(F.col("mid_d") < most, F.col("mid_c"))
+    while True:
+        free = state.where((F.col("head_d") >= most) & (F.col("tail_d") >= most) & (F.col("mid_d") >= new_core))
+        founders = durable(free.groupBy("p").agg(F.min(F.struct("read_id", "parts")).alias("f")).select("p", F.col("f.read_id").alias("core_id"), F.col("f.parts").alias("core_parts")), "founders")
+        met = join_checked(state, founders, "p", "left")
+        settled = met.where("core_id IS NULL OR read_id < core_id").select("read_id", core.alias("core"), how.alias("how"))
+        done.append(durable(settled.unionByName(founders.select(F.col("core_id").alias("read_id"), F.col("core_id").alias("core"), F.lit("new").alias("how"))), "cores-settled"))
+        if founders.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        ints = {c: "int" for c in names if c[-2:] in ("_d", "_i")}
+        schema = ", ".join(f"{c} {ints.get(c, 'string' if c in ('p', 'parts') else kind)}" for c in names)
+        last, state = state, durable(met.where("read_id > core_id").select(*names, "core_id", "core_parts").mapInArrow(compare, schema), "cores-state")
+        forget(last)
 
 
 def corrected_cores(cores: DataFrame, pairs: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
@@ -266,27 +269,6 @@ def star_clusters(edges: DataFrame, least_hits: int = 3) -> DataFrame:
     return edges.groupBy("centre").agg(F.count("*").alias("hits"), F.array_sort(F.collect_set("read")).alias("members")).where(F.col("hits") >= least_hits).select("centre", "members")
 
 
-def greedy_stars(edges: DataFrame) -> DataFrame:
-    """centre, read by the sequential rule over edges in order of band, centre and read: an edge goes to those of its
-    ends that are stars already, which take its other end in; if neither is, its centre becomes one.
-
-    Edges of different components never meet a common star, so each component is a group of its own."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        stars: dict = {}
-        ordered = rows.sort_values(["band", "centre", "read"], kind="stable")
-        for ends in zip(ordered["centre"], ordered["read"], strict=True):
-            known = [k for k in (0, 1) if ends[k] in stars]
-            for k in known or (0,):
-                stars.setdefault(ends[k], []).append(ends[1 - k])
-        return pd.DataFrame({"centre": [c for c, taken in stars.items() for _ in taken], "read": [r for taken in stars.values() for r in taken]})
-
-    kind = edges.schema["centre"].dataType.simpleString()
-    kept = durable(edges.select("band", "centre", "read"), "star-edges")
-    roots = connected(kept.select(F.col("centre").alias("u"), F.col("read").alias("v"))).withColumnRenamed("node", "centre")
-    return kept.join(apart(roots, "centre"), "centre").groupBy("root").applyInPandas(run, f"centre {kind}, read {kind}")
-
-
 def local_identity(a: str, b: str, match: int = 2, mismatch: int = -3, gap: int = -5) -> int:
     """Equal columns of a best local alignment of two strings."""
     n, m = len(a), len(b)
@@ -373,6 +355,16 @@ def sketch_links(sketched: DataFrame, drift: int = 2, least: int = 2, k: int = 1
     return u.join(apart(v, "key"), "key").where("read_id <> v").select(F.col("read_id").alias("u"), "v").distinct()
 
 
+def greedy_sketches(sketched: DataFrame, drift: int = 2, least: int = 2, k: int = 14) -> DataFrame:
+    """read_id, centre: in the order of read_id, a read joins the first centre that it shares `least` slots with, its codes being of any drift and the
+    centre's of none, equal or one base apart; else it becomes a centre. Unlike in sketch_clusters, no chains form. Reads without `least` slots are centres."""
+    near = sketched.select("read_id", "slot", "code").distinct().join(near_codes(sketched, drift, k), ["slot", "code"])
+    mine = sketched.where(F.col("drift") == drift).select("read_id", "slot", F.col("code").alias("near"))
+    alone = sketched.select(F.col("read_id").alias("node"), F.concat(F.lit("="), F.col("read_id").cast("string")).alias("key")).distinct()
+    asks = _slot_keys(near.select("read_id", "slot", "near").distinct(), least).withColumnRenamed("read_id", "node")
+    return greedy_centres(asks.unionByName(alone), _slot_keys(mine, least).withColumnRenamed("read_id", "node")).withColumnRenamed("node", "read_id")
+
+
 def _slot_keys(rows: DataFrame, least: int) -> DataFrame:
     """read_id, key: every choice of `least` slots of a read (read_id, slot, near) with a code for each."""
     spots = rows.groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("slot", "near"))).alias("spots"))

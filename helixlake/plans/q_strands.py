@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from helixlake.functions import seqfn
-from helixlake.operators import cluster, codec, consensus, jobs, metrics
+from helixlake.operators import cluster, codec, consensus, greedy, jobs, metrics
 from helixlake.plans.fixtures import ITEMS, READS, SMALL_ITEMS, SMALL_READS, STRANDS, dealt_out, items, noisy, noisy_sql, reads, small_items, small_reads, strands, table
 from helixlake.plans.q_sources import BITS
 from helixlake.plans.registry import query
@@ -185,11 +185,12 @@ def clu1_exact_lookup(spark, sf_dir):
     return cluster.exact_lookup(words(spark, sf_dir), cores(spark, sf_dir)).select("id", "word", "label")
 
 
-@query(f"""WITH {CORES}, nodes AS (SELECT DISTINCT substr(word, 1, k) AS node FROM (SELECT word, unnest(range(length(word) + 1)) AS k FROM cores)),
-l AS (SELECT id, word, max(k) AS "at" FROM (SELECT id, word, unnest(range(length(word) + 1)) AS k FROM words) JOIN nodes ON node = substr(word, 1, k) GROUP BY 1, 2 HAVING max(k) < length(word)),
-x AS (SELECT id, i, c, "at", length(word) AS n FROM l CROSS JOIN (SELECT unnest(range(4)) AS i, unnest(['A', 'T', 'G', 'C']) AS c) JOIN nodes ON node = substr(word, 1, "at") || c || substr(word, "at" + 2, 2)),
-y AS (SELECT id, string_agg(c, '' ORDER BY i) AS nexts FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM x) WHERE "at" + 1 < n OR r = 1 GROUP BY 1)
-SELECT l.id, l."at"::INT AS "at", coalesce(nexts, '') AS nexts FROM l LEFT JOIN y ON y.id = l.id""")
+@query(f"""WITH {CORES}, nodes AS (SELECT DISTINCT substr(word, 1, k) AS node FROM (SELECT DISTINCT word FROM cores), (SELECT unnest(range(21)) AS k) WHERE k <= length(word)),
+kinds AS (SELECT DISTINCT word FROM words),
+l AS (SELECT word, max(k) AS "at" FROM (SELECT word, unnest(range(length(word) + 1)) AS k FROM kinds ANTI JOIN cores USING (word)) JOIN nodes ON node = substr(word, 1, k) GROUP BY 1 HAVING max(k) < length(word)),
+x AS (SELECT word, i, c, "at", length(word) AS n FROM l CROSS JOIN (SELECT unnest(range(4)) AS i, unnest(['A', 'T', 'G', 'C']) AS c) JOIN nodes ON node = substr(word, 1, "at") || c || substr(word, "at" + 2, 2)),
+y AS (SELECT word, string_agg(c, '' ORDER BY i) AS nexts FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY i) AS r FROM x) WHERE "at" + 1 < n OR r = 1 GROUP BY 1)
+SELECT id, l."at"::INT AS "at", coalesce(nexts, '') AS nexts FROM words JOIN l USING (word) LEFT JOIN y ON y.word = words.word""")
 def clu2_fuzzy_step(spark, sf_dir):
     return cluster.fuzzy_step(words(spark, sf_dir), cores(spark, sf_dir))
 
@@ -229,6 +230,12 @@ def clu6_drift_clusters(spark, sf_dir):
     return cluster.drift_clusters(small_reads(spark, sf_dir))
 
 
+@query()
+def clu6_sequential_cores(spark, sf_dir):
+    """The cascade against cores, all reads in one order: no chains of links."""
+    return cluster.sequential_cores(reads(spark, sf_dir))
+
+
 @query()
 def clu7_sequential_cores(spark, sf_dir):
     return cluster.sequential_cores(reads(spark, sf_dir), 12)
@@ -361,7 +368,7 @@ def clu23_star_pairs(spark, sf_dir):
 
 @query()
 def clu24_greedy_stars(spark, sf_dir):
-    return cluster.greedy_stars(small_star_edges(spark, sf_dir))
+    return greedy.greedy_stars(small_star_edges(spark, sf_dir))
 
 
 @query(f"WITH {EDGES} SELECT centre, list_sort(list(DISTINCT read)) AS members FROM edges GROUP BY 1 HAVING count(*) >= 3")
@@ -401,9 +408,12 @@ def clu30_sketches(spark, sf_dir):
     return cluster.sketches(small_reads(spark, sf_dir))
 
 
-@query("SELECT DISTINCT d * s * (4 ** p)::BIGINT AS delta FROM (SELECT unnest(range(14)) AS p), (SELECT unnest([0, 1, 2, 3]) AS d), (SELECT unnest([1, -1]) AS s)")
+@query(f"""WITH {SMALL_READS}, w AS ({_SLOTS}), x AS (SELECT * FROM w WHERE length(w) = 14), mid AS (SELECT DISTINCT slot, w AS near FROM x WHERE drift = 2)
+SELECT e.slot, e.w AS word, near FROM (SELECT DISTINCT slot, w FROM x) e JOIN mid m ON e.slot = m.slot AND hamming(e.w, near) <= 1""")
 def clu31_neighbours(spark, sf_dir):
-    return spark.createDataFrame([(d,) for d in cluster.neighbours(14)], "delta long")
+    """The codes of all reads' slots with those of no drift that one substitution at most makes of them, as words."""
+    near = cluster.near_codes(cluster.sketches(small_reads(spark, sf_dir)))
+    return near.select("slot", seqfn.kmer_of("code", 14).alias("word"), seqfn.kmer_of("near", 14).alias("near"))
 
 
 @query(f"""WITH {SMALL_SKETCH}, m AS (SELECT slot, code, min(read_id) AS v FROM sk WHERE drift = 2 GROUP BY 1, 2), e AS (SELECT DISTINCT read_id AS u, v, slot FROM sk JOIN m USING (slot, code) WHERE read_id <> v)
@@ -423,6 +433,12 @@ def clu32_sketch_links(spark, sf_dir):
     return cluster.sketch_links(cluster.sketches(small_reads(spark, sf_dir)))
 
 
+@query()
+def clu32_greedy(spark, sf_dir):
+    """Greedy assignment in the order of reads."""
+    return cluster.greedy_sketches(cluster.sketches(small_reads(spark, sf_dir)))
+
+
 @query(f"WITH {STRANDS} SELECT file_id AS centre, count(*) - 1 AS members, count(*) > 5 AS good FROM strands GROUP BY 1")
 def clu33_good_and_bad(spark, sf_dir):
     """The strands of a document as a cluster: some have few."""

@@ -9,12 +9,13 @@ from helixlake.operators import primers, simulate
 from helixlake.plans.fixtures import ITEMS, READS, SMALL_ITEMS, STRANDS, _nested, items, reads, small_items, strands, table
 from helixlake.plans.registry import query
 
-N = 8_000
+#: Primer candidates for each document, drawn by its number.
+EACH = 8
 P = primers.PrimerParams()
 #: The default primer pair.
 PAIR = ("AAGGCAAGTTGTTACCAGCA", "TGCGACCGTAATCAAACCAA")
 _HEXED = _nested("upper(md5(concat_ws('|', '0', id::VARCHAR, '0')))")
-CANDS = f"cands AS (SELECT id, substr({_HEXED}, 1, 20) AS seq FROM (SELECT unnest(range({N})) AS id))"
+CANDS = f"cands AS (SELECT id, substr({_HEXED}, 1, 20) AS seq FROM (SELECT doc_id * {EACH} + j AS id FROM documents, (SELECT unnest(range({EACH})) AS j)))"
 GCF = "(length(seq) - length(translate(seq, 'GC', '')))::DOUBLE / length(seq)"
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 _SUM = lambda k: "list_sum(list_transform(range(1, length(seq)), lambda p: CASE substr(seq, p, 2) " + " ".join(f"WHEN '{d}' THEN {v[k]}::DOUBLE" for d, v in seqfn.STACKS.items()) + " END))"
@@ -25,17 +26,17 @@ GOOD = f"{CANDS}, good AS (SELECT * FROM cands WHERE {GCF} BETWEEN 0.45 AND 0.55
 LOOSE = f"loose AS (SELECT * FROM cands WHERE {GCF} BETWEEN 0.45 AND 0.55)"
 
 
-def cands(spark):
-    return primers.candidates(spark, N)
+def cands(spark, sf_dir):
+    return primers.candidates(table(spark, sf_dir, "documents"), "doc_id", EACH)
 
 
-def loose(spark):
-    return cands(spark).where(primers.gc_ok("seq", 0.45, 0.55))
+def loose(spark, sf_dir):
+    return cands(spark, sf_dir).where(primers.gc_ok("seq", 0.45, 0.55))
 
 
 @query(f"WITH {CANDS} SELECT id, seq FROM cands")
 def prm1_candidates(spark, sf_dir):
-    return cands(spark)
+    return cands(spark, sf_dir)
 
 
 @query(f"WITH {STRANDS} SELECT file_id, pos, seq FROM strands WHERE {GCF} BETWEEN 0.45 AND 0.55")
@@ -45,7 +46,7 @@ def prm2_gc_filter(spark, sf_dir):
 
 @query(f"WITH {CANDS} SELECT id, round({TM}, 6) AS tm, {TM} BETWEEN 55 AND 60 AS ok FROM cands")
 def prm3_melting_temp(spark, sf_dir):
-    return cands(spark).select("id", F.round(seqfn.melting_temp("seq"), 6).alias("tm"), primers.tm_ok("seq", 55, 60).alias("ok"))
+    return cands(spark, sf_dir).select("id", F.round(seqfn.melting_temp("seq"), 6).alias("tm"), primers.tm_ok("seq", 55, 60).alias("ok"))
 
 
 @query(f"WITH {STRANDS} SELECT file_id, pos, seq FROM strands WHERE NOT regexp_matches(seq, 'A{{4}}|C{{4}}|G{{4}}|T{{4}}')")
@@ -56,18 +57,18 @@ def prm4_run_filter(spark, sf_dir):
 @query(f"""WITH {CANDS}, {LOOSE}, d AS (SELECT a.id AS a, b.id AS b, hamming(a.seq, b.seq)::INT AS distance FROM loose a JOIN loose b ON a.id < b.id AND hamming(a.seq, b.seq) < 6)
 SELECT a, b, distance FROM d WHERE distance < 6""")
 def prm5_hamming_pairs(spark, sf_dir):
-    return primers.close_pairs(loose(spark), P.hamming)
+    return primers.close_pairs(loose(spark, sf_dir), P.hamming)
 
 
 @query(f"WITH {CANDS} SELECT id, {SELF} AS bad FROM cands")
 def prm6_self_complementary(spark, sf_dir):
-    return cands(spark).select("id", primers.self_complementary("seq", P.intra).alias("bad"))
+    return cands(spark, sf_dir).select("id", primers.self_complementary("seq", P.intra).alias("bad"))
 
 
 @query(f"""WITH {CANDS}, {LOOSE}, k AS (SELECT DISTINCT id, substr(seq, p, 10) AS w FROM (SELECT id, seq, unnest(range(1, 12)) AS p FROM loose))
 SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM k x JOIN k y ON y.w = {RC.format('x.w')} AND x.id <> y.id""")
 def prm7_complementary_pairs(spark, sf_dir):
-    return primers.complementary_pairs(loose(spark), P.inter)
+    return primers.complementary_pairs(loose(spark, sf_dir), P.inter)
 
 
 @query(f"WITH {STRANDS} SELECT file_id, pos, {RC.format('seq')} AS rc FROM strands")
@@ -82,12 +83,12 @@ g AS (SELECT id, seq, row_number() OVER (ORDER BY id) AS r, coalesce((SELECT lis
 pick AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS chosen UNION ALL SELECT g.r, CASE WHEN len(chosen) < 5 AND NOT list_has_any(chosen, others) THEN list_append(chosen, g.id) ELSE chosen END FROM pick JOIN g ON g.r = pick.r + 1)
 SELECT id, seq FROM one WHERE id IN (SELECT unnest(chosen) FROM pick WHERE r = (SELECT max(r) FROM pick))""")
 def prm9_design(spark, sf_dir):
-    return primers.design(spark, P, N)
+    return primers.design(cands(spark, sf_dir), P)
 
 
 @query(f"WITH {GOOD} SELECT id, seq FROM good")
 def prm9_screened(spark, sf_dir):
-    return primers.screened(cands(spark), P)
+    return primers.screened(cands(spark, sf_dir), P)
 
 
 def primer_pair(spark):

@@ -26,14 +26,14 @@ def running_counts(rows: DataFrame, group: list[str], pos: str, block_size: int
 
     pos must be an integer that is unique in its group; no group meets in one task, since blocks are ranges of pos. A flag that is null
     isn't set. Gaps in pos do no harm."""
-    block, at = F.floor(F.col(pos) / block_size).cast("long"), Window.partitionBy(*group, "__block").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    block, at = F.floor(F.col(pos) / block_size).cast("long"), Window.partitionBy(*group, "__blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     number = {name: F.coalesce(flag.cast("boolean").cast("long"), F.lit(0).cast("long")) for name, flag in flags.items()}
-    marked = rows.withColumns({"__block": block} | number)
-    totals = marked.groupBy(*group, "__block").agg(*[F.sum(n).alias(n) for n in flags])
-    offsets = before_blocks(totals, group, "__block", *flags).select(*group, "__block", *[F.col(n).alias(f"__{n}") for n in flags])
+    marked = rows.withColumns({"__blk": block} | number)
+    totals = marked.groupBy(*group, "__blk").agg(*[F.sum(n).alias(n) for n in flags])
+    offsets = before_blocks(totals, group, "__blk", *flags).select(*group, "__blk", *[F.col(n).alias(f"__off_{n}") for n in flags])
     within = marked.withColumns({n: F.sum(n).over(at) for n in flags})
-    joined = within.join(offsets.where(" OR ".join(f"__{n} > 0" for n in flags)), [*group, "__block"], "left")
-    return joined.withColumns({n: F.col(n) + F.coalesce(F.col(f"__{n}"), F.lit(0)) for n in flags}).drop("__block", *[f"__{n}" for n in flags])
+    joined = within.join(offsets.where(" OR ".join(f"__off_{n} > 0" for n in flags)), [*group, "__blk"], "left")
+    return joined.withColumns({n: F.col(n) + F.coalesce(F.col(f"__off_{n}"), F.lit(0)) for n in flags}).drop("__blk", *[f"__off_{n}" for n in flags])
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[Column | str], name: str = "r", partitions: int | None = None) -> DataFrame:

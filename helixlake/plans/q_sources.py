@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixlake.durable import fresh_path
 from helixlake.operators import preprocess
 from helixlake.plans.fixtures import ITEMS, READS, STRANDS, dealt_out, items, reads, strands, table
 from helixlake.plans.registry import query
 from helixlake.sources import readers, writers
+from helixlake.sources.fasta import FastaSource
 
 LINES = "lines AS (SELECT doc_id AS file_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"
 FASTA = f"{ITEMS}, fasta AS (SELECT file_id, 2 * pos AS pos, '>Seq' || pos || '_Cluster' || (pos % 3) AS line FROM items UNION ALL SELECT file_id, 2 * pos + 1, seq FROM items)"
@@ -85,6 +87,16 @@ def src9_fasta_records(spark, sf_dir):
     return readers.fasta_records(wrapped_lines(spark, sf_dir))
 
 
+@query(f"WITH {ITEMS} SELECT 'S' || file_id || '-' || pos AS header, seq FROM items")
+def src9_fasta_files(spark, sf_dir):
+    """Strands written as FASTA files and read back through the data source, a file in many ranges."""
+    spark.dataSource.register(FastaSource)
+    folder = fresh_path(spark, "fasta")
+    rows = items(spark, sf_dir).select(F.concat(F.lit("S"), F.col("file_id").cast("string"), F.lit("-"), F.col("pos").cast("string")).alias("header"), "seq")
+    rows.write.format("fasta").mode("append").save(folder)
+    return spark.read.format("fasta").option("splitBytes", 1 << 20).load(folder).select("header", "seq")
+
+
 @query("WITH l AS (SELECT doc_id AS file_id, text AS seq FROM documents) SELECT file_id, seq FROM l WHERE length(seq) BETWEEN 100 AND 300")
 def src10_length_band(spark, sf_dir):
     return readers.length_band(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("seq")))

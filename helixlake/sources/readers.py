@@ -1,7 +1,7 @@
 """Readers and parsers of the text formats: strand files, FASTA, indexed reads, cluster blocks, bits.
 
 Readers give (file_id, pos, line); parsers take such rows, from files or any table, so a parser is a
-plan over a scan. Only per-file windows are used, never one over the whole input.
+plan over a scan. Windows hold a block of a file's positions, never a whole file.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixlake.durable import apart
 from helixlake.functions import seqfn
+from helixlake.operators.scan import running_counts
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -64,9 +66,9 @@ def fasta_labels(lines: DataFrame) -> DataFrame:
 
 
 def numbered_blocks(lines: DataFrame) -> DataFrame:
-    """lines with block: how many headers stand above, 0 before the first; the header's own line counts."""
-    w = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("block", F.sum(F.col("line").startswith(">").cast("int")).over(w))
+    """lines with block: how many headers stand above, 0 before the first; the header's own line counts. A file of any length
+    is counted in blocks of positions."""
+    return running_counts(lines, ["file_id"], "pos", block=F.col("line").startswith(">"))
 
 
 def fasta_records(lines: DataFrame) -> DataFrame:
@@ -89,11 +91,15 @@ def indexed_reads(lines: DataFrame) -> DataFrame:
 
 def cluster_blocks(lines: DataFrame) -> DataFrame:
     """Cluster files: '>' starts a cluster, lines that start with A, C, G or T are members, '=' and other
-    lines are skipped, clusters without members vanish. cluster_id counts from 0, member_no from 0."""
-    rows = numbered_blocks(lines).where(F.col("line").rlike("^[ATCG]") & (F.col("block") > 0))
-    ids = Window.partitionBy("file_id").orderBy("block")
-    members = Window.partitionBy("file_id", "block").orderBy("pos")
-    return rows.select("file_id", (F.dense_rank().over(ids) - 1).alias("cluster_id"), (F.row_number().over(members) - 1).alias("member_no"), F.trim("line").alias("seq"))
+    lines are skipped, clusters without members vanish. cluster_id counts from 0, member_no from 0.
+
+    Headers and members are counted in blocks of positions; a member's number is its count less that of its cluster's first, so neither a file nor
+    a cluster is one task's work."""
+    counted = running_counts(lines, ["file_id"], "pos", block=F.col("line").startswith(">"), m=F.col("line").rlike("^[ATCG]"))
+    rows = counted.where(F.col("line").rlike("^[ATCG]") & (F.col("block") > 0))
+    firsts = rows.groupBy("file_id", "block").agg(F.min("m").alias("first"))
+    known = apart(running_counts(firsts, ["file_id"], "block", id=F.lit(True)), "file_id", "block")
+    return rows.join(known, ["file_id", "block"]).select("file_id", (F.col("id") - 1).cast("int").alias("cluster_id"), (F.col("m") - F.col("first")).cast("int").alias("member_no"), F.trim("line").alias("seq"))
 
 
 def json_map(rows: DataFrame, column: str) -> DataFrame:

@@ -255,18 +255,56 @@ def band_rows(seed: int, functions: int = FUNCTIONS, rows: int = ROWS, similarit
     return [sorted(range(functions), key=lambda f: hashlib.md5(f"{seed}|{b}|{f}".encode()).hexdigest())[:rows] for b in range(bands)]
 
 
-def star_edges(signed: DataFrame, seed: int = 0, functions: int = FUNCTIONS) -> DataFrame:
+def band_keys(reads: DataFrame, seed: int = 0, functions: int = FUNCTIONS, k: int = K, prefix: int = PREFIX) -> DataFrame:
+    """read_id, band, k1, k2 of each read's bands: the minima of a band's three functions over the read's k-mers, the first two in one
+    number. Reads shorter than k have none. read_id is unique.
+
+    As `signatures` would give them, but within the row: only the functions that bands use are computed, and nothing is shuffled."""
+    bands, hashes = band_rows(seed, functions), affine(seed, functions)
+    used = sorted({f for fs in bands for f in fs})
+    digit = np.full(256, -1, dtype=np.int64)
+    for i, c in enumerate(seqfn.NT):
+        digit[ord(c)] = i
+
+    def run(batches):
+        for b in batches:
+            seqs = [s.encode("latin1", "replace") for s in b.column("s").to_pylist()]
+            size = np.array([len(s) for s in seqs], dtype=np.int64)
+            keep = np.flatnonzero(size >= k)
+            if not len(keep):
+                continue
+            letters = digit[np.frombuffer(b"".join(seqs[i].ljust(prefix, b"-") for i in keep), np.uint8).reshape(len(keep), prefix)]
+            spots = prefix - k + 1
+            codes = sum(letters[:, j : j + spots] * 4**j for j in range(k))
+            codes[np.stack([letters[:, j : j + spots] < 0 for j in range(k)]).any(axis=0)] = -1
+            beyond = np.arange(spots)[None, :] > (size[keep] - k)[:, None]
+            least = {}
+            for f in used:
+                h = (codes * hashes[f][0] + hashes[f][1]) % PRIME
+                h[beyond] = PRIME
+                least[f] = h.min(axis=1)
+            n, ids = len(keep), b.column("read_id").take(pa.array(keep))
+            for band, (x, y, z) in enumerate(bands):
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, band, dtype=np.int32)), pa.array((least[x] << 31) | least[y]), pa.array(least[z])], names=["read_id", "band", "k1", "k2"])
+
+    kind = reads.schema["read_id"].dataType.simpleString()
+    return reads.select("read_id", F.substring("seq", 1, prefix).alias("s")).where("s IS NOT NULL").mapInArrow(run, f"read_id {kind}, band int, k1 long, k2 long")
+
+
+def star_edges(reads: DataFrame, seed: int = 0, functions: int = FUNCTIONS) -> DataFrame:
     """band, centre, read: each bucket's reads with its smallest one. The bucket's minimum is joined back, so a
     bucket is never gathered and no pairs are formed within."""
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.concat_ws("|", *[F.get("sig", F.lit(f)).cast("string") for f in fs]).alias("key")) for b, fs in enumerate(band_rows(seed, functions))])
-    spread = durable(signed.select("read_id", F.explode(keys).alias("x")).select("read_id", "x.band", "x.key"), "bands")  # read twice
-    centres = spread.groupBy("band", "key").agg(F.min("read_id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return spread.join(apart(centres, "band", "key"), ["band", "key"]).where("read_id <> centre").select("band", "centre", F.col("read_id").alias("read")).distinct()
+    spread = durable(band_keys(reads, seed, functions), "bands")  # read twice
+    centres = spread.groupBy("band", "k1", "k2").agg(F.min("read_id").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return spread.join(apart(centres, "band", "k1", "k2"), ["band", "k1", "k2"]).where("read_id <> centre").select("band", "centre", F.col("read_id").alias("read"))
 
 
 def star_clusters(edges: DataFrame, least_hits: int = 3) -> DataFrame:
-    """centre, members: stars with at least `least_hits` edges over all bands, members distinct and sorted."""
-    return edges.groupBy("centre").agg(F.count("*").alias("hits"), F.array_sort(F.collect_set("read")).alias("members")).where(F.col("hits") >= least_hits).select("centre", "members")
+    """centre, read, hits: the distinct reads of stars with at least `least_hits` edges over all bands, and how many these are. A row for each
+    read, so a hub's reads are never gathered."""
+    pairs = edges.groupBy("centre", "read").agg(F.count("*").alias("n"))
+    hits = edges.groupBy("centre").agg(F.count("*").alias("hits")).where(F.col("hits") >= least_hits)
+    return pairs.join(apart(hits, "centre"), "centre").select("centre", "read", "hits")
 
 
 def local_identity(a: str, b: str, match: int = 2, mismatch: int = -3, gap: int = -5) -> int:
@@ -295,7 +333,7 @@ def local_identity(a: str, b: str, match: int = 2, mismatch: int = -3, gap: int
 def refined(stars: DataFrame, reads: DataFrame, least: int = 35, prefix: int = PREFIX) -> DataFrame:
     """centre, read: members whose local alignment with the centre's first bases has `least` equal columns."""
     seqs = reads.select("read_id", F.substring("seq", 1, prefix).alias("s"))
-    pairs = stars.select("centre", F.explode("members").alias("read"))
+    pairs = stars.select("centre", "read")
     pairs = pairs.join(seqs.withColumnsRenamed({"read_id": "read", "s": "b"}), "read").join(seqs.withColumnsRenamed({"read_id": "centre", "s": "a"}), "centre")
 
     @F.pandas_udf("int")

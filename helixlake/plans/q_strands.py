@@ -349,11 +349,11 @@ EDGES, SMALL_EDGES = SIGS + _EDGES, SMALL_READS + _CODES + _SIGS + _EDGES
 
 
 def star_edges(spark, sf_dir):
-    return cluster.star_edges(cluster.signatures(cluster.kmer_index(reads(spark, sf_dir))))
+    return cluster.star_edges(reads(spark, sf_dir))
 
 
 def small_star_edges(spark, sf_dir):
-    return cluster.star_edges(cluster.signatures(cluster.kmer_index(small_reads(spark, sf_dir))))
+    return cluster.star_edges(small_reads(spark, sf_dir))
 
 
 @query(f"WITH {EDGES} SELECT band, count(*) AS n, count(DISTINCT centre) AS centres FROM edges GROUP BY 1")
@@ -371,7 +371,8 @@ def clu24_greedy_stars(spark, sf_dir):
     return greedy.greedy_stars(small_star_edges(spark, sf_dir))
 
 
-@query(f"WITH {EDGES} SELECT centre, list_sort(list(DISTINCT read)) AS members FROM edges GROUP BY 1 HAVING count(*) >= 3")
+@query(f"""WITH {EDGES}, h AS (SELECT centre, count(*) AS hits FROM edges GROUP BY 1 HAVING count(*) >= 3)
+SELECT centre, read, hits FROM (SELECT DISTINCT centre, read FROM edges) JOIN h USING (centre)""")
 def clu25_star_clusters(spark, sf_dir):
     return cluster.star_clusters(star_edges(spark, sf_dir))
 

@@ -262,9 +262,18 @@ def band_keys(reads: DataFrame, seed: int = 0, functions: int = FUNCTIONS, k: in
     As `signatures` would give them, but within the row: only the functions that bands use are computed, and nothing is shuffled."""
     bands, hashes = band_rows(seed, functions), affine(seed, functions)
     used = sorted({f for fs in bands for f in fs})
-    digit = np.full(256, -1, dtype=np.int64)
+    digit = np.full(256, -1, dtype=np.int32)
     for i, c in enumerate(seqfn.NT):
         digit[ord(c)] = i
+    tables: dict[int, np.ndarray] = {}  # each function's hash of every code from -1, made once a worker
+
+    def hashed(f: int, codes: np.ndarray) -> np.ndarray:
+        a, b = hashes[f]
+        if k > 9:
+            return (codes.astype(np.int64) * a + b) % PRIME
+        if f not in tables:
+            tables[f] = ((np.arange(-1, 4**k) * a + b) % PRIME).astype(np.int32)
+        return tables[f][codes + 1]
 
     def run(batches):
         for b in batches:
@@ -275,14 +284,16 @@ def band_keys(reads: DataFrame, seed: int = 0, functions: int = FUNCTIONS, k: in
                 continue
             letters = digit[np.frombuffer(b"".join(seqs[i].ljust(prefix, b"-") for i in keep), np.uint8).reshape(len(keep), prefix)]
             spots = prefix - k + 1
-            codes = sum(letters[:, j : j + spots] * 4**j for j in range(k))
-            codes[np.stack([letters[:, j : j + spots] < 0 for j in range(k)]).any(axis=0)] = -1
-            beyond = np.arange(spots)[None, :] > (size[keep] - k)[:, None]
+            codes = sum(letters[:, j : j + spots].astype(np.int64 if k > 15 else np.int32) * 4**j for j in range(k))
+            if (letters < 0).any():
+                codes[np.stack([letters[:, j : j + spots] < 0 for j in range(k)]).any(axis=0)] = -1
+            beyond, short = np.arange(spots)[None, :] > (size[keep] - k)[:, None], size[keep].min() < prefix
             least = {}
             for f in used:
-                h = (codes * hashes[f][0] + hashes[f][1]) % PRIME
-                h[beyond] = PRIME
-                least[f] = h.min(axis=1)
+                h = hashed(f, codes)
+                if short:
+                    h[beyond] = PRIME
+                least[f] = h.min(axis=1).astype(np.int64)
             n, ids = len(keep), b.column("read_id").take(pa.array(keep))
             for band, (x, y, z) in enumerate(bands):
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, band, dtype=np.int32)), pa.array((least[x] << 31) | least[y]), pa.array(least[z])], names=["read_id", "band", "k1", "k2"])
@@ -303,7 +314,7 @@ def star_clusters(edges: DataFrame, least_hits: int = 3) -> DataFrame:
     """centre, read, hits: the distinct reads of stars with at least `least_hits` edges over all bands, and how many these are. A row for each
     read, so a hub's reads are never gathered."""
     pairs = edges.groupBy("centre", "read").agg(F.count("*").alias("n"))
-    hits = edges.groupBy("centre").agg(F.count("*").alias("hits")).where(F.col("hits") >= least_hits)
+    hits = pairs.groupBy("centre").agg(F.sum("n").alias("hits")).where(F.col("hits") >= least_hits)  # over the exchange of pairs, made once
     return pairs.join(apart(hits, "centre"), "centre").select("centre", "read", "hits")
 
 

@@ -42,6 +42,25 @@ def exact_lookup(words: DataFrame, cores: DataFrame) -> DataFrame:
     return words.join(known, "word", "left")
 
 
+def live_words(deltas: DataFrame) -> DataFrame:
+    """label, word of the signed deltas (label, word, sign): what was inserted (1) more often than deleted (-1). The order of deltas doesn't
+    matter, and a delete of what isn't there cancels a later insert."""
+    return deltas.groupBy("label", "word").agg(F.sum("sign").alias("n")).where("n > 0").select("label", "word")
+
+
+def trie_nodes(live: DataFrame) -> DataFrame:
+    """node, words, label: each prefix of the live words (label, word), the empty one and whole words included, with its number of references
+    and their smallest label. Words with several labels are several references."""
+    prefixes = F.transform(F.sequence(F.lit(0), F.length("word")), lambda k: F.substr("word", F.lit(1), k))
+    return live.where("word IS NOT NULL").select("label", F.explode(prefixes).alias("node")).groupBy("node").agg(F.count("*").alias("words"), F.min("label").alias("label"))
+
+
+def prefix_lookup(prefixes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """prefixes (prefix) with words, how many live words begin so, 0 if none does, and the smallest label of those."""
+    met = prefixes.join(apart(nodes.withColumnRenamed("node", "prefix"), "prefix"), "prefix", "left")
+    return met.withColumn("words", F.coalesce("words", F.lit(0).cast("long")))
+
+
 #: Order of a trie's children: fixed value.
 CHILDREN = "ATGC"
 

@@ -62,11 +62,11 @@ def eva7_report(spark, sf_dir):
 
 @query()
 def eva7_report_json(spark, sf_dir):
-    """One JSON object: files on the x axis, a series for each score; folding energies are those of the benchmark's first strands."""
+    """One JSON object: files on the x axis, a series for each score; a file's folding energy is the mean of all its strands."""
     files = table(spark, sf_dir, "benchmark")
     rows = small_items(spark, sf_dir)
     size = files.select(F.col("item_id").alias("file_id"), (F.octet_length("text") * 8).cast("long").alias("bit_size"))
-    energy = evaluate.folding(rows.where("pos = 0")).select("file_id", "mfe")
+    energy = evaluate.folding(rows).groupBy("file_id").agg(F.round(F.avg("mfe"), 4).alias("mfe"))
     scores = evaluate.report(rows, size).join(energy, "file_id").join(evaluate.local_gc(rows).groupBy("file_id").agg(F.max("gc").alias("local_gc")), "file_id")
     return evaluate.report_json(scores)
 

@@ -185,6 +185,18 @@ def clu1_exact_lookup(spark, sf_dir):
     return cluster.exact_lookup(words(spark, sf_dir), cores(spark, sf_dir)).select("id", "word", "label")
 
 
+@query(f"""WITH {CORES}, live AS (SELECT label, word FROM cores WHERE label % 3 <> 0),
+nodes AS (SELECT substr(word, 1, k) AS prefix, count(*) AS words, min(label) AS label FROM live, (SELECT unnest([4, 8, 12]) AS k) GROUP BY 1),
+asked AS (SELECT DISTINCT substr(word, 1, k) AS prefix FROM words, (SELECT unnest([4, 8, 12]) AS k))
+SELECT prefix, coalesce(words, 0) AS words, label FROM asked LEFT JOIN nodes USING (prefix)""")
+def clu1_prefix_lookup(spark, sf_dir):
+    """Cores are inserted, every third is deleted again, and prefixes of the reads' words are looked up in what is left."""
+    rows = cores(spark, sf_dir)
+    deltas = rows.withColumn("sign", F.lit(1)).unionByName(rows.where("label % 3 = 0").withColumn("sign", F.lit(-1)))
+    asked = words(spark, sf_dir).select(F.explode(F.array(*[F.substring("word", 1, k) for k in (4, 8, 12)])).alias("prefix")).distinct()
+    return cluster.prefix_lookup(asked, cluster.trie_nodes(cluster.live_words(deltas)))
+
+
 @query(f"""WITH {CORES}, nodes AS (SELECT DISTINCT substr(word, 1, k) AS node FROM (SELECT DISTINCT word FROM cores), (SELECT unnest(range(21)) AS k) WHERE k <= length(word)),
 kinds AS (SELECT DISTINCT word FROM words),
 l AS (SELECT word, max(k) AS "at" FROM (SELECT word, unnest(range(length(word) + 1)) AS k FROM kinds ANTI JOIN cores USING (word)) JOIN nodes ON node = substr(word, 1, k) GROUP BY 1 HAVING max(k) < length(word)),

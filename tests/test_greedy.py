@@ -92,3 +92,11 @@ def test_cores_of_all_reads_in_one_order(spark):
         rows.append((k, "".join(t)))
     got = {r["read_id"]: (r["core"], r["how"]) for r in cluster.sequential_cores(spark.createDataFrame(rows, "read_id long, seq string").repartition(5)).collect()}
     assert got == plain_cores(rows, 0)
+
+
+def test_a_trie_with_deletes_looks_prefixes_up(spark):
+    deltas = [(1, "ACGT", 1), (2, "ACCC", 1), (3, "AC", 1), (2, "ACCC", -1), (4, "GG", -1), (5, "ACGT", 1), (1, "ACGT", -1), (1, "ACGT", 1), (6, None, 1), (7, "", 1)]
+    nodes = cluster.trie_nodes(cluster.live_words(spark.createDataFrame(deltas, "label int, word string, sign int")))
+    asked = spark.createDataFrame([(p,) for p in ("", "A", "AC", "ACG", "ACC", "GG", "ACGTA")] + [(None,)], "prefix string")
+    got = {r["prefix"]: (r["words"], r["label"]) for r in cluster.prefix_lookup(asked, nodes).collect()}
+    assert got == {"": (4, 1), "A": (3, 1), "AC": (3, 1), "ACG": (2, 1), "ACC": (0, None), "GG": (0, None), "ACGTA": (0, None), None: (0, None)}

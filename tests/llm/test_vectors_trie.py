@@ -50,7 +50,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], VECTORS).repartition(5)
 
 
-@pytest.mark.parametrize("chunk", [3, 2_048])
+@pytest.mark.parametrize("chunk", [10, 2_048])
 def test_hard_negatives_equal_all_pairs(spark, chunk):
     rows = odd_vectors(chunk)
     got = hard_negatives.hard_negatives(frame(spark, rows), F.col("vec_id") % 20 == 0, chunk=chunk, pivots=4, sample=50)
@@ -91,7 +91,7 @@ def test_brackets_hold(spark):
         assert (score <= ((q @ q) + longest - near**2) / 2 + 1e-6).all() and (score >= ((q @ q) + longest - far**2) / 2 - 1e-6).all()
 
 
-@pytest.mark.parametrize("chunk", [3, 2_048])
+@pytest.mark.parametrize("chunk", [10, 2_048])
 def test_nearest_on_odd_rows(spark, chunk):
     rows = odd_vectors(5)
     want = plain_nearest(rows, lambda i: i % 20 == 0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from helixlake.durable import apart, durable, forget, join_checked
 from helixlake.functions import seqfn
+from helixlake.operators import align
 from helixlake.operators.components import connected
 from helixlake.operators.greedy import greedy_centres
 
@@ -337,27 +338,9 @@ def star_clusters(edges: DataFrame, least_hits: int = 3) -> DataFrame:
     return pairs.join(apart(hits, "centre"), "centre").select("centre", "read", "hits")
 
 
-def local_identity(a: str, b: str, match: int = 2, mismatch: int = -3, gap: int = -5) -> int:
+def local_identity(a: str, b: str) -> int:
     """Equal columns of a best local alignment of two strings."""
-    n, m = len(a), len(b)
-    score = np.zeros((n + 1, m + 1), dtype=np.int32)
-    x, y = np.frombuffer(a.encode("latin1"), np.uint8), np.frombuffer(b.encode("latin1"), np.uint8)
-    steps = gap * np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.zeros(m + 1, dtype=np.int32)
-        row[1:] = np.maximum(0, np.maximum(score[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), score[i - 1, 1:] + gap))
-        score[i] = np.maximum.accumulate(row - steps) + steps
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    same = 0
-    while score[i, j] > 0:
-        if i and j and score[i, j] == score[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
-            same += a[i - 1] == b[j - 1]
-            i, j = i - 1, j - 1
-        elif i and score[i, j] == score[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-    return int(same)
+    return int(align.local_identities([a], [b])[0])
 
 
 def refined(stars: DataFrame, reads: DataFrame, least: int = 35, prefix: int = PREFIX) -> DataFrame:
@@ -368,7 +351,7 @@ def refined(stars: DataFrame, reads: DataFrame, least: int = 35, prefix: int = P
 
     @F.pandas_udf("int")
     def same(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([local_identity(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+        return pd.Series(align.local_identities(a.fillna("").tolist(), b.fillna("").tolist()))
 
     return pairs.where(same("a", "b") >= least).select("centre", "read")
 

@@ -49,8 +49,7 @@ def eva5_local_gc(spark, sf_dir):
 
 @query()
 def eva6_folding(spark, sf_dir):
-    """Over the benchmark: folding takes some hundredths of a second a strand."""
-    return evaluate.folding(small_items(spark, sf_dir))
+    return evaluate.folding(strands(spark, sf_dir))
 
 
 @query(f"""WITH {STRANDS}, f AS (SELECT file_id, count(*) AS n, arg_min(length(seq), pos) AS l, greatest(1, max({RUN})) AS r,

@@ -391,8 +391,8 @@ def clu25_star_clusters(spark, sf_dir):
 
 @query()
 def clu26_refined(spark, sf_dir):
-    rows = small_reads(spark, sf_dir)
-    return cluster.refined(cluster.star_clusters(small_star_edges(spark, sf_dir)), rows)
+    rows = reads(spark, sf_dir)
+    return cluster.refined(cluster.star_clusters(star_edges(spark, sf_dir)), rows)
 
 
 @query()
@@ -479,10 +479,15 @@ def clu36_hash_sketch(spark, sf_dir):
     return cluster.hash_sketch_clusters(small_reads(spark, sf_dir))
 
 
+def shortened_reads(spark, sf_dir):
+    """Reads of the strands of all documents as members of clusters, each without one base."""
+    strand = F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string"))
+    return reads(spark, sf_dir).select(strand.alias("cluster"), F.col("copy").alias("member"), F.expr("concat(substr(seq, 1, 10 + copy), substr(seq, 12 + copy))").alias("seq"))
+
+
 @query()
 def msa1_aligned(spark, sf_dir):
-    rows = small_reads(spark, sf_dir).select(F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string")).alias("cluster"), F.col("copy").alias("member"), F.expr("concat(substr(seq, 1, 10 + copy), substr(seq, 12 + copy))").alias("seq"))
-    return consensus.aligned(rows).select("cluster", "member", "aligned")
+    return consensus.aligned(shortened_reads(spark, sf_dir)).select("cluster", "member", "aligned")
 
 
 @query(f"""WITH {STRANDS}, s AS (SELECT file_id AS cluster, count(*) AS n FROM strands GROUP BY 1 HAVING count(*) >= 3)
@@ -502,5 +507,10 @@ def msa4_votes(spark, sf_dir):
 
 @query()
 def msa5_candidates(spark, sf_dir):
-    rows = small_reads(spark, sf_dir).select(F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string")).alias("cluster"), F.col("copy").alias("member"), F.expr("concat(substr(seq, 1, 10 + copy), substr(seq, 12 + copy))").alias("seq"))
-    return consensus.consensus(rows)
+    return consensus.consensus(shortened_reads(spark, sf_dir))
+
+
+@query()
+def msa5_realigned(spark, sf_dir):
+    """Candidates after all reads have been aligned anew to the first vote."""
+    return consensus.consensus(shortened_reads(spark, sf_dir), rounds=1)

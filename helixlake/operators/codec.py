@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.durable import apart, durable
+from helixlake.durable import apart, durable, join_checked
 from helixlake.functions import rng, seqfn
 from helixlake.functions.seqfn import NT
+from helixlake.operators import peeling
 from helixlake.sources.readers import bit_segments
 
 
@@ -509,14 +510,19 @@ def members_of(seed: int, file_id: object, droplet: int, total: int) -> list[int
     return sorted(chosen)
 
 
-def droplets(segments: DataFrame, totals: DataFrame, redundancy: float = 0.5, seed: int = 0, longest_run: int = 4, gc: tuple[float, float] = (0.35, 0.65), tries: int = 4, rounds: int = 10) -> DataFrame:
+#: Segments or droplets of a file that are worked on in one task.
+FILE_SEGMENTS = 20_000
+
+
+def droplets(segments: DataFrame, totals: DataFrame, redundancy: float = 0.5, seed: int = 0, longest_run: int = 4, gc: tuple[float, float] = (0.35, 0.65), tries: int = 4, rounds: int = 10, limit: int = FILE_SEGMENTS, refused: str = "raise") -> DataFrame:
     """file_id, droplet, members, hex, seq: XORs of hash-chosen segments (file_id, seg_no, hex) that pass the GC
     and run screens, by droplet number: the first (1 + redundancy) times as many as segments, and more where
     those don't peel back to every segment.
 
     totals has file_id and total. Degrees follow the robust soliton of the file's total. The first round makes
     `tries` times the wanted number, each further one twice as many as the one before, for the files that still
-    lack droplets; raises if `rounds` of them don't suffice."""
+    lack droplets. A file that `rounds` of them don't suffice for raises an error; with refused="rows" it is a row with a `reason` instead,
+    and null else. Files of more than `limit` segments are peeled as tables of edges, with the same result."""
     want = F.ceil(F.col("total") * (1 + redundancy)).cast("int")
     pending = durable(totals.select("file_id", F.col("total").cast("long").alias("total"), want.alias("want")), "fountain-files")
     words = segments.select("file_id", "seg_no", F.posexplode(F.transform(seqfn.pieces(F.col("hex"), 8), lambda h: F.conv(h, 16, 10).cast("long"))).alias("w", "x"), F.length("hex").alias("n"))
@@ -532,12 +538,19 @@ def droplets(segments: DataFrame, totals: DataFrame, redundancy: float = 0.5, se
         made = pending.withColumn("droplet", F.explode(numbers)).withColumn("members", picked("file_id", "droplet", "total"))
         good = durable(_screened(made, words, longest_run, gc), "droplets")
         passed = good if passed is None else passed.unionByName(good)
-        found = durable(_enough(passed.select("file_id", "droplet", "members").join(pending, "file_id")), "fountain-last")
+        found = durable(_enough(passed.select("file_id", "droplet", "members").join(pending, "file_id"), limit), "fountain-last")
         lasts = found if lasts is None else lasts.unionByName(found)
         pending, begun = durable(pending.join(found, "file_id", "left_anti"), "fountain-files"), end
         if pending.isEmpty():
-            return passed.join(apart(lasts, "file_id"), "file_id").where("droplet <= last").select("file_id", "droplet", "members", "hex", "seq")
-    raise ValueError(f"{pending.count()} files lack droplets that pass the screens and peel, among them {pending.first()['file_id']}")
+            break
+    kept = passed.join(apart(lasts, "file_id"), "file_id").where("droplet <= last").select("file_id", "droplet", "members", "hex", "seq")
+    if refused == "rows":
+        why = F.format_string("no droplets that pass the screens and peel among %d", F.col("want").cast("long") * begun)
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in kept.schema if f.name != "file_id"]
+        return kept.withColumn("reason", F.lit(None).cast("string")).unionByName(pending.select("file_id", *none, why.alias("reason")))
+    if not pending.isEmpty():
+        raise ValueError(f"{pending.count()} files lack droplets that pass the screens and peel, among them {pending.first()['file_id']}")
+    return kept
 
 
 def _screened(made: DataFrame, words: DataFrame, longest_run: int, gc: tuple[float, float]) -> DataFrame:
@@ -551,9 +564,10 @@ def _screened(made: DataFrame, words: DataFrame, longest_run: int, gc: tuple[flo
     return strands.where(~seqfn.has_run("seq", longest_run + 1) & seqfn.gc_fraction("seq").between(*gc))
 
 
-def _enough(passed: DataFrame) -> DataFrame:
+def _enough(passed: DataFrame, limit: int) -> DataFrame:
     """file_id, last: the droplet by which a file (file_id, droplet, members, total, want) has `want` of them and they
-    peel back to all its segments. Files that have no such droplet yet are left out."""
+    peel back to all its segments. Files that have no such droplet yet are left out. Files of up to `limit` segments are a group each."""
+    large = passed.where(F.col("total") > limit)
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("droplet")
@@ -581,11 +595,15 @@ def _enough(passed: DataFrame) -> DataFrame:
                 break
         return pa.table({"file_id": pa.array([rows.column("file_id")[0].as_py()] * len(out), pa.int64()), "last": pa.array(out, pa.int64())})
 
-    return passed.groupBy("file_id").applyInArrow(run, "file_id long, last long")
+    small = passed.where(F.col("total") <= limit).groupBy("file_id").applyInArrow(run, "file_id long, last long")
+    return small if large.isEmpty() else small.unionByName(peeling.enough(large))
 
 
-def peeled(found: DataFrame) -> DataFrame:
-    """file_id, seg_no, hex of the segments that droplets give by peeling. A file's droplets are one group."""
+def peeled(found: DataFrame, limit: int = FILE_SEGMENTS) -> DataFrame:
+    """file_id, seg_no, hex of the segments that droplets (file_id, members, hex) give by peeling; droplets without members or hex count as
+    lost. Files of up to `limit` droplets are a group each, larger ones tables of edges, with the same result."""
+    found = found.select("file_id", "members", "hex").where("members IS NOT NULL AND hex IS NOT NULL")
+    large = durable(found.groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("file_id"), "large-files")
 
     def run(rows: pa.Table) -> pa.Table:
         packets = [[set(m), int(h, 16) if h else 0, len(h)] for m, h in zip(rows.column("members").to_pylist(), rows.column("hex").to_pylist(), strict=True)]
@@ -610,6 +628,10 @@ def peeled(found: DataFrame) -> DataFrame:
                     if len(packets[k][0]) == 1:
                         ready.append(k)
         segs = sorted(known)
-        return pa.table({"file_id": pa.array([rows.column("file_id")[0].as_py()] * len(segs), pa.int64()), "seg_no": pa.array(segs, pa.int64()), "hex": pa.array([f"{known[s][0]:0{known[s][1]}X}" for s in segs], pa.string())})
+        return pa.table({"file_id": pa.array([rows.column("file_id")[0].as_py()] * len(segs), pa.int64()), "seg_no": pa.array(segs, pa.int64()), "hex": pa.array([f"{known[s][0]:0{known[s][1]}X}" if known[s][1] else "" for s in segs], pa.string())})
 
-    return found.select("file_id", "members", "hex").groupBy("file_id").applyInArrow(run, "file_id long, seg_no long, hex string")
+    schema = "file_id long, seg_no long, hex string"
+    if large.isEmpty():
+        return found.groupBy("file_id").applyInArrow(run, schema)
+    small = found.join(large, "file_id", "left_anti").groupBy("file_id").applyInArrow(run, schema)
+    return small.unionByName(peeling.segments(join_checked(found, large, "file_id", "left_semi")))

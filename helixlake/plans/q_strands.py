@@ -116,10 +116,10 @@ def cod11_blawat(spark, sf_dir):
 
 @query()
 def cod12_fountain(spark, sf_dir):
-    """Over the benchmark: a document of one padded segment has no droplet that passes the screens."""
-    files = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("file_id"), F.encode("text", "UTF-8").alias("data"))
+    """Droplets of all documents; one that no droplet can carry through the screens, such as one padded segment, is a row with a reason."""
+    files = dealt_out(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("data"))
     rows = readers.bit_segments(files, "file_id", F.col("data"), SEGMENT).select("file_id", "seg_no", seqfn.bits_to_hex("bits").alias("hex"))
-    return codec.droplets(rows, rows.groupBy("file_id").agg(F.count("*").alias("total")))
+    return codec.droplets(rows, rows.groupBy("file_id").agg(F.count("*").alias("total")), rounds=5, refused="rows")
 
 
 @query()

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.durable import durable
+from helixlake.operators import assignment
+from helixlake.operators.assignment import best_assignment  # noqa: F401
 from helixlake.operators.cluster import purity
 from helixlake.sources.readers import pair_file
 
@@ -168,50 +170,12 @@ def agreement(table: DataFrame, *by: str, expected: bool = True) -> DataFrame:
     )
 
 
-def assignment_accuracy(table: DataFrame, limit: int = 4_000) -> float:
-    """Share of rows on the best one-to-one assignment of predicted to true labels (Hungarian method).
-
-    The contingency table of at most `limit` labels a side reaches the driver; more raise an error."""
-    if table.select("t").distinct().limit(limit + 1).count() > limit or table.select("p").distinct().limit(limit + 1).count() > limit:
-        raise ValueError(f"an optimal assignment is meant for at most {limit} labels a side")
-    cells = table.collect()
-    if not cells:
-        return 1.0
-    t, p = sorted({r["t"] for r in cells}, key=str), sorted({r["p"] for r in cells}, key=str)
-    size = max(len(t), len(p))
-    n = np.zeros((size, size))
-    it, ip = {x: k for k, x in enumerate(t)}, {x: k for k, x in enumerate(p)}
-    for r in cells:
-        n[it[r["t"]], ip[r["p"]]] = r["n"]
-    return float(n[np.arange(size), best_assignment(n.max() - n)].sum() / n.sum())
-
-
-def best_assignment(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a cheapest perfect matching of a square matrix: shortest augmenting paths."""
-    size = len(cost)
-    u, v, row_of = np.zeros(size + 1), np.zeros(size + 1), np.full(size + 1, -1)
-    for row in range(size):
-        row_of[size] = row
-        at, low, done, came = size, np.full(size + 1, np.inf), np.zeros(size + 1, dtype=bool), np.full(size + 1, size)
-        while row_of[at] >= 0:
-            done[at] = True
-            r = row_of[at]
-            slack = cost[r] - u[r] - v[:size]
-            better = ~done[:size] & (slack < low[:size])
-            low[:size][better], came[:size][better] = slack[better], at
-            free = np.where(done[:size], np.inf, low[:size])
-            nxt = int(free.argmin())
-            step = free[nxt]
-            u[row_of[done]] += step
-            v[done] -= step
-            low[~done] -= step
-            at = nxt
-        while at != size:
-            row_of[at] = row_of[came[at]]
-            at = came[at]
-    out = np.empty(size, dtype=int)
-    out[row_of[:size]] = np.arange(size)
-    return out
+def assignment_accuracy(table: DataFrame, limit: int = assignment.LABELS) -> float:
+    """Share of rows on the best one-to-one assignment of predicted to true labels, 1 for an empty table.
+
+    One number reaches the driver. See assignment.best_matching for what `limit` bounds."""
+    total = table.agg(F.sum("n")).first()[0]
+    return float(assignment.best_matching(table, limit).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / total) if total else 1.0
 
 
 def intra_distance(members: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.functions import seqfn
-from helixlake.operators import cluster, evaluate, jobs, metrics, preprocess
+from helixlake.operators import assignment, cluster, evaluate, jobs, metrics, preprocess
 from helixlake.plans.fixtures import ITEMS, READS, SMALL_READS, STRANDS, items, reads, small_items, small_reads, strands, strands_of, table
 from helixlake.plans.q_sources import FASTA, fasta_lines
 from helixlake.plans.registry import query
@@ -273,6 +273,14 @@ def met12_accuracy(spark, sf_dir):
     return spark.createDataFrame([(round(value, 9),)], "accuracy double")
 
 
+@query()
+def met12_matching(spark, sf_dir):
+    """The heaviest assignment of the strands of all documents to the clusters of their reads: as many labels as there are strands."""
+    strand = F.concat_ws("-", F.col("file_id").cast("string"), F.col("pos").cast("string"))
+    rows = reads(spark, sf_dir).select(strand.alias("t"), F.substring("seq", 1, 40).alias("p"))
+    return assignment.best_matching(metrics.contingency(rows))
+
+
 @query(f"""WITH {SMALL_READS}, d AS (SELECT a.file_id, a.pos, sum(levenshtein(a.seq, b.seq)) AS d FROM reads a JOIN reads b ON a.file_id = b.file_id AND a.pos = b.pos AND a.copy < b.copy GROUP BY 1, 2)
 SELECT file_id || '-' || pos AS cluster, round(d / 10.0::DOUBLE, 9) AS distance FROM d""")
 def met13_intra_distance(spark, sf_dir):

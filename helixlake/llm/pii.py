@@ -280,10 +280,17 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds
 
 
 class Model:
-    """Log odds of the span classifier: a weight per feature, and per kind (its bias), of bounded vocabularies."""
+    """Log odds of the span classifier: a weight per feature, and per kind (its bias), of bounded vocabularies; and the
+    posterior of each pattern of votes ("kind|v,v,..."), at most 3 ** LABELERS a kind, that it learned from."""
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
+    def __init__(self, weights: dict[str, float], posteriors: dict[str, float]):
+        self.weights, self.posteriors = weights, posteriors
+
+    def posterior(self, kind: Column, votes: Column) -> Column:
+        if not self.posteriors:
+            return F.lit(0.0)
+        table = F.create_map(*[F.lit(x) for kv in sorted(self.posteriors.items()) for x in kv])
+        return F.coalesce(F.try_element_at(table, F.concat(kind, F.lit("|"), F.concat_ws(",", F.transform(votes, lambda v: v.cast("string"))))), F.lit(0.0))
 
     def score(self, kind: Column, feats: Column) -> Column:
         if not self.weights:
@@ -303,7 +310,7 @@ def train(found: DataFrame) -> Model:
     for r in spread.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect():
         patterns.setdefault(r["kind"], []).append((tuple(int(v) for v in r["votes"].split(",")), r["n"]))
     if not patterns:
-        return Model({})
+        return Model({}, {})
     post = {f"{kind}|{','.join(map(str, p))}": q for kind, rows in patterns.items() for p, q in expectation_maximisation(sorted(rows))[1].items()}
     table = F.create_map(*[F.lit(x) for pq in sorted(post.items()) for x in pq])
     weighted = spread.select("kind", F.element_at(table, F.concat_ws("|", "kind", "votes")).alias("p"), F.explode(F.concat(F.array("kind"), "feats")).alias("f"))
@@ -312,14 +319,14 @@ def train(found: DataFrame) -> Model:
     for (kind, f), (a, b) in sums.items():
         yes, no = sums[(kind, kind)]
         out[f] = math.log((yes + 1) / (no + 1)) if f == kind else math.log((a + 1) / (yes + 2)) - math.log((b + 1) / (no + 2))
-    return Model(out)
+    return Model(out, post)
 
 
-def _tidy(xs: Column) -> Column:
-    """(kind, start, end) by start, then kind as listed."""
+def _tidy(xs: Column, *more: str) -> Column:
+    """(kind, start, end) and further fields by start, then kind as listed."""
     rank = F.create_map(*[F.lit(x) for kv in zip(KINDS, range(len(KINDS)), strict=True) for x in kv])
-    keyed = F.transform(xs, lambda c: F.struct(c["start"].alias("start"), rank[c["kind"]].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))
-    return F.transform(F.array_sort(keyed), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    keyed = F.transform(xs, lambda c: F.struct(c["start"].alias("start"), rank[c["kind"]].alias("rank"), c["end"].alias("end"), *[c[k].alias(k) for k in ("kind", *more)]))
+    return F.transform(F.array_sort(keyed), lambda c: F.struct(*[c[k].alias(k) for k in ("kind", "start", "end", *more)]))
 
 
 def _accepted(found: Column, model: Model) -> Column:
@@ -327,7 +334,8 @@ def _accepted(found: Column, model: Model) -> Column:
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base and spans of each row: arrays of (kind, start, end) by start, then kind.
+    """doc_id, base, judged and spans of each row: arrays of (kind, start, end) by start, then kind; judged are all
+    candidates beyond base, with the posterior of their votes and the classifier's score (log odds; added above 0).
 
     Ends are exclusive, positions in code points. Null texts are empty; texts are searched whole. Repeated rows and
     ids are judged each; columns beyond id and text are ignored, whatever their names; an empty table gives an empty
@@ -335,7 +343,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     """
     found = durable(candidates(docs, id_col, text).drop("text"), "pii")
     model = train(found)
-    return found.select("doc_id", _tidy(F.filter("found", lambda c: c["base"])).alias("base"), _tidy(_accepted(F.col("found"), model)).alias("spans"))
+    one = lambda c: F.struct(*[c[k].alias(k) for k in ("kind", "start", "end")], model.posterior(c["kind"], c["votes"]).alias("posterior"), model.score(c["kind"], c["feats"]).alias("score"))
+    rows = found.select("doc_id", _tidy(F.filter("found", lambda c: c["base"])).alias("base"), _tidy(F.transform(F.filter("found", lambda c: ~c["base"]), one), "posterior", "score").alias("judged"))
+    added = F.transform(F.filter("judged", lambda c: c["score"] > 0), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return rows.select("doc_id", "base", "judged", _tidy(F.concat("base", added)).alias("spans"))
 
 
 def count_of(xs: Column, kind: str) -> Column:
@@ -347,6 +358,11 @@ def joined(xs: Column) -> Column:
     return F.concat_ws(",", F.transform(xs, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))))
 
 
+def verdicts(xs: Column) -> Column:
+    """kind:start:end:posterior:score of each judged candidate, both to three places, comma-joined."""
+    return F.concat_ws(",", F.transform(xs, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"), *[(F.round(c[k], 3) + 0.0).cast("string") for k in ("posterior", "score")])))
+
+
 def redacted(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and text with every span, added ones too, replaced by its kind in brackets; of spans that overlap the
     first by start and kind names them all. Null texts become empty."""

@@ -33,7 +33,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.spans(table(spark, sf_dir, "documents"))
     counts = [pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE_KINDS]
-    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), pii.verdicts(F.col("judged")).alias("judged"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +33,8 @@ from helixlake.llm.words import lowered, raw_words
 #: Bounds of the fit: labelled findings drawn, and the share of values held out from it. A word of the dictionary has at
 #: least this share of the corpus's words; a value in so many different surroundings is public.
 SAMPLE, HOLD_OUT, WORD_SHARE, PUBLIC = 5_000, 5, 1e-6, 3
-#: How many times as likely evidence makes its side.
-TRUST = 4.0
+#: A score so near a half says nothing.
+UNSURE = 0.2
 TREES, DEPTH, SEED, NEAR = 40, 6, 7, 16
 #: Provider formats: fixed values.
 PROVIDERS = {
@@ -245,13 +245,20 @@ def held_out():
     return F.pmod(F.xxhash64("value", F.lit(5)), F.lit(HOLD_OUT)) == 0
 
 
+def fitted(labelled: DataFrame) -> RandomForestClassificationModel:
+    """The forest of labelled findings (label, feats)."""
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", probabilityCol="p", rawPredictionCol="raw", predictionCol="guess", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
+    return forest.fit(labelled.select("label", array_to_vector("feats").alias("x")))
+
+
 def scored(found: DataFrame) -> DataFrame:
     """found with held_out, score (the forest's probability of a secret) and secret.
 
     The forest learns from at most SAMPLE labelled findings that aren't held out, picked by hash in a single order,
-    so it is the same whatever the partitioning. secret weighs score and evidence: TRUST times the odds for a label
-    of 1, a TRUST-th for one of 0, and at least even odds. Without both labels nothing is learned: the score is the
-    label, 0 where there is none.
+    so it is the same whatever the partitioning. secret says that the score is at least a half: the forest may remove
+    a finding that its rule labels a secret. Only where it can't tell, within UNSURE of a half, does a label decide: what
+    gives the label isn't among the features, so equal values in equal surroundings may have either. Without both labels
+    nothing is learned: the score is the label, 0 where there is none.
     """
     order = F.xxhash64("value", "doc_id", "start", "kind")
     found = found.withColumn("held_out", held_out())
@@ -260,12 +267,10 @@ def scored(found: DataFrame) -> DataFrame:
     if labelled.select("label").distinct().count() < 2:
         score = F.coalesce("label", F.lit(0.0))
         return found.withColumn("score", score).withColumn("secret", score >= 0.5)
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", probabilityCol="p", rawPredictionCol="raw", predictionCol="guess", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    model = forest.fit(labelled.select("label", array_to_vector("feats").alias("x")))
-    out = model.transform(found.withColumn("x", array_to_vector("feats")))
+    out = fitted(labelled).transform(found.withColumn("x", array_to_vector("feats")))
     out = out.withColumn("score", F.element_at(vector_to_array("p"), 2))
-    weight = F.when(F.col("label") == 1, TRUST).when(F.col("label") == 0, 1 / TRUST).otherwise(1.0)
-    return out.drop("x", "p", "raw", "guess").withColumn("secret", F.col("score") * weight >= 1 - F.col("score"))
+    unsure = F.abs(F.col("score") - 0.5) <= UNSURE
+    return out.drop("x", "p", "raw", "guess").withColumn("secret", F.when(unsure & F.col("label").isNotNull(), F.col("label") == 1).otherwise(F.col("score") >= 0.5))
 
 
 def quality(rows: DataFrame) -> tuple[float, float]:

@@ -361,6 +361,36 @@ def test_the_forest_decides_beyond_its_labels(spark):
     assert twice.count() == 2 * out.count()
 
 
+def test_the_score_is_that_of_the_trees_and_the_verdict_that_of_the_score(spark):
+    rng = random.Random(4)
+    draw = lambda n, hard: [rng.gauss(3.0 if hard else 0.0, 2.0) for _ in range(n)]
+    rows = [(k, 0, 8, "long", f"v{k}", float(k % 2) if k % 5 else None, draw(6, k % 2)) for k in range(400)]
+    rows += [(400 + k, 0, 8, "assigned", f"w{k}", 1.0, [0.0] * 6) for k in range(3)]  # labelled secrets that look like none
+    rows += [(500 + k, 0, 8, "long", f"x{k}", 0.0, [0.0] * 6) for k in range(60)]
+    found = spark.createDataFrame(rows, "doc_id long, start int, end int, kind string, value string, label double, feats array<double>")
+    out = secrets.scored(found).collect()
+    picked = found.where("label IS NOT NULL").where(~secrets.held_out()).orderBy(F.xxhash64("value", "doc_id", "start", "kind"), "doc_id", "start").coalesce(1)
+
+    def tree(node):
+        if node.subtreeDepth() == 0:
+            counts = list(node.impurityStats().stats())
+            return counts[1] / sum(counts)
+        split = node.split()
+        return split.featureIndex(), split.threshold(), tree(node.leftChild()), tree(node.rightChild())
+
+    def walk(at, x):
+        while isinstance(at, tuple):
+            at = at[2] if x[at[0]] <= at[1] else at[3]
+        return at
+
+    trees = [tree(t._call_java("rootNode")) for t in secrets.fitted(picked).trees]
+    assert len(trees) == secrets.TREES
+    for r in out:
+        assert abs(r["score"] - sum(walk(t, r["feats"]) for t in trees) / len(trees)) < 1e-9
+        assert r["secret"] == (r["label"] == 1 if abs(r["score"] - 0.5) <= secrets.UNSURE and r["label"] is not None else r["score"] >= 0.5)
+    assert not any(r["secret"] for r in out if r["kind"] == "assigned")
+
+
 @pytest.mark.parametrize("n", [200, 201, 356, 5_000])
 def test_secrets_are_found_whole_at_any_length(n):
     value = "".join(random.Random(n).choice("abcdefghijkABCDEFGHIJK0123456789") for _ in range(n - 1)) + "7"
@@ -420,6 +450,41 @@ def test_pii_query_against_plain_regexes(spark):
         assert [mine[f"n_{k}"] for k in brute.KINDS] == [sum(x[0] == k for x in base) for k in brute.KINDS]
 
 
+def test_pii_posteriors_and_scores_against_plain_ones(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    more = [f"wohnt in Lindenstraße {k} seit" for k in range(9)] + [f"please call (212) 555-{2000 + k} or write joe{k} (at) site{k} (dot) com" for k in range(9)] + [f"order no 555.123.{4000 + k}/9 of part" for k in range(9)]
+    df = df.unionByName(spark.createDataFrame([(10**7 + k, t) for k, t in enumerate(more)], "doc_id long, text string"))
+    found = [(r["doc_id"], c) for r in pii.candidates(df).select("doc_id", "found").collect() for c in r["found"]]
+    posterior, weight = {}, {}
+    for kind in {c["kind"] for _, c in found}:
+        seen = [tuple(c["votes"]) for _, c in found if c["kind"] == kind]
+        forms = sorted(set(seen))
+        v, n = np.array(forms), np.array([seen.count(f) for f in forms], dtype=float)
+        p = 1 / (1 + np.exp(-1.5 * v.sum(axis=1)))
+        for _ in range(pii.ROUNDS):
+            odds = np.full(len(v), np.log(((n * p).sum() + 1) / ((n * (1 - p)).sum() + 1)))
+            for k in range(v.shape[1]):
+                chance = []
+                for w, up, down in ((n * (1 - p), 0.5, 1.5), (n * p, 1.5, 0.5)):
+                    a, b = (w[v[:, k] > 0].sum() + up) / (w.sum() + 3), (w[v[:, k] < 0].sum() + down) / (w.sum() + 3)
+                    chance.append(np.maximum(np.select([v[:, k] > 0, v[:, k] < 0], [a, b], 1 - a - b), 1e-9))
+                odds += np.log(chance[1] / chance[0])
+            p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        posterior |= {(kind, f): x for f, x in zip(forms, p, strict=True)}
+        mine = [(c["feats"], posterior[kind, tuple(c["votes"])]) for _, c in found if c["kind"] == kind]
+        yes, no = sum(x for _, x in mine), sum(1 - x for _, x in mine)
+        weight[kind] = math.log((yes + 1) / (no + 1))
+        for f in {f for fs, _ in mine for f in fs}:
+            a, b = sum(x for fs, x in mine if f in fs), sum(1 - x for fs, x in mine if f in fs)
+            weight[f] = math.log((a + 1) / (yes + 2)) - math.log((b + 1) / (no + 2))
+    want = {(d, c["kind"], c["start"], c["end"]): (posterior[c["kind"], tuple(c["votes"])], weight[c["kind"]] + sum(weight[f] for f in c["feats"])) for d, c in found if not c["base"]}
+    rows = pii.spans(df).collect()
+    got = {(r["doc_id"], c["kind"], c["start"], c["end"]): (c["posterior"], c["score"]) for r in rows for c in r["judged"]}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-6 for k in want for a, b in zip(got[k], want[k], strict=True))
+    spans = {(r["doc_id"], c["kind"], c["start"], c["end"]) for r in rows for c in r["spans"]}
+    assert all((k in spans) == (score > 0) for k, (_, score) in want.items()) and any(score > 0 for _, score in want.values())
+
+
 def test_pii_of_every_further_kind(spark, docs):
     good = [
         "please write to Anna Schmidt at the desk", "she lives at 12 Baker Street now", "wohnt in Lindenstraße 14 seit", "habite 7, rue de la Paix ici", "vive en Calle de Alcalá 20 ahora",

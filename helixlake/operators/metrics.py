@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.durable import durable
+from helixlake.operators.nearest import nearest as nearest_originals
 from helixlake.operators import assignment
 from helixlake.operators.assignment import best_assignment  # noqa: F401
 from helixlake.operators.cluster import purity
@@ -299,24 +300,25 @@ def _within(rest: DataFrame, originals: DataFrame, most: int) -> DataFrame:
 
 def reconstruction_rate(originals: DataFrame, found: DataFrame, rounds: tuple[int, ...] = (2, 5)) -> DataFrame:
     """seq, nearest, rate of each distinct candidate with its count: 1 if it is an original, else 1 - its least
-    edit distance over the length of the nearest original (the first by pos among equals).
+    edit distance over the length of the nearest original (the first by pos among equals; null if that is empty).
 
     Exact hits go by equi-join. Candidates near an original are found by seeds, for one number of edits after another
-    (`rounds`): whoever has an original within that distance has its nearest one. Only what is farther away than
-    the last of them is compared with all originals."""
-    have = durable(found.groupBy("seq").agg(F.count("*").alias("c")), "candidates")
+    (`rounds`): whoever has an original within that distance has its nearest one. What is farther away than the last of
+    them goes by bounds on the counts of short windows (`nearest.nearest`). Null candidates and originals take no part."""
+    have = durable(found.where("seq IS NOT NULL").groupBy("seq").agg(F.count("*").alias("c")), "candidates")
     want = durable(originals.groupBy("seq").agg(F.min("pos").alias("pos")), "originals")
     out = have.join(want, "seq", "left_semi").select("seq", F.col("seq").alias("nearest"), F.lit(1.0).alias("rate"), "c")
     rest = durable(have.join(want, "seq", "left_anti"), "inexact")
-    rated = lambda m: m.select("seq", F.col("m.t").alias("nearest"), (1 - F.col("m.d") / F.length("m.t")).alias("rate"), "c")
+    rated = lambda m: m.select("seq", F.col("m.t").alias("nearest"), (1 - F.col("m.d") / F.nullif(F.length("m.t"), F.lit(0))).alias("rate"), "c")
     nearest = F.min_by(F.struct("t", "d"), F.struct("d", "pos")).alias("m")
     for most in rounds:
         near = durable(_within(rest, want, most).groupBy("seq", "c").agg(nearest), "near")
         out = out.unionByName(rated(near))
         rest = durable(rest.join(near.select("seq"), "seq", "left_anti"), "far")
-    far = rest.repartition(found.sparkSession.sparkContext.defaultParallelism).alias("h")
-    pairs = far.join(want.alias("w"), F.lit(True)).select("h.seq", "h.c", F.col("w.seq").alias("t"), "w.pos", F.levenshtein("h.seq", "w.seq").alias("d"))
-    return out.unionByName(rated(pairs.groupBy("seq", "c").agg(nearest)))
+    if rest.isEmpty():
+        return out
+    far = nearest_originals(rest, want)
+    return out.unionByName(rated(far.select("seq", "c", F.struct("t", "d").alias("m"))))
 
 
 def mean_rate(rates: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from helixlake.durable import durable, fresh_path
 from helixlake.functions import seqfn
 from helixlake.operators import cluster, codec, consensus, greedy, jobs, metrics
 from helixlake.plans.fixtures import ITEMS, READS, SMALL_ITEMS, SMALL_READS, STRANDS, dealt_out, items, noisy, noisy_sql, reads, small_items, small_reads, strands, table
 from helixlake.plans.q_sources import BITS
-from helixlake.plans.registry import query
+from helixlake.plans.registry import ORACLE_SQL, query
 from helixlake.sources import readers, writers
+from helixlake.streaming import cores as online
 
 SEGMENT = 120
 SEGS = f"""bits AS (SELECT doc_id AS file_id, {BITS.format('encode(text)')} AS b FROM documents), segs AS (SELECT file_id, k AS seg_no, rpad(substr(b, k * 120 + 1, 120), 120, '0') AS bits
@@ -279,6 +281,23 @@ def clu9_corrected_cores(spark, sf_dir):
     return fixed.select("id.file_id", "id.pos", "seq")
 
 
+@query(ORACLE_SQL["clu9_corrected_cores"])
+def clu9_online_cores(spark, sf_dir):
+    """The same reads as a stream that is stopped and resumed: votes are its state."""
+    rows = items(spark, sf_dir)
+    wrong = F.when(F.col("pos") % 2 == 0, F.overlay("seq", F.translate(F.substring("seq", 8, 1), "ACGT", "GTAC"), F.lit(8))).otherwise(F.col("seq"))
+    name = F.concat_ws(":", "file_id", "pos")
+    known = rows.select(name.alias("id"), wrong.alias("seq"), "file_id", "pos")
+    arrived, kept, state = (fresh_path(spark, x) for x in ("arrived", "online-cores", "online-state"))
+    pairs = durable(known.withColumnRenamed("seq", "a").join(noisy(rows, 8).select(name.alias("id"), F.col("seq").alias("b"), "copy"), "id").select("id", "a", "b", "copy"), "online-pairs")
+    for run in (0, 1):  # half of the reads arrive before each; a query of its own, with the state of the one before
+        pairs.where(F.col("copy") % 2 == run).select("id", "a", "b").write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema("id string, a string, b string").parquet(arrived)
+        online.keep_corrected(online.corrected_stream(stream), kept, state).awaitTermination()
+    fixed = online.current_cores(spark, known.select("id", "seq"), kept)
+    return known.select("id", "file_id", "pos").join(fixed, "id").select("file_id", "pos", "seq")
+
+
 @query(f"""WITH {READS}, b AS (SELECT read_id AS id, i.seq AS a, r.seq AS b FROM reads r JOIN items i USING (file_id, pos)), x AS (SELECT id, unnest(range(100))::INT AS "at", unnest(string_split(a, '')) AS expected, unnest(string_split(b, '')) AS found FROM b)
 SELECT id, "at", expected, found FROM x WHERE expected <> found""")
 def clu10_mismatches(spark, sf_dir):

@@ -100,3 +100,10 @@ def test_a_trie_with_deletes_looks_prefixes_up(spark):
     asked = spark.createDataFrame([(p,) for p in ("", "A", "AC", "ACG", "ACC", "GG", "ACGTA")] + [(None,)], "prefix string")
     got = {r["prefix"]: (r["words"], r["label"]) for r in cluster.prefix_lookup(asked, nodes).collect()}
     assert got == {"": (4, 1), "A": (3, 1), "AC": (3, 1), "ACG": (2, 1), "ACC": (0, None), "GG": (0, None), "ACGTA": (0, None), None: (0, None)}
+
+
+def test_words_that_are_live_twice_under_one_label_are_two_references(spark):
+    deltas = [(1, "ACGT", 1), (1, "ACGT", 1), (1, "ACCC", 1), (2, "AC", 1), (2, "AC", 1), (2, "AC", -1)]
+    nodes = cluster.trie_nodes(cluster.live_words(spark.createDataFrame(deltas, "label int, word string, sign int")))
+    got = {r["prefix"]: (r["words"], r["label"]) for r in cluster.prefix_lookup(spark.createDataFrame([("A",), ("ACG",), ("AC",)], "prefix string"), nodes).collect()}
+    assert got == {"A": (4, 1), "ACG": (2, 1), "AC": (4, 1)}

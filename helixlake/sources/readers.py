@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.durable import apart
-from helixlake.functions import seqfn
+from helixlake.functions import flat
 from helixlake.operators.scan import running_counts
 
 
@@ -40,13 +42,23 @@ def strand_lines(lines: DataFrame, keep_blank: bool = False) -> DataFrame:
 
 def bit_segments(rows: DataFrame, key: str, data: Column, segment_length: int = 120) -> DataFrame:
     """file_id, seg_no, bits: 8 bits a byte, most significant first, the last segment padded with 0."""
-    hexed = F.hex(data)
-    if segment_length % 4 == 0:
-        parts, full = seqfn.pieces(hexed, segment_length // 4), lambda p: seqfn.hex_to_bits(F.rpad(p, segment_length // 4, "0"))
-    else:
-        parts, full = seqfn.pieces(seqfn.hex_to_bits(hexed), segment_length), lambda p: F.rpad(p, segment_length, "0")
-    cut = rows.select(F.col(key).alias("file_id"), F.posexplode(parts).alias("seg_no", "part"))
-    return cut.select("file_id", F.col("seg_no").cast("long").alias("seg_no"), full(F.col("part")).alias("bits"))
+
+    def run(batches):
+        for batch in batches:
+            for b in flat.cut(batch, "data", 1 << 20):
+                octets, at = flat.bytes_of(b.column("data"))
+                n = -(-np.diff(at) * 8 // segment_length)
+                first = np.concatenate([[0], np.cumsum(n)])
+                if segment_length % 8 == 0:
+                    bits = np.unpackbits(flat.moved(octets, at, first[:-1] * (segment_length // 8), int(first[-1]) * (segment_length // 8)))
+                else:
+                    bits = flat.moved(np.unpackbits(octets), at * 8, first[:-1] * segment_length, int(first[-1]) * segment_length)
+                number = np.arange(first[-1]) - np.repeat(first[:-1], n)
+                files = b.column("file_id").take(pa.array(np.repeat(np.arange(b.num_rows), n)))
+                yield pa.RecordBatch.from_arrays([files, pa.array(number), flat.rows_of(48 + bits.reshape(-1, segment_length))], names=["file_id", "seg_no", "bits"])
+
+    given = rows.select(F.col(key).alias("file_id"), data.alias("data"))
+    return given.mapInArrow(run, f"file_id {given.schema['file_id'].dataType.simpleString()}, seg_no long, bits string")
 
 
 def bit_size(data: Column) -> Column:

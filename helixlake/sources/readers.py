@@ -6,6 +6,7 @@ plan over a scan. Windows hold a block of a file's positions, never a whole file
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,25 +41,34 @@ def strand_lines(lines: DataFrame, keep_blank: bool = False) -> DataFrame:
     return rows if keep_blank else rows.where("seq <> ''")
 
 
-def bit_segments(rows: DataFrame, key: str, data: Column, segment_length: int = 120) -> DataFrame:
-    """file_id, seg_no, bits: 8 bits a byte, most significant first, the last segment padded with 0."""
+def cut_bits(data: pa.Array, segment_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which value, number within it, bits as 0 and 1) of the segments of binary values; the last of each is padded with 0."""
+    octets, at = flat.bytes_of(data)
+    n = -(-np.diff(at) * 8 // segment_length)
+    first = np.concatenate([[0], np.cumsum(n)])
+    if segment_length % 8 == 0:
+        bits = np.unpackbits(flat.moved(octets, at, first[:-1] * (segment_length // 8), int(first[-1]) * (segment_length // 8)))
+    else:
+        bits = flat.moved(np.unpackbits(octets), at * 8, first[:-1] * segment_length, int(first[-1]) * segment_length)
+    return np.repeat(np.arange(len(n)), n), np.arange(first[-1]) - np.repeat(first[:-1], n), bits.reshape(-1, segment_length)
+
+
+def segments_as(rows: DataFrame, key: str, data: Column, segment_length: int, write: Callable[[np.ndarray, np.ndarray], pa.Array], name: str) -> DataFrame:
+    """file_id, seg_no and a string of each segment, which `write` makes of a batch's numbers and bits (a row of 0 and 1 each)."""
 
     def run(batches):
         for batch in batches:
             for b in flat.cut(batch, "data", 1 << 20):
-                octets, at = flat.bytes_of(b.column("data"))
-                n = -(-np.diff(at) * 8 // segment_length)
-                first = np.concatenate([[0], np.cumsum(n)])
-                if segment_length % 8 == 0:
-                    bits = np.unpackbits(flat.moved(octets, at, first[:-1] * (segment_length // 8), int(first[-1]) * (segment_length // 8)))
-                else:
-                    bits = flat.moved(np.unpackbits(octets), at * 8, first[:-1] * segment_length, int(first[-1]) * segment_length)
-                number = np.arange(first[-1]) - np.repeat(first[:-1], n)
-                files = b.column("file_id").take(pa.array(np.repeat(np.arange(b.num_rows), n)))
-                yield pa.RecordBatch.from_arrays([files, pa.array(number), flat.rows_of(48 + bits.reshape(-1, segment_length))], names=["file_id", "seg_no", "bits"])
+                which, number, bits = cut_bits(b.column("data"), segment_length)
+                yield pa.RecordBatch.from_arrays([b.column("file_id").take(pa.array(which)), pa.array(number), write(number, bits)], names=["file_id", "seg_no", name])
 
     given = rows.select(F.col(key).alias("file_id"), data.alias("data"))
-    return given.mapInArrow(run, f"file_id {given.schema['file_id'].dataType.simpleString()}, seg_no long, bits string")
+    return given.mapInArrow(run, f"file_id {given.schema['file_id'].dataType.simpleString()}, seg_no long, {name} string")
+
+
+def bit_segments(rows: DataFrame, key: str, data: Column, segment_length: int = 120) -> DataFrame:
+    """file_id, seg_no, bits: 8 bits a byte, most significant first, the last segment padded with 0."""
+    return segments_as(rows, key, data, segment_length, lambda number, bits: flat.rows_of(48 + bits), "bits")
 
 
 def bit_size(data: Column) -> Column:

@@ -107,3 +107,19 @@ def test_words_that_are_live_twice_under_one_label_are_two_references(spark):
     nodes = cluster.trie_nodes(cluster.live_words(spark.createDataFrame(deltas, "label int, word string, sign int")))
     got = {r["prefix"]: (r["words"], r["label"]) for r in cluster.prefix_lookup(spark.createDataFrame([("A",), ("ACG",), ("AC",)], "prefix string"), nodes).collect()}
     assert got == {"A": (4, 1), "ACG": (2, 1), "AC": (4, 1)}
+
+
+def test_cores_of_hot_prefixes_and_of_the_others_are_one_result(spark):
+    """Prefixes with many reads go in rounds against all their cores, the others in a sorted stream; nulls, short reads and letters that are no bases among them."""
+    from helixlake.durable import scratch
+
+    rng = random.Random(11)
+    seeds = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(12)]
+    rows = [(k, "".join(c if rng.random() > 0.1 else rng.choice("ACGT") for c in rng.choice(seeds))) for k in range(900)]
+    rows += [(900 + k, s) for k, s in enumerate(["", None, "ACG", "Ä" * 30, "N" * 45, "-" * 80, "ACGT" * 30])]
+    reads = spark.createDataFrame(rows, "read_id long, seq string").repartition(4)
+    with scratch(spark) as made:
+        by_rounds, streamed = (sorted(map(tuple, cluster.sequential_cores(reads, 1, hot=n, prefixes=True).select("read_id", "p", "core", "how").collect()), key=str) for n in (100_000, 0))
+        assert not any("cores-state" in path or "cores-settled" in path for path in made)  # reads are not written in each round
+    assert by_rounds == streamed and len(by_rounds) == len(rows)
+    assert {h for *_, h in streamed} == {"new", "head", "tail", "middle", "dropped"}

@@ -124,3 +124,26 @@ def test_one_file_in_blocks_keeps_clusters_and_labels(spark, monkeypatch):
     members = spark.createDataFrame([("f", c, m, s) for c, m, s in plain], "file_id string, cluster_id int, member_no int, seq string")
     out = [r["line"] for r in writers.cluster_fasta(members).orderBy("pos").collect()]
     assert out == [x for i in range(24) for x in [f">Cluster{i}", *[s for c, _, s in plain if c == i]]]
+
+
+def test_cluster_lines_of_one_file_over_many_partitions(spark):
+    """Numbers and headers go on where a file, or a cluster, goes on in the next partition; files within one need no counts of others."""
+    from helixlake.operators.scan import numbered
+    from helixlake.sources import writers
+
+    rows = [(f, c, m, f"S{f}.{c}.{m}") for f, cs in ((1, 7), (2, 1), (None, 3)) for c in range(0, 3 * cs, 3) for m in range(40 if f == 2 else 5)] + [(9, 4, 0, None)]
+    members = spark.createDataFrame(rows, "file_id long, cluster_id long, member_no int, seq string").repartition(3)
+    want = {}
+    for f in {r[0] for r in rows}:
+        lines = []
+        for c in sorted({r[1] for r in rows if r[0] == f}):
+            lines += [f">Cluster{c}", *[r[3] for r in rows if r[0] == f and r[1] == c]]
+        want |= {(f, k): line for k, line in enumerate(lines)}
+    found = writers.cluster_fasta(members)
+    assert {(r["file_id"], r["pos"]): r["line"] for r in found.collect()} == want and found.count() == len(want)
+    many = numbered(members, ["file_id"], ["cluster_id", "member_no"], partitions=17, kinds=("cluster_id", "c"))
+    got = {(r["file_id"], r["r"]): (r["cluster_id"], r["c"], r["c_new"]) for r in many.collect()}
+    for f in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2]) for r in rows if r[0] == f)
+        ids = sorted({c for c, _ in mine})
+        assert [got[f, k] for k in range(len(mine))] == [(c, ids.index(c), m == 0) for c, m in mine]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from helixlake.plans import fixtures
-from helixlake.sources import writers
+from helixlake.sources import readers, writers
 
 
 def exchanges(df):
@@ -28,3 +28,20 @@ def test_candidates_are_told_apart_without_an_exchange_of_reads(spark):
     got = writers.candidate_lines(rows, together=True)
     assert exchanges(got) == exchanges(rows)
     assert sorted(map(str, got.collect())) == sorted(map(str, writers.candidate_lines(rows).collect()))
+
+
+def test_blocks_of_lines_in_order_equal_those_by_position(spark):
+    import random
+
+    rng = random.Random(4)
+    files = [(k, [rng.choice([">a", ">", "ACGT", "T ", " A", "=", "", "xyz", None, "GG", "C"]) for _ in range(rng.randrange(60))]) for k in [*range(30), None]]
+    lines = [(k, p, x) for k, found in files for p, x in enumerate(found)] + [(99, 0, ">long")] + [(99, p, "ACGT") for p in range(1, 25_000)]
+    df = spark.createDataFrame(lines, "file_id long, pos long, line string")
+    known = df.where("file_id IS NOT NULL")
+    want = sorted(map(str, readers.cluster_blocks(known).collect()))
+    for n in (1, 3):  # a file's lines may come in many batches, and files one after the other
+        placed = df.repartition(n, "file_id").sortWithinPartitions("file_id", "pos")
+        got = readers.cluster_blocks_in_order(placed)
+        assert exchanges(got) == exchanges(placed)
+        assert sorted(str(r) for r in got.collect() if r["file_id"] is not None) == want
+        assert got.where("file_id IS NULL").count() > 0  # files without a key are one file

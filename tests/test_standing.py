@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from helixlake.operators import cluster
 from helixlake.plans import fixtures
 from helixlake.sources import readers, writers
 
@@ -45,3 +46,11 @@ def test_blocks_of_lines_in_order_equal_those_by_position(spark):
         assert exchanges(got) == exchanges(placed)
         assert sorted(str(r) for r in got.collect() if r["file_id"] is not None) == want
         assert got.where("file_id IS NULL").count() > 0  # files without a key are one file
+
+
+def test_purity_counts_its_reads_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (2, None), (None, "a")], "core long, tag string")
+    got = cluster.purity(rows)
+    assert tuple(got.first()) == (6, 2, 3, 3)
+    got.collect()
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()

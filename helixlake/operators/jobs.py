@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.durable import durable, join_checked
+
 #: Messages that reach users as they are: fixed values, with the codecs' divisor rules in words.
 KNOWN_ERRORS = (
     "Segment length must be divisible by 2",
@@ -52,9 +56,29 @@ def append_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+#: Rows of a join's result that a task should make.
+TASK_ROWS = 4_000_000
+
+
 def metadata_of(requests: DataFrame, info: DataFrame) -> DataFrame:
-    """requests (user, file_name) with their metadata, and `error` where there is none."""
-    joined = requests.join(info, ["user", "file_name"], "left")
+    """requests (user, file_name) with their metadata, and `error` where there is none.
+
+    Names that are asked for often and known often give as many rows as both counts multiplied, so the join is cut by what it makes and not by what it
+    reads: the requests of such a name are dealt over several tasks, each of which gets its metadata."""
+    keys = ["user", "file_name"]
+    asked, known = requests.groupBy(*keys).agg(F.count("*").alias("__a")), info.groupBy(*keys).agg(F.count("*").alias("__b"))
+    made = asked.join(known, keys).withColumn("__m", F.col("__a").cast("double") * F.col("__b"))
+    total = made.agg(F.sum("__m")).first()[0] or 0.0
+    parts = max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / TASK_ROWS))
+    often = made.where(F.col("__m") > TASK_ROWS).select(*keys, F.least(F.col("__a"), F.ceil(F.col("__m") / TASK_ROWS)).cast("int").alias("__n"))
+    often = durable(often, "often-asked")
+    dealt, spread = requests.withColumn("__salt", F.lit(0)), info.withColumn("__salt", F.lit(0))
+    if not often.isEmpty():
+        salt = F.pmod(F.xxhash64(*requests.columns), F.coalesce("__n", F.lit(1))).cast("int")
+        dealt = join_checked(requests, often, keys, "left").withColumn("__salt", salt).drop("__n")
+        spread = join_checked(info, often, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))).drop("__n")
+    on = [*keys, "__salt"]
+    joined = dealt.repartition(parts, *on).join(spread.repartition(parts, *on), on, "left").drop("__salt")
     return joined.withColumn("error", F.when(F.col("id").isNull(), "no such file"))
 
 

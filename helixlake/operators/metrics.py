@@ -235,6 +235,15 @@ def calinski_harabasz(vectors: DataFrame) -> DataFrame:
     return parts.select((F.col("between") * (F.col("n") - F.col("k")) / F.nullif(F.col("within") * (F.col("k") - 1), F.lit(0.0))).alias("calinski_harabasz"))
 
 
+def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances of the rows of a and b by inner products; those so small that digits would be lost, and what isn't finite, by differences."""
+    both = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    out = both - 2 * (a @ b.T)
+    i, j = np.nonzero(~(out > 1e-4 * both) | ~np.isfinite(both))
+    out[i, j] = ((a[i] - b[j]) ** 2).sum(axis=1)
+    return out
+
+
 def silhouette(vectors: DataFrame, block: int = 4_096) -> DataFrame:
     """Mean silhouette (Euclidean) of vectors (id, label, vector).
 
@@ -250,14 +259,14 @@ def silhouette(vectors: DataFrame, block: int = 4_096) -> DataFrame:
 
     def sums(rows: pa.Table) -> pa.Table:
         mine = rows.column("mine").to_numpy(zero_copy_only=False)
-        x = np.array(rows.column("vector").to_pylist(), dtype=np.float64)
+        x = rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(mine), -1)
         label, key = rows.column("label").to_numpy(), rows.column("id").to_numpy()
         a, b, lb = x[mine], x[~mine], label[~mine]
         kinds = np.unique(lb)
         if not len(a) or not len(b):
             return pa.table({"id": pa.array([], pa.int64()), "label": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "d": pa.array([], pa.float64()), "n": pa.array([], pa.int64())})
         of = (lb[:, None] == kinds[None, :]).astype(np.float64)
-        out = np.stack([np.sqrt(((row - b) ** 2).sum(axis=1)) @ of for row in a])  # a row's distances at a time
+        out = np.concatenate([np.sqrt(squared_distances(a[k : k + 64], b)) @ of for k in range(0, len(a), 64)])
         return pa.table({
             "id": np.repeat(key[mine], len(kinds)), "label": np.repeat(label[mine], len(kinds)).astype(np.int64), "other": np.tile(kinds, len(a)).astype(np.int64),
             "d": out.ravel(), "n": np.tile([(lb == k).sum() for k in kinds], len(a)),

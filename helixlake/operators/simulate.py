@@ -10,10 +10,13 @@ import math
 import re
 from collections.abc import Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.functions import rng
+from helixlake.operators.scan import changes
 
 #: Lengths of long deletions and their relative weights: fixed values.
 LONG = ((2, 2.8e-4), (3, 7.75e-5), (4, 3.25e-5), (5, 1e-6), (6, 5.5e-8))
@@ -206,3 +209,42 @@ def origin_blocks(reads: DataFrame) -> DataFrame:
     per = reads.groupBy("file_id", "pos", "seq").agg(F.array_sort(F.collect_list(F.struct("copy", "read"))).alias("rs"))
     lines = F.concat(F.array(F.col("seq"), F.lit("*" * 29)), F.transform("rs", lambda r: r["read"]), F.array(F.lit(""), F.lit("")))
     return per.select("file_id", "pos", F.posexplode(lines).alias("k", "line"))
+
+
+def origin_blocks_in_order(reads: DataFrame) -> DataFrame:
+    """The same of rows in order, those of a strand together in one partition and by copy: lines are put out as the rows pass, with no exchange."""
+    kind = lambda c: reads.schema[c].dataType.simpleString()
+    names = ["file_id", "pos", "seq", "read"]
+
+    def run(batches):
+        held, size = None, 0  # the row before, and how many of its strand have been
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = changes([b.column(c) for c in names[:3]], held and held[:3])
+            at = np.arange(b.num_rows)
+            begun = np.maximum.accumulate(np.where(new, at, -1))
+            number = np.where(begun < 0, size + at, at - begun)  # of a read in its strand
+            before = np.concatenate([[size], number[:-1] + 1])  # reads of the strand that ends before a new one
+            ended = new & (before > 0)
+            many = 1 + 2 * new + 2 * ended
+            row = np.repeat(at, many)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            place += np.where(ended[row], 0, 2)  # 0 and 1 are the end of the strand before
+            place[~new[row]] = 4  # 2 and 3 begin a strand, 4 is the read
+            past = place < 2
+            n = b.num_rows
+            lines = pa.concat_arrays([b.column("read"), b.column("seq"), pa.array(["*" * 29, ""], b.schema.field("read").type)])
+            line = np.select([past, place == 2, place == 3], [2 * n + 1, n + row, 2 * n], row)
+            k = np.select([past, place < 4], [before[row] + 2 + place, place - 2], number[row] + 2)
+            first = [pa.array([held[i] if held else None], b.schema.field(c).type) for i, c in enumerate(names[:2])]
+            owner = pa.array(row + np.where(past, 0, 1))
+            files = [pa.concat_arrays([f, b.column(c)]).take(owner) for f, c in zip(first, names[:2], strict=True)]
+            yield pa.RecordBatch.from_arrays([*files, pa.array(k.astype(np.int32)), lines.take(pa.array(line))], names=["file_id", "pos", "k", "line"])
+            held, size = [b.column(c)[-1].as_py() for c in names], int(number[-1]) + 1
+        if held:
+            kinds = [b.schema.field(c).type for c in names]
+            ends = [pa.array([held[i]] * 2, kinds[i]) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array([size + 2, size + 3], pa.int32()), pa.array(["", ""], kinds[3])], names=["file_id", "pos", "k", "line"])
+
+    return reads.select(*names).mapInArrow(run, f"file_id {kind('file_id')}, pos {kind('pos')}, k int, line string")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from helixlake.operators import cluster
+from helixlake.operators import cluster, simulate
 from helixlake.plans import fixtures
 from helixlake.sources import readers, writers
 
@@ -54,3 +54,19 @@ def test_purity_counts_its_reads_once(spark):
     assert tuple(got.first()) == (6, 2, 3, 3)
     got.collect()
     assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_origin_blocks_in_order_equal_grouped_ones(spark):
+    rows = [(f, p, c, "AC" * (p + 1), f"r{f}{p}{c}") for f in (*range(6), None) for p in range(9) for c in range((p * 7 + (f or 0)) % 5)]
+    rows += [(9, 0, c, "LONG", f"x{c}") for c in range(25_000)]
+    df = spark.createDataFrame(rows, "file_id long, pos long, copy int, seq string, read string")
+    want = sorted(map(str, simulate.origin_blocks(df).collect()))
+    for n in (1, 3):
+        placed = df.repartition(n, "file_id").sortWithinPartitions("file_id", "pos", "copy")
+        got = simulate.origin_blocks_in_order(placed)
+        assert exchanges(got) == exchanges(placed)
+        assert sorted(map(str, got.collect())) == want
+    named = fixtures.reads_of(texts(spark), "doc_id", columns=("pos", "origin", "file_id"))
+    whole = fixtures.strands_of(texts(spark), "doc_id")
+    assert named.columns == ["pos", "origin", "file_id"] and named.count() == fixtures.COPIES * whole.count()
+    assert named.select("file_id", "pos", "origin").exceptAll(whole.crossJoin(spark.range(fixtures.COPIES)).drop("id")).isEmpty()

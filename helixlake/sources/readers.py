@@ -108,8 +108,9 @@ def length_band(rows: DataFrame, low: int = 100, high: int = 300) -> DataFrame:
 def indexed_reads(lines: DataFrame) -> DataFrame:
     """`{tag} {seq}` lines: those with an N are dropped, the first run of blanks separates."""
     rows = lines.where(~F.contains("line", F.lit("N")) & (F.trim("line") != ""))
-    parts = F.split(F.trim("line"), r"\s+", 2)
-    return rows.select("file_id", parts[0].try_cast("int").alias("tag"), parts[1].alias("seq")).where("seq IS NOT NULL")
+    text = rows.select("file_id", F.trim("line").alias("line")).withColumn("at", F.regexp_instr("line", F.lit(r"\s"))).where("at > 0")  # a match ends where it is found
+    tag = F.substr("line", F.lit(1), F.col("at") - 1).try_cast("int")
+    return text.select("file_id", tag.alias("tag"), F.ltrim(F.substr("line", F.col("at")), F.lit(" \t\n\x0b\f\r")).alias("seq"))
 
 
 def cluster_blocks(lines: DataFrame) -> DataFrame:

@@ -70,3 +70,12 @@ def test_origin_blocks_in_order_equal_grouped_ones(spark):
     whole = fixtures.strands_of(texts(spark), "doc_id")
     assert named.columns == ["pos", "origin", "file_id"] and named.count() == fixtures.COPIES * whole.count()
     assert named.select("file_id", "pos", "origin").exceptAll(whole.crossJoin(spark.range(fixtures.COPIES)).drop("id")).isEmpty()
+
+
+def test_indexed_reads_with_odd_blanks_and_without_splitting(spark):
+    lines = ["1 ACGT", "  2 \t AC GT ", "x AC", "\tAC", "3", "", "  ", "4 ACN", "5\tAC\tGT", "6 \t", "99999999999 A", None, "7\nAC"]
+    df = spark.createDataFrame([(0, x) for x in lines], "file_id int, line string")
+    got = readers.indexed_reads(df)
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [(1, "ACGT"), (2, "AC GT"), (None, "AC"), (None, "AC"), (5, "AC\tGT"), (6, ""), (None, "A"), (7, "AC")]
+    assert sorted(((r["tag"], r["seq"]) for r in got.collect()), key=str) == sorted(want, key=str)

@@ -636,9 +636,10 @@ def _joined(runs: list[tuple[int, int, int, bytes]], size: int | None) -> bytes
     return np.packbits(np.concatenate([np.zeros(-len(bits) // 4 * -4 % 8, np.uint8), bits])).tobytes()
 
 
-def _files_of(runs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """file_id, data, longest, bases, strands of the files that have both runs and a size. Runs and sizes take one exchange, and a sorted stream puts
-    one file after another together."""
+def _files_of(runs: DataFrame, sizes: DataFrame, empty: bool = False) -> DataFrame:
+    """file_id, data, longest, bases, strands of the files that have both runs and a size; if `empty`, also of those without runs that have none to have: files of
+    no bits (no data, no strands, bases alone), and those whose size is null (neither is known). Runs and sizes take one exchange, and a sorted stream
+    puts one file after another together."""
     kind = runs.schema["file_id"].dataType.simpleString()
     given = sizes.select(F.col("file_id").cast(kind), *[F.lit(None).cast(f.dataType).alias(f.name) for f in runs.schema if f.name != "file_id"], F.col("bit_size").cast("long").alias("bit_size"))
     every = runs.withColumn("bit_size", F.lit(None).cast("long")).unionByName(given).where("file_id IS NOT NULL")
@@ -650,7 +651,10 @@ def _files_of(runs: DataFrame, sizes: DataFrame) -> DataFrame:
 
         def end() -> int:
             nonlocal wanted, mine, facts
-            made = [(file, _joined(mine, size), facts[0], None if not facts[1] else not facts[2], facts[3]) for size in wanted] if mine else []
+            if mine:
+                made = [(file, _joined(mine, size), facts[0], None if not facts[1] else not facts[2], facts[3]) for size in wanted]
+            else:
+                made = [(file, _joined([], size), 0, True, size) for size in wanted if empty and not size]
             out.extend(made)
             wanted, mine, facts = [], [], [0, 0, 0, 0]
             return sum(len(m[1] or b"") for m in made)
@@ -682,9 +686,10 @@ def _files_of(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, f"file_id {kind}, data binary, longest int, bases boolean, strands long")
 
 
-def reassembled(segments: DataFrame, sizes: DataFrame) -> DataFrame:
+def reassembled(segments: DataFrame, sizes: DataFrame, empty: bool = False) -> DataFrame:
     """file_id, data: segments in order, joined and cut to the file's bit_size. Of segments with one number any stays. Bits travel packed,
-    eight to a byte, and segments that follow one another in a batch as one row, through one exchange by file."""
+    eight to a byte, and segments that follow one another in a batch as one row, through one exchange by file. If `empty`, files of no bits are empty
+    and those without a size null; else only files with segments come back."""
 
     def run(batches):
         for b in batches:
@@ -692,7 +697,7 @@ def reassembled(segments: DataFrame, sizes: DataFrame) -> DataFrame:
 
     kind = segments.schema["file_id"].dataType.simpleString()
     runs = segments.select("file_id", F.col("seg_no").cast("long").alias("seg_no"), "bits").mapInArrow(run, f"file_id {kind}, {RUN}")
-    return _files_of(runs, sizes).select("file_id", "data")
+    return _files_of(runs, sizes, empty).select("file_id", "data")
 
 
 def _by_hex(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -830,9 +835,10 @@ def decode_segments(strands: DataFrame, layout: Layout) -> DataFrame:
     return strands.select("file_id", "seq").mapInArrow(run, f"file_id {kind}, bits string, wrong boolean, seg_no long")
 
 
-def decode_files(strands: DataFrame, layout: Layout, sizes: DataFrame, facts: bool = False) -> DataFrame:
+def decode_files(strands: DataFrame, layout: Layout, sizes: DataFrame, facts: bool = False, empty: bool = False) -> DataFrame:
     """file_id, data of strands, whatever their order; with facts also longest (the longest run of a base in a file's strands), bases (whether they
-    have no other letters) and strands (how many there are). Strands become runs of packed bits within their batch."""
+    have no other letters) and strands (how many there are). Strands become runs of packed bits within their batch. If `empty`, files of no bits
+    come back though they have no strands, and those whose size is null as null."""
 
     def run(batches):
         for b in batches:
@@ -840,7 +846,7 @@ def decode_files(strands: DataFrame, layout: Layout, sizes: DataFrame, facts: bo
             yield _runs(b.column("file_id"), number, bits, b.column("seq") if facts else None)
 
     kind = strands.schema["file_id"].dataType.simpleString()
-    found = _files_of(strands.select("file_id", "seq").mapInArrow(run, f"file_id {kind}, {RUN}"), sizes)
+    found = _files_of(strands.select("file_id", "seq").mapInArrow(run, f"file_id {kind}, {RUN}"), sizes, empty)
     return found if facts else found.select("file_id", "data")
 
 
@@ -850,9 +856,15 @@ def error_record(segments: DataFrame) -> DataFrame:
     return segments.groupBy("file_id").agg((F.avg(F.col("wrong").cast("double")) * 100).alias("error_rate"), bad.alias("wrong_segments"))
 
 
-def encode_info(strands: DataFrame, sizes: DataFrame, layout: Layout) -> DataFrame:
-    """file_id with the numbers that decoding needs, and the density in bits per base."""
-    per = strands.groupBy("file_id").agg(F.count("*").alias("total_count"), F.sum(F.length("seq")).alias("bases")).join(sizes, "file_id")
+def encode_info(strands: DataFrame, sizes: DataFrame, layout: Layout, empty: bool = False) -> DataFrame:
+    """file_id with the numbers that decoding needs, and the density in bits per base. If `empty`, also files without strands that have none to have: those
+    of no bits count none, those whose size is null have no count."""
+    per = strands.groupBy("file_id").agg(F.count("*").alias("total_count"), F.sum(F.length("seq")).alias("bases"))
+    if empty:
+        none = F.when(F.coalesce("bit_size", F.lit(0)) == 0, F.col("bit_size").cast("long"))  # 0 or null, as the size
+        per = sizes.join(per, "file_id", "left").where("total_count IS NOT NULL OR coalesce(bit_size, 0) = 0").withColumn("total_count", F.coalesce("total_count", none))
+    else:
+        per = per.join(sizes, "file_id")
     return per.select("file_id", "bit_size", F.lit(layout.coded).alias("segment_length"), F.lit(layout.index).alias("index_length"), "total_count", F.bround(F.col("bit_size") / F.col("bases"), 3).alias("density"))
 
 

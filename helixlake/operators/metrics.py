@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.durable import durable
+from helixlake.functions import seqfn
 from helixlake.operators.nearest import nearest as nearest_originals
 from helixlake.operators import assignment
 from helixlake.operators.assignment import best_assignment  # noqa: F401
@@ -284,9 +285,9 @@ def silhouette(vectors: DataFrame, block: int = 4_096) -> DataFrame:
 
 def recovery(originals: DataFrame, found: DataFrame) -> DataFrame:
     """fraction of distinct originals that occur among the candidates, and redundancy (hits per original over
-    the fraction; 0 if none). Candidates are counted before the join."""
-    want = originals.select("seq").distinct()
-    have = found.groupBy("seq").agg(F.count("*").alias("c"))
+    the fraction; 0 if none). Candidates are counted before the join. Sequences travel packed, four bases to a byte."""
+    want = originals.select(seqfn.packed("seq").alias("seq")).distinct()
+    have = found.select(seqfn.packed("seq").alias("seq")).groupBy("seq").agg(F.count("*").alias("c"))
     both = want.join(have, "seq", "left").agg(F.count("*").alias("n"), F.count("c").alias("hit"), F.coalesce(F.sum("c"), F.lit(0)).alias("hits"))
     fraction = F.col("hit") / F.nullif(F.col("n"), F.lit(0))
     return both.select(fraction.alias("fraction"), F.coalesce(F.col("hits") / F.col("n") / F.nullif(fraction, F.lit(0.0)), F.lit(0.0)).alias("redundancy"))

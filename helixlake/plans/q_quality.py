@@ -325,7 +325,7 @@ def met17_category_cohesion(spark, sf_dir):
 @query(f"""WITH {READS}, w AS (SELECT DISTINCT seq FROM items), x AS (SELECT w.seq, count(r.seq) AS c FROM w LEFT JOIN reads r ON r.seq = w.seq GROUP BY 1), s AS (SELECT count(*) AS n, sum((c > 0)::INT) AS hit, sum(c) AS hits FROM x)
 SELECT round(hit / n::DOUBLE, 9) AS fraction, round(hits / n::DOUBLE / (hit / n::DOUBLE), 9) AS redundancy FROM s""")
 def met18_recovery(spark, sf_dir):
-    return metrics.recovery(items(spark, sf_dir), reads(spark, sf_dir)).select(F.round("fraction", 9).alias("fraction"), F.round("redundancy", 9).alias("redundancy"))
+    return metrics.recovery(items(spark, sf_dir), reads(spark, sf_dir, columns=("seq",))).select(F.round("fraction", 9).alias("fraction"), F.round("redundancy", 9).alias("redundancy"))
 
 
 @query(f"""WITH {SMALL_READS}, w AS (SELECT seq, min(file_id * 1000 + pos) AS pos FROM items GROUP BY 1), h AS (SELECT seq, count(*) AS c FROM reads GROUP BY 1),
